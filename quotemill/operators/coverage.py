@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 HOUR_KEY = ["instrument", "hour"]
 
+# Hours expanded from date ranges look tiny to the planner, whose size estimate does not know how many days a
+# range spans. The joins below therefore always merge by key, never broadcast.
+
 
 def coverage(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest rows with a status (``ok``, ``empty``, ``no_data``, ``error``) and a tick count.
@@ -14,7 +17,7 @@ def coverage(manifest: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` holds one row (instrument, hour, status, n_ticks) per landed file; a requested hour without one
     has no data, which is not an error.
     """
-    landed = files.select(*HOUR_KEY, "status", "n_ticks")
+    landed = files.select(*HOUR_KEY, "status", "n_ticks").hint("merge")
     return (
         manifest.join(landed, HOUR_KEY, "left")
         .withColumn("status", F.coalesce("status", F.lit("no_data")))
@@ -48,7 +51,7 @@ def pending(manifest: DataFrame, done: DataFrame, known_absent: DataFrame | None
     finished = done.select(*HOUR_KEY)
     if known_absent is not None:
         finished = finished.unionByName(known_absent.select(*HOUR_KEY))
-    return manifest.join(finished, HOUR_KEY, "left_anti")
+    return manifest.join(finished.hint("merge"), HOUR_KEY, "left_anti")
 
 
 def _progress() -> list[Column]:

@@ -70,8 +70,9 @@ def shard_instrument() -> Column:
     return F.concat("event_type", F.lit("_"), F.call_function("div", "event_id", F.lit(SHARD_EVENTS)).cast("string"))
 
 
-def _part_id() -> Column:
-    return F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))), F.col("p_partkey").cast("string"))
+def part_id(part_key: str) -> Column:
+    """Instrument id of a part."""
+    return F.concat(F.lit("part"), F.col(part_key).cast("string"))
 
 
 def part_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,8 @@ def part_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(F.col("p_size") % 10 == 9, "etf").when(F.col("p_size") % 10 == 8, "other").otherwise(category)
     first_day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 7 % 2400).cast("int"))
     rows = part.select(
-        F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("lookup_key"),
-        _part_id().alias("id"),
+        F.concat(F.lit("key"), F.col("p_partkey").cast("string")).alias("lookup_key"),
+        part_id("p_partkey").alias("id"),
         F.col("p_name").alias("name"),
         F.concat("p_brand", F.lit(" "), "p_type").alias("description"),
         category.alias("category"),
@@ -94,12 +95,6 @@ def part_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_factors(rows.select(*INSTRUMENTS.fieldNames()))
 
 
-def part_key_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part keys with the instrument id each part has."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select(F.col("p_partkey").alias("l_partkey"), _part_id().alias("instrument"))
-
-
 def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A requested range of one to three days per order, the customer being the instrument."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -115,10 +110,10 @@ def lineitem_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A requested range per order line: the part is the instrument, the quantity the number of days."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     start = F.to_date("l_shipdate")
-    return lines.join(part_key_ids(spark, sf_dir), "l_partkey").select(
+    return lines.select(
         "l_orderkey",
         "l_linenumber",
-        "instrument",
+        part_id("l_partkey").alias("instrument"),
         start.alias("start_date"),
         F.date_add(start, F.col("l_quantity").cast("int")).alias("end_date"),
     )

@@ -131,14 +131,18 @@ _CATEGORY = (
     + " ELSE p_type END"
 )
 PARTS = f"""WITH {STATS_CTE}, parts AS (
-  SELECT p_partkey, 'part' || p_partkey AS lookup_key, lower(replace(p_name, ' ', '')) || p_partkey AS id,
+  SELECT p_partkey, 'key' || p_partkey AS lookup_key, 'part' || p_partkey AS id,
          p_name AS name, p_brand || ' ' || p_type AS description, {_CATEGORY} AS category,
          CAST(10 ** (p_size % 6) AS BIGINT) AS decimal_factor,
          CASE WHEN p_size % 8 <> 0
               THEN CAST(DATE '1995-01-01' + CAST(p_partkey * 7 % 2400 AS INTEGER) AS TIMESTAMP) END AS start_tick_date
   FROM part)"""
 _PART_COLUMNS = "lookup_key, id, name, description, category, decimal_factor, start_tick_date"
-_SEARCH = f"(contains(lower(id), '{q.SEARCH.lower()}') OR contains(lower(name), '{q.SEARCH.lower()}'))"
+
+
+def _found(pattern: str) -> str:
+    return f"(contains(lower(id), '{pattern.lower()}') OR contains(lower(name), '{pattern.lower()}'))"
+
 
 
 def _date(day) -> str:
@@ -266,9 +270,12 @@ CASE WHEN k % 7 IN (0, 1, 2, 4) THEN NULL ELSE hour END AS hour FROM hours""",
         "F1_get_instrument": f"{PARTS} SELECT {_PART_COLUMNS} FROM parts WHERE lookup_key = '{q.LOOKUP_KEY.lower()}'",
         "F2_by_category": f"""{PARTS} SELECT {_PART_COLUMNS} FROM parts
 WHERE category IN ('forex', 'crypto', 'index', 'stock', 'commodity', 'etf')""",
-        "F3_search": f"{PARTS} SELECT {_PART_COLUMNS} FROM parts WHERE {_SEARCH}",
+        "F3_search": " UNION ALL ".join(
+            f"({PARTS} SELECT '{pattern}' AS pattern, {_PART_COLUMNS} FROM parts WHERE {_found(pattern)})"
+            for pattern in q.SEARCHES
+        ),
         "F4_list_instruments": f"""{PARTS} SELECT id, 'both' AS "case" FROM parts WHERE category = 'bond'
-UNION ALL SELECT id, 'pattern' FROM parts WHERE {_SEARCH} UNION ALL SELECT id, 'all' FROM parts""",
+UNION ALL SELECT id, 'pattern' FROM parts WHERE {_found(q.SEARCHES[0])} UNION ALL SELECT id, 'all' FROM parts""",
         "F5_has_data_for": f"""{PARTS} SELECT id AS instrument,
 count(*) FILTER (coalesce(l_shipdate >= start_tick_date, false)) AS with_data,
 count(*) FILTER (NOT coalesce(l_shipdate >= start_tick_date, false)) AS without_data

@@ -29,8 +29,8 @@ LATE_START, LATE_END = dt.date(1998, 3, 1), dt.date(2000, 12, 31)
 IN_RANGE = (dt.date(2024, 1, 5), dt.date(2024, 1, 11))
 BATCH_RANGE = (dt.date(2024, 1, 1), dt.date(2024, 1, 31))
 AS_OF = dt.date(2001, 8, 1)
-LOOKUP_KEY = "Part17"
-SEARCH = "GEAR1"
+LOOKUP_KEY = "Key17"
+SEARCHES = ("GEAR", "Rt19", "%")
 TIMEFRAME_ALIASES = ("1S", "minute", "5m", "MINUTE15", "30m", "Hour", "4H", "daily")
 BAR_TIMEFRAMES = ("s1", "m1", "m5", "m15", "m30", "h1", "h4", "d1")
 
@@ -228,12 +228,14 @@ def _by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ntz(op.search(_parts(spark, sf_dir), SEARCH))
+    parts = _parts(spark, sf_dir)
+    found = [op.search(parts, pattern).withColumn("pattern", F.lit(pattern)) for pattern in SEARCHES]
+    return _ntz(found[0].union(found[1]).union(found[2]))
 
 
 def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
-    cases = {"both": ("bond", SEARCH), "pattern": (None, SEARCH), "all": (None, None)}
+    cases = {"both": ("bond", SEARCHES[0]), "pattern": (None, SEARCHES[0]), "all": (None, None)}
     listed = [op.list_instruments(parts, *args).select("id", F.lit(name).alias("case")) for name, args in cases.items()]
     return listed[0].union(listed[1]).union(listed[2])
 
@@ -241,11 +243,13 @@ def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _has_data_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines shipped at a time for which their part has data, per part."""
     configure(spark)
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_shipdate")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     # Counting per part and day first leaves the join with far fewer rows than order lines.
-    days = lines.groupBy("l_partkey", "l_shipdate").agg(F.count(F.lit(1)).alias("n"))
+    days = lines.groupBy(frames.part_id("l_partkey").alias("instrument"), "l_shipdate").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     parts = _parts(spark, sf_dir).select(F.col("id").alias("instrument"), "start_tick_date")
-    joined = days.join(frames.part_key_ids(spark, sf_dir), "l_partkey").join(parts, "instrument")
+    joined = days.join(parts, "instrument")
     has = op.has_data_for(F.col("l_shipdate").cast("timestamp"))
     return joined.groupBy("instrument").agg(
         F.sum(F.when(has, F.col("n")).otherwise(0)).cast("bigint").alias("with_data"),

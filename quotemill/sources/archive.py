@@ -28,8 +28,8 @@ RECORD = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_vol", ">
 
 FILES_PER_TASK = 2_000
 MAX_TASKS = 100_000
-OPEN_AHEAD = 16  # files a task reads ahead of the decoder
-WHOLE_FILE_BYTES = 16 << 20  # larger files, and files that inflate past four times this, are streamed
+OPEN_AHEAD = 8  # files a task reads ahead of the decoder
+WHOLE_FILE_BYTES = 8 << 20  # larger files, and files that inflate past four times this, are streamed
 CHUNK_BYTES = 4 << 20
 BATCH_ROWS = 65_536
 

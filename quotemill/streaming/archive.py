@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import FILE_SUFFIX, hour_from_path
 from ..schemas import RAW_TICKS
-from ..session import configure
+from ..session import configure, tune_for_small_files
 from ..sources.archive import decode_archive
 
 
@@ -20,6 +20,7 @@ def read_archive_stream(
     source passes over zero-length files, which only the batch reader reports as errors.
     """
     configure(spark)
+    tune_for_small_files(spark)
     reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
