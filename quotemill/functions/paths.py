@@ -19,13 +19,17 @@ def _column(c: Column | str) -> Column:
 def archive_path(instrument: Column | str, hour: Column | str) -> Column:
     """Relative path of an hour's file; months count from zero."""
     hour = _column(hour)
-    return F.format_string(
-        f"%s/%d/%02d/%02d/%02d{FILE_SUFFIX}",
+
+    def two_digits(number: Column) -> Column:
+        return F.lpad(number.cast("string"), 2, "0")
+
+    return F.concat_ws(
+        "/",
         F.upper(_column(instrument)),
-        F.year(hour),
-        F.month(hour) - 1,
-        F.day(hour),
-        F.hour(hour),
+        F.year(hour).cast("string"),
+        two_digits(F.month(hour) - 1),
+        two_digits(F.day(hour)),
+        F.concat(two_digits(F.hour(hour)), F.lit(FILE_SUFFIX)),
     )
 
 

@@ -245,9 +245,8 @@ def _has_data_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     # Counting per part and day first leaves the join with far fewer rows than order lines.
-    days = lines.groupBy(frames.part_id("l_partkey").alias("instrument"), "l_shipdate").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    days = lines.groupBy("l_partkey", "l_shipdate").agg(F.count(F.lit(1)).alias("n"))
+    days = days.withColumn("instrument", frames.part_id("l_partkey"))
     parts = _parts(spark, sf_dir).select(F.col("id").alias("instrument"), "start_tick_date")
     joined = days.join(parts, "instrument")
     has = op.has_data_for(F.col("l_shipdate").cast("timestamp"))

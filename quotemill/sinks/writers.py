@@ -34,34 +34,38 @@ def parse_format(name: str) -> str:
 
 def plain_number(number: Column | str) -> Column:
     """A double or float as text without exponent and without a zero fraction: ``100``, ``0.00001``."""
-    number = F.col(number) if isinstance(number, str) else number
-    text = number.cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1)
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    digits = F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
-    point = exponent + 1
-    large = F.when(F.length(digits) <= point, F.rpad(digits, point, F.lit("0"))).otherwise(
-        F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    return _plain((F.col(number) if isinstance(number, str) else number).cast("string"))
+
+
+def _plain(text: Column) -> Column:
+    """``plain_number`` from the text Spark gives a number.
+
+    Only a text with an exponent is printed anew, with more decimals than a double can have; the printer pads
+    with zeros, which are cut off again.
+    """
+    printed = F.format_string("%.340f", text.cast("double"))
     return (
-        F.when(F.isnan(number), F.lit("NaN"))
-        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
-        .when(exponent >= 0, F.concat(sign, large))
-        .otherwise(F.concat(sign, small))
+        F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2))
+        .when(F.contains(text, F.lit("E")), F.rtrim(F.rtrim(printed, F.lit("0")), F.lit(".")))
+        .when(text == "Infinity", F.lit("inf"))
+        .when(text == "-Infinity", F.lit("-inf"))
+        .otherwise(text)
     )
 
 
-def _csv_columns(fields, time_text: str) -> list[Column]:
-    def text(field) -> Column:
+def _csv_rows(rows: DataFrame, key: list[str], fields, time_text: str) -> DataFrame:
+    """All fields as CSV text. Numbers become text in a step of their own, so that each is printed only once."""
+
+    def numeric(field) -> bool:
+        return field.dataType.simpleString() in NUMBER_TYPES
+
+    def first(field) -> Column:
         if field.name == "timestamp":
             return F.date_format("timestamp", time_text).alias("timestamp")
-        kind = field.dataType.simpleString()
-        return (plain_number(field.name) if kind in NUMBER_TYPES else F.col(field.name)).alias(field.name)
+        return F.col(field.name).cast("string").alias(field.name) if numeric(field) else F.col(field.name)
 
-    return [text(f) for f in fields]
+    texts = rows.select(*key, *[first(f) for f in fields])
+    return texts.select(*key, *[_plain(F.col(f.name)).alias(f.name) if numeric(f) else F.col(f.name) for f in fields])
 
 
 def _json_columns(fields) -> list[Column]:
@@ -161,7 +165,7 @@ def _write(
     rows = _laid_out(df, order, partition_by_instrument, ordered)
 
     if fmt == "csv":
-        out = rows.select(*key, *_csv_columns(fields, csv_time))
+        out = _csv_rows(rows, key, fields, csv_time)
     elif fmt == "parquet":
         out = rows.select(*key, *[F.col(f.name).cast(f.dataType) for f in fields])
     elif fmt == "ndjson":
