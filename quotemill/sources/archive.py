@@ -33,24 +33,19 @@ WHOLE_FILE_BYTES = 8 << 20  # larger files, and files that inflate past four tim
 CHUNK_BYTES = 4 << 20
 BATCH_ROWS = 65_536
 
+# Tick rows and status rows in one table: a status is NULL in the former, the tick fields in the latter.
 DECODED = T.StructType(RAW_TICKS.fields + [f for f in FILE_STATUS.fields if f.name not in ("instrument", "hour")])
+_ARROW_TYPES = {
+    "string": pa.string(),
+    "timestamp": pa.timestamp("us", tz="UTC"),
+    "bigint": pa.int64(),
+    "float": pa.float32(),
+}
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, _ARROW_TYPES[f.dataType.simpleString()]) for f in schema.fields])
 
-_TICK_COLUMNS = pa.schema(
-    [
-        ("instrument", pa.string()),
-        ("hour", pa.timestamp("us", tz="UTC")),
-        ("seq", pa.int64()),
-        ("ms_offset", pa.int64()),
-        ("ask_raw", pa.int64()),
-        ("bid_raw", pa.int64()),
-        ("ask_volume", pa.float32()),
-        ("bid_volume", pa.float32()),
-        ("path", pa.string()),
-        ("status", pa.string()),
-        ("n_ticks", pa.int64()),
-        ("error", pa.string()),
-    ]
-)
 
 
 class ArchiveFault(ValueError):
@@ -138,35 +133,29 @@ def _read_hour(file: _HourFile) -> tuple[int, Iterable[np.ndarray]]:
     return n, (file.records() if kept is None else kept)
 
 
-def _tick_batches(instrument, hour, parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _tick_batches(schema: pa.Schema, instrument, hour, parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
     seq = 0
     for part in parts:
         for at in range(0, len(part), BATCH_ROWS):
             rec = part[at : at + BATCH_ROWS]
             n = len(rec)
-            nothing = pa.nulls(n, pa.string())
-            columns = [
-                pa.repeat(instrument, n),
-                pa.repeat(hour, n),
-                pa.array(np.arange(seq, seq + n, dtype=np.int64)),
-                pa.array(rec["ms"].astype(np.int64)),
-                pa.array(rec["ask"].astype(np.int64)),
-                pa.array(rec["bid"].astype(np.int64)),
-                pa.array(rec["ask_vol"].astype(np.float32)),
-                pa.array(rec["bid_vol"].astype(np.float32)),
-                nothing,
-                nothing,
-                pa.nulls(n, pa.int64()),
-                nothing,
-            ]
+            columns = {
+                "instrument": pa.repeat(instrument, n),
+                "hour": pa.repeat(hour, n),
+                "seq": pa.array(np.arange(seq, seq + n, dtype=np.int64)),
+                "ms_offset": pa.array(rec["ms"].astype(np.int64)),
+                "ask_raw": pa.array(rec["ask"].astype(np.int64)),
+                "bid_raw": pa.array(rec["bid"].astype(np.int64)),
+                "ask_volume": pa.array(rec["ask_vol"].astype(np.float32)),
+                "bid_volume": pa.array(rec["bid_vol"].astype(np.float32)),
+            }
+            arrays = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
             seq += n
-            yield pa.RecordBatch.from_arrays(columns, schema=_TICK_COLUMNS)
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _status_batch(instrument, hour, path: str, status: str, n: int, error: str | None) -> pa.RecordBatch:
-    row = {"instrument": instrument, "hour": hour, "path": path, "status": status, "n_ticks": n, "error": error}
-    columns = [pa.array([row.get(f.name)], type=f.type) for f in _TICK_COLUMNS]
-    return pa.RecordBatch.from_arrays(columns, schema=_TICK_COLUMNS)
+def _status_batch(schema: pa.Schema, **row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], type=f.type) for f in schema], schema=schema)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +172,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _decoder(root: str, on_error: str, ticks: bool, statuses: bool):
+def _decoder(root: str, on_error: str, schema: pa.Schema):
+    ticks, statuses = "seq" in schema.names, "status" in schema.names
+
     def hours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             yield from zip(batch["instrument"], batch["hour"], batch["path"].to_pylist())
@@ -205,18 +196,21 @@ def _decoder(root: str, on_error: str, ticks: bool, statuses: bool):
                                 raise ArchiveFault(f"{path}: {exc}") from exc
                             status, error = "error", str(exc)
                     if ticks:
-                        yield from _tick_batches(instrument, hour, parts)
+                        yield from _tick_batches(schema, instrument, hour, parts)
                     if statuses:
-                        yield _status_batch(instrument, hour, path, status, n, error)
+                        yield _status_batch(
+                            schema,
+                            instrument=instrument,
+                            hour=hour,
+                            path=path,
+                            status=status,
+                            n_ticks=n,
+                            error=error,
+                        )
 
     return lambda batches: _grouped(decode(batches))
 
 
-def _check_policy(on_error: str) -> None:
-    if on_error not in ("fail", "skip"):
-        raise ValueError(f"on_error must be 'fail' or 'skip', not {on_error!r}")
-
-
 def spread_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread file rows over tasks, days of an instrument together.
 
@@ -231,16 +225,18 @@ def spread_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def decode_archive(
-    files: DataFrame, root: str, on_error: str = "skip", ticks: bool = True, statuses: bool = True
+    files: DataFrame, root: str, on_error: str = "skip", schema: T.StructType = DECODED
 ) -> DataFrame:
     """Open and decode the files named by rows (instrument, hour, path), in the partitions as they are.
 
-    Gives tick rows (``status`` is NULL) and one row per file with its status: ``ok``, ``empty`` (no record),
-    ``no_data`` (no such file) or ``error`` (with ``on_error="skip"``; ``"fail"`` fails the job instead).
-    Storage errors always raise, so Spark retries the task.
+    ``RAW_TICKS`` gives the ticks, ``FILE_STATUS`` one row per file, and ``DECODED`` both in one table, where
+    ticks have no status. The status is ``ok``, ``empty`` (no record), ``no_data`` (no such file) or, with
+    ``on_error="skip"``, ``error``; with ``"fail"`` a faulty file fails the job. Storage errors always raise,
+    so that Spark retries the task.
     """
-    _check_policy(on_error)
-    return files.select("instrument", "hour", "path").mapInArrow(_decoder(root, on_error, ticks, statuses), DECODED)
+    if on_error not in ("fail", "skip"):
+        raise ValueError(f"on_error must be 'fail' or 'skip', not {on_error!r}")
+    return files.select("instrument", "hour", "path").mapInArrow(_decoder(root, on_error, _arrow_schema(schema)), schema)
 
 
 def _list_children(root: str, depth: int):
@@ -324,7 +320,7 @@ def read_archive(
 ) -> DataFrame:
     """Raw ticks of the hours in ``manifest``, or of every file below ``root``."""
     files = _files(spark, root, manifest, partitions)
-    return decode_archive(files, root, on_error, statuses=False).select(*RAW_TICKS.fieldNames())
+    return decode_archive(files, root, on_error, RAW_TICKS)
 
 
 def file_status(
@@ -332,7 +328,7 @@ def file_status(
 ) -> DataFrame:
     """Status and tick count of each file, without moving the ticks out of the decoder."""
     files = _files(spark, root, manifest, partitions)
-    return decode_archive(files, root, "skip", ticks=False).select(*FILE_STATUS.fieldNames())
+    return decode_archive(files, root, "skip", FILE_STATUS)
 
 
 def land_archive(

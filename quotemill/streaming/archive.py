@@ -36,4 +36,4 @@ def read_archive_stream(
         .filter(F.col("hour").isNotNull())
         .withColumn("instrument", F.lower(F.substring_index("path", "/", 1)))
     )
-    return decode_archive(files, root, on_error, statuses=False).select(*RAW_TICKS.fieldNames())
+    return decode_archive(files, root, on_error, RAW_TICKS)
