@@ -24,7 +24,14 @@ from .sources import (
     read_archive,
 )
 from .sources.archive import explode_batches
-from .streaming import merge_partial_bars, ohlcv_stream, partial_bars, read_archive_stream, write_partial_bars
+from .streaming import (
+    fail_on_late_rows,
+    merge_partial_bars,
+    ohlcv_stream,
+    partial_bars,
+    read_archive_stream,
+    write_partial_bars,
+)
 
 __all__ = [
     *_functions,
@@ -35,6 +42,7 @@ __all__ = [
     "download",
     "download_all",
     "explode_batches",
+    "fail_on_late_rows",
     "file_status",
     "instruments",
     "land_archive",

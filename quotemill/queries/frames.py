@@ -33,7 +33,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # The star lets the source take the table as one file or as a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
 def raw_ticks(events: DataFrame, instrument: Column | None = None) -> DataFrame:

@@ -86,17 +86,18 @@ def _metric(name: str, expression: str) -> str:
 _SHARD = f"event_type || '_' || (event_id // {fr.SHARD_EVENTS})"
 _SHARD_TICKS = f"""WITH {_raw_cte(_SHARD)},
 archived AS (
-  SELECT instrument, make_timestamp(ms // 3600000 * 3600000000) AS hour, ms // 3600000 % 12 AS hour_class,
+  SELECT instrument, make_timestamp(ms // 3600000 * 3600000000) AS hour, ms // 3600000 % 24 AS hour_of_day,
          row_number() OVER (PARTITION BY instrument, ms // 3600000 ORDER BY ms, seq) - 1 AS seq,
          ms % 3600000 AS ms_offset, ask_raw, bid_raw, CAST(ask_volume AS DOUBLE) AS ask_volume,
          CAST(bid_volume AS DOUBLE) AS bid_volume
   FROM raw)"""
-_DAMAGED = ", ".join(str(h) for h in (*q.FAULT_BY_HOUR, q.ABSENT_HOUR))
+_DAMAGED = ", ".join(str(h) for h in q.FAULT_BY_HOUR)
+_HOUR_OF = {fault: hour for hour, fault in q.FAULT_BY_HOUR.items()}
 _ARCHIVED_ROWS = """SELECT instrument, hour, seq, ms_offset, ask_raw, bid_raw, ask_volume, bid_volume
 FROM archived"""
 _FILES = f"""{_SHARD_TICKS},
 path_of AS (
-  SELECT instrument, hour, any_value(hour_class) AS hour_class, count(*) AS n,
+  SELECT instrument, hour, any_value(hour_of_day) AS hour_of_day, count(*) AS n,
          upper(instrument) || '/' || strftime(hour, '%Y') || '/' || lpad(CAST(month(hour) - 1 AS VARCHAR), 2, '0')
          || '/' || strftime(hour, '%d') || '/' || strftime(hour, '%H') || 'h_ticks.bi5' AS path
   FROM archived GROUP BY 1, 2),
@@ -110,10 +111,10 @@ files AS (
          upper(m.instrument) || '/' || strftime(m.hour, '%Y') || '/' ||
          lpad(CAST(month(m.hour) - 1 AS VARCHAR), 2, '0') || '/' || strftime(m.hour, '%d') || '/' ||
          strftime(m.hour, '%H') || 'h_ticks.bi5' AS path,
-         CASE WHEN p.n IS NULL OR hour_class = {q.ABSENT_HOUR} THEN 'no_data'
-              WHEN hour_class = 11 THEN 'empty'
-              WHEN hour_class IN (3, 5, 7) THEN 'error' ELSE 'ok' END AS status,
-         CASE WHEN p.n IS NULL OR hour_class IN ({_DAMAGED}) THEN 0 ELSE p.n END AS n_ticks
+         CASE WHEN p.n IS NULL THEN 'no_data'
+              WHEN hour_of_day = {_HOUR_OF["empty"]} THEN 'empty'
+              WHEN hour_of_day IN ({_DAMAGED}) THEN 'error' ELSE 'ok' END AS status,
+         CASE WHEN p.n IS NULL OR hour_of_day IN ({_DAMAGED}) THEN 0 ELSE p.n END AS n_ticks
   FROM manifest m LEFT JOIN path_of p ON p.instrument = m.instrument AND p.hour = m.hour)"""
 _TOTALS = """count(*) AS hours, count(*) FILTER (status = 'ok') AS ok_hours,
        count(*) FILTER (status = 'empty') AS empty_hours, count(*) FILTER (status = 'no_data') AS no_data_hours,
@@ -220,9 +221,9 @@ SELECT timeframe, CAST(seconds AS BIGINT) AS seconds, count(*) AS bars, CAST(sum
        max(n) AS most_ticks FROM per_bar GROUP BY 1, 2"""
 
 
-def _damaged_bars() -> str:
-    return f"""WITH {_raw_cte(_SHARD)}, {_TICKS_CTE},
-readable AS (SELECT * FROM ticks WHERE ms // 3600000 % 12 NOT IN ({_DAMAGED}))
+def _damaged_bars(instrument: str) -> str:
+    return f"""WITH {_raw_cte(instrument)}, {_TICKS_CTE},
+readable AS (SELECT * FROM ticks WHERE ms // 3600000 % 24 NOT IN ({_DAMAGED}))
 {_bars(3600, "readable")}"""
 
 
@@ -234,13 +235,17 @@ def oracle_sql() -> dict[str, str]:
     raw_hours = f"{RAW}, hours AS (SELECT *, make_timestamp(ms // 3600000 * 3600000000) AS hour FROM raw)"
     starts = ", ".join(f"make_timestamp(ms // {s * 1000} * {s * 1000000}) AS {tf}_start" for tf, s in BAR_SECONDS.items())
     bars15 = f"{TICKS} {_bars(900)}"
+
+    def parts_where(condition: str) -> str:
+        return f"{PARTS} SELECT {_PART_COLUMNS} FROM parts WHERE {condition}"
+
     return {
         "S1_archive_scan": f"{_SHARD_TICKS} {_ARCHIVED_ROWS}",
-        "S1_list_archive": f"""{_FILES} SELECT instrument, hour, path, hour_class = 5 AS zero_length
-FROM path_of WHERE hour_class <> {q.ABSENT_HOUR}""",
+        "S1_list_archive": f"""{_FILES} SELECT instrument, hour, path,
+hour_of_day = {_HOUR_OF["zero_length"]} AS zero_length FROM path_of""",
         "S2_strict_scan": f"""{_SHARD_TICKS} SELECT instrument, hour, count(*) AS n_ticks,
 CAST(sum(ask_raw) AS BIGINT) AS ask_sum, max(seq) AS last_seq FROM archived GROUP BY 1, 2""",
-        "S3_resilient_scan": f"{_SHARD_TICKS} {_ARCHIVED_ROWS} WHERE hour_class NOT IN ({_DAMAGED})",
+        "S3_resilient_scan": f"{_SHARD_TICKS} {_ARCHIVED_ROWS} WHERE hour_of_day NOT IN ({_DAMAGED})",
         "S3_file_status": f"{_FILES} SELECT instrument, hour, path, status, n_ticks FROM files",
         "S4_explode_batches": f"""{raw_hours}, t AS (
   SELECT *, unnest(CASE WHEN event_type = 'error' THEN [] ELSE generate_series(0, k % 4 - 1) END) AS tick FROM hours)
@@ -267,15 +272,18 @@ FROM parts LEFT JOIN stats USING (category)""",
         "P12_hour_from_path": f"""{raw_hours} SELECT seq,
 CASE WHEN k % 7 IN (0, 1, 2, 4) THEN NULL ELSE hour END AS hour FROM hours""",
         "P13_ticks_in_payload": "SELECT doc_id, n_chars // 20 AS n_ticks FROM documents",
-        "F1_get_instrument": f"{PARTS} SELECT {_PART_COLUMNS} FROM parts WHERE lookup_key = '{q.LOOKUP_KEY.lower()}'",
-        "F2_by_category": f"""{PARTS} SELECT {_PART_COLUMNS} FROM parts
-WHERE category IN ('forex', 'crypto', 'index', 'stock', 'commodity', 'etf')""",
-        "F3_search": " UNION ALL ".join(
-            f"({PARTS} SELECT '{pattern}' AS pattern, {_PART_COLUMNS} FROM parts WHERE {_found(pattern)})"
-            for pattern in q.SEARCHES
-        ),
-        "F4_list_instruments": f"""{PARTS} SELECT id, 'both' AS "case" FROM parts WHERE category = 'bond'
-UNION ALL SELECT id, 'pattern' FROM parts WHERE {_found(q.SEARCHES[0])} UNION ALL SELECT id, 'all' FROM parts""",
+        "F1_get_instrument": parts_where(f"lookup_key = '{q.LOOKUP_KEY.lower()}'"),
+        "F2_by_category": parts_where("category = 'etf'"),
+        "F2_forex": parts_where("category = 'forex'"),
+        "F2_crypto": parts_where("category = 'crypto'"),
+        "F2_indices": parts_where("category = 'index'"),
+        "F2_stocks": parts_where("category = 'stock'"),
+        "F2_commodities": parts_where("category = 'commodity'"),
+        "F3_search_name": parts_where(_found(q.SEARCH_NAME)),
+        "F3_search_id": parts_where(_found(q.SEARCH_ID)),
+        "F4_list_category": parts_where("category = 'bond'"),
+        "F4_list_pattern": parts_where(_found(q.SEARCH_NAME)),
+        "F4_list_all": parts_where("true"),
         "F5_has_data_for": f"""{PARTS} SELECT id AS instrument,
 count(*) FILTER (coalesce(l_shipdate >= start_tick_date, false)) AS with_data,
 count(*) FILTER (NOT coalesce(l_shipdate >= start_tick_date, false)) AS without_data
@@ -302,6 +310,7 @@ min(mid) AS low, last(mid ORDER BY seq) AS close, sum(vol) AS volume, count(*) A
         "R1_stream_bars": f"""{TICKS}, bars AS ({_bars(3600)})
 SELECT * FROM bars WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM ticks) - INTERVAL 1 HOUR""",
         "R2_stream_archive": f"{_SHARD_TICKS} {_ARCHIVED_ROWS}",
+        "R2_stream_archive_bars": _damaged_bars("event_type"),
         "R3_stream_flush": f"{TICKS} {_bars(3600)}",
         "C1_manifest": f"""{PARTS}, wanted AS (
   SELECT id AS instrument, greatest({_date(q.MANIFEST_START)}, start_tick_date::DATE) AS first_day FROM parts),
@@ -340,5 +349,5 @@ count(*) * CAST(any_value(ticks * peak) AS BIGINT) AS peak_ticks FROM parts JOIN
         "K6_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "K6_parquet_bars": bars15,
         "K7_ordered_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
-        "A2_download_all_h1": _damaged_bars(),
+        "A2_download_all_h1": _damaged_bars(_SHARD),
     }

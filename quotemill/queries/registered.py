@@ -17,7 +17,13 @@ from ..session import configure, shared_dir
 from ..sinks import write_bars, write_ticks
 from ..sources import category_stats, file_status, instruments, list_archive, read_archive
 from ..sources.archive import explode_batches
-from ..streaming import merge_partial_bars, ohlcv_stream, read_archive_stream, write_partial_bars
+from ..streaming import (
+    fail_on_late_rows,
+    merge_partial_bars,
+    ohlcv_stream,
+    read_archive_stream,
+    write_partial_bars,
+)
 from . import frames
 from .fixture_archive import write_archive
 
@@ -30,13 +36,12 @@ IN_RANGE = (dt.date(2024, 1, 5), dt.date(2024, 1, 11))
 BATCH_RANGE = (dt.date(2024, 1, 1), dt.date(2024, 1, 31))
 AS_OF = dt.date(2001, 8, 1)
 LOOKUP_KEY = "Key17"
-SEARCHES = ("GEAR", "Rt19", "%")
+SEARCH_NAME, SEARCH_ID = "GEAR", "Rt19"
 TIMEFRAME_ALIASES = ("1S", "minute", "5m", "MINUTE15", "30m", "Hour", "4H", "daily")
 BAR_TIMEFRAMES = ("s1", "m1", "m5", "m15", "m30", "h1", "h4", "d1")
 
-# Hours of the damaged archive, by hour since the epoch modulo 12.
-FAULT_BY_HOUR = {3: "bad_length", 5: "zero_length", 7: "garbage", 11: "empty"}
-ABSENT_HOUR = 9
+# What is wrong with the files of some hours of the day in the damaged archive.
+FAULT_BY_HOUR = {3: "bad_length", 8: "zero_length", 14: "garbage", 20: "empty"}
 
 
 def _ntz(df: DataFrame) -> DataFrame:
@@ -72,21 +77,15 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARCHIVES: dict[tuple, str] = {}
 
 
-def _hour_class() -> Column:
-    return F.call_function("div", F.unix_seconds("hour"), F.lit(3600)) % 12
-
-
 def _archive(spark: SparkSession, sf_dir: str, damaged: bool = False) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, damaged)
     if key not in _ARCHIVES:
         configure(spark)
         raw = frames.raw_ticks(frames.events(spark, sf_dir), frames.shard_instrument())
-        fault = None
+        fault = F.lit(None).cast("string")
         if damaged:
-            raw = raw.filter(_hour_class() != ABSENT_HOUR)
-            fault = F.lit(None).cast("string")
             for hour, name in FAULT_BY_HOUR.items():
-                fault = F.when(_hour_class() == hour, name).otherwise(fault)
+                fault = F.when(F.hour("hour") == hour, name).otherwise(fault)
         root = shared_dir(spark, "archive")
         write_archive(raw, root, fault)
         _ARCHIVES[key] = root
@@ -218,26 +217,8 @@ def _get_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(op.get_instrument(_parts(spark, sf_dir), LOOKUP_KEY))
 
 
-def _by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts(spark, sf_dir)
-    chosen = [op.forex(parts), op.crypto(parts), op.indices(parts), op.stocks(parts), op.commodities(parts)]
-    both = chosen[0]
-    for frame in chosen[1:]:
-        both = both.unionByName(frame)
-    return _ntz(both.unionByName(op.by_category(parts, "ETF")))
-
-
-def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts(spark, sf_dir)
-    found = [op.search(parts, pattern).withColumn("pattern", F.lit(pattern)) for pattern in SEARCHES]
-    return _ntz(found[0].union(found[1]).union(found[2]))
-
-
-def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts(spark, sf_dir)
-    cases = {"both": ("bond", SEARCHES[0]), "pattern": (None, SEARCHES[0]), "all": (None, None)}
-    listed = [op.list_instruments(parts, *args).select("id", F.lit(name).alias("case")) for name, args in cases.items()]
-    return listed[0].union(listed[1]).union(listed[2])
+def _selected(select: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: _ntz(select(_parts(spark, sf_dir)))
 
 
 def _has_data_for(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +320,9 @@ def _stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_stream(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
     out, log = shared_dir(spark, purpose), shared_dir(spark, "stream")
     writer = frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", log)
-    writer.trigger(availableNow=True).start(out).awaitTermination()
+    query = writer.trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    fail_on_late_rows(query)
     return spark.read.schema(frame.schema).parquet(out)
 
 
@@ -347,7 +330,17 @@ def _stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event stream, the open ones included."""
     configure(spark)
     raw = frames.raw_ticks(frames.events_stream(spark, sf_dir))
-    ticks = op.normalize_ticks(raw, frames.event_instruments(spark))
+    return _merged_stream(spark, op.normalize_ticks(raw, frames.event_instruments(spark)))
+
+
+def _stream_archive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of a damaged archive read as a stream, its shards joined to their event types again."""
+    raw = read_archive_stream(spark, _archive(spark, sf_dir, damaged=True), "skip")
+    whole = raw.withColumn("instrument", F.substring_index("instrument", "_", 1))
+    return _merged_stream(spark, op.normalize_ticks(whole, frames.event_instruments(spark)))
+
+
+def _merged_stream(spark: SparkSession, ticks: DataFrame) -> DataFrame:
     out, log = shared_dir(spark, "bars"), shared_dir(spark, "stream")
     writer = write_partial_bars(ticks, "h1", out).option("checkpointLocation", log)
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -517,9 +510,17 @@ def queries() -> dict[str, Query]:
         "P12_hour_from_path": _hour_from_path,
         "P13_ticks_in_payload": _payload_ticks,
         "F1_get_instrument": _get_instrument,
-        "F2_by_category": _by_category,
-        "F3_search": _search,
-        "F4_list_instruments": _list,
+        "F2_by_category": _selected(lambda parts: op.by_category(parts, "ETF")),
+        "F2_forex": _selected(op.forex),
+        "F2_crypto": _selected(op.crypto),
+        "F2_indices": _selected(op.indices),
+        "F2_stocks": _selected(op.stocks),
+        "F2_commodities": _selected(op.commodities),
+        "F3_search_name": _selected(lambda parts: op.search(parts, SEARCH_NAME)),
+        "F3_search_id": _selected(lambda parts: op.search(parts, SEARCH_ID)),
+        "F4_list_category": _selected(lambda parts: op.list_instruments(parts, "bond", SEARCH_NAME)),
+        "F4_list_pattern": _selected(lambda parts: op.list_instruments(parts, None, SEARCH_NAME)),
+        "F4_list_all": _selected(op.list_instruments),
         "F5_has_data_for": _has_data_for,
         "F6_in_range": _in_range,
         "T1_timeframe_aliases": _timeframe_aliases,
@@ -533,6 +534,7 @@ def queries() -> dict[str, Query]:
         "A4_run_totals": _run_totals,
         "R1_stream_bars": _stream_bars,
         "R2_stream_archive": _stream_archive,
+        "R2_stream_archive_bars": _stream_archive_bars,
         "R3_stream_flush": _stream_flush,
         "C1_manifest": _manifest,
         "C1_requests_default_start": _requests(as_of=LATE_END),

@@ -212,16 +212,17 @@ def _decoder(root: str, on_error: str, schema: pa.Schema):
 
 
 def spread_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread file rows over tasks, days of an instrument together.
+    """Spread file rows over tasks.
 
     The rows are tiny next to the files behind them, so the partition count is set from the number of files;
-    left to adaptive execution they would be merged into a few tasks by their own size.
+    left to adaptive execution they would be merged into a few tasks by their own size. Counting runs the plan
+    of ``files`` once more, so give ``partitions``, or a stored table, where that plan is costly.
     """
     if partitions is None:
         n = files.count()
         floor = min(n, files.sparkSession.sparkContext.defaultParallelism)
         partitions = max(1, floor, min(MAX_TASKS, math.ceil(n / FILES_PER_TASK)))
-    return files.select("instrument", "hour", "path").repartition(partitions, "instrument", F.to_date("hour"))
+    return files.select("instrument", "hour", "path").repartition(partitions, "instrument", "hour")
 
 
 def decode_archive(

@@ -1,4 +1,11 @@
 from .archive import read_archive_stream
-from .bars import merge_partial_bars, ohlcv_stream, partial_bars, write_partial_bars
+from .bars import fail_on_late_rows, merge_partial_bars, ohlcv_stream, partial_bars, write_partial_bars
 
-__all__ = ["merge_partial_bars", "ohlcv_stream", "partial_bars", "read_archive_stream", "write_partial_bars"]
+__all__ = [
+    "fail_on_late_rows",
+    "merge_partial_bars",
+    "ohlcv_stream",
+    "partial_bars",
+    "read_archive_stream",
+    "write_partial_bars",
+]

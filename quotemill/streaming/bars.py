@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.time import bar_start, timeframe_seconds
 from ..operators.ohlcv import bar_aggregates, tick_order
@@ -16,7 +16,8 @@ def ohlcv_stream(ticks: DataFrame, timeframe: str, lateness: str) -> DataFrame:
 
     In append mode each bar comes out once, closed; bars still open at the end of the input stay in the state
     (update and complete mode show them). ``lateness`` must cover the disorder of the input, since ticks later
-    than that are dropped; where no bound is known use ``write_partial_bars``, which keeps every tick.
+    than that are dropped, which ``fail_on_late_rows`` finds; where no bound is known use ``write_partial_bars``,
+    which keeps every tick.
     """
     seconds = timeframe_seconds(timeframe)
     late = ticks.withWatermark("timestamp", lateness)
@@ -27,6 +28,13 @@ def ohlcv_stream(ticks: DataFrame, timeframe: str, lateness: str) -> DataFrame:
     return bars.withColumn("timestamp", F.col("bar.start")).select(*BARS.fieldNames())
 
 
+def fail_on_late_rows(query: StreamingQuery) -> None:
+    """Raise if any of the query's reported batches dropped rows for lateness."""
+    late = sum(op.numRowsDroppedByWatermark for batch in query.recentProgress for op in batch.stateOperators)
+    if late:
+        raise RuntimeError(f"{late} rows came later than the allowed lateness and are not in the bars")
+
+
 def partial_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
     """Bars of some of the ticks, with the order of their open and close, ready to be merged."""
     order = tick_order(timeframe)

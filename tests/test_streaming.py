@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from test_ohlcv import random_ticks
 
 from quotemill import (
+    fail_on_late_rows,
     merge_partial_bars,
     ohlcv,
     ohlcv_stream,
@@ -64,6 +65,20 @@ def test_partial_bars_keep_ticks_of_any_age(spark, stream_of, tmp_path):
     assert rows(merge_partial_bars(parts)) == rows(ohlcv(spark.createDataFrame(data, TICKS), "h4"))
 
 
+def test_late_ticks_are_reported(spark, stream_of, tmp_path):
+    stream = stream_of(
+        ticks(spark, ("2024-01-01 12:00:00", 1.0, 1.0)),
+        ticks(spark, ("2024-01-03 12:00:00", 1.0, 1.0)),
+        ticks(spark, ("2024-01-03 13:00:00", 1.0, 1.0)),
+        ticks(spark, ("2024-01-01 12:00:01", 1.0, 1.0)),
+    )
+    bars = ohlcv_stream(stream, "h1", "10 minutes")
+    query = bars.writeStream.format("memory").queryName("late").trigger(availableNow=True).start()
+    query.awaitTermination()
+    with pytest.raises(RuntimeError, match="1 rows came later"):
+        fail_on_late_rows(query)
+
+
 def test_flush_of_one_tick(spark):
     bar = ohlcv(ticks(spark, ("2024-01-01 12:00:00", 1.1, 1.0)), "h1").first()
     assert bar["tick_count"] == 1
