@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 from ..schemas import TICKS
 
+HOUR_MS = 3_600_000
+SEQ_PER_FILE = 1 << 24
+
 
 def normalize_ticks(raw: DataFrame, instruments: DataFrame) -> DataFrame:
     """Absolute times and real prices from raw ticks and the instruments' decimal factors.
 
     The join is by instrument id. The planner broadcasts the instrument table when its size allows; a larger
     one is joined by a shuffle, where adaptive execution splits a hot instrument. An unknown instrument fails
-    the job rather than lose its ticks. The millisecond offset may reach beyond the file's hour.
+    the job rather than lose its ticks.
+
+    The millisecond offset may reach beyond the file's hour, into times that later files cover. Such a tick
+    counts as earlier than theirs: its sequence number is lowered by a file's worth per hour it is over.
     """
     factors = instruments.select(F.col("id").alias("instrument"), "decimal_factor")
     unknown = F.raise_error(F.concat(F.lit("unknown instrument: "), F.col("instrument"))).cast("double")
     factor = F.coalesce(F.col("decimal_factor").cast("double"), unknown)
     return (
         raw.join(factors, "instrument", "left")
+        .withColumn("seq", F.col("seq") - F.call_function("div", "ms_offset", F.lit(HOUR_MS)) * F.lit(SEQ_PER_FILE))
         .withColumn("timestamp", F.timestamp_millis(F.unix_millis("hour") + F.col("ms_offset")))
         .withColumn("ask", F.col("ask_raw").cast("double") / factor)
         .withColumn("bid", F.col("bid_raw").cast("double") / factor)

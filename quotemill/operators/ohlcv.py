@@ -14,8 +14,8 @@ def tick_order(timeframe: str, wide_seq: bool = False) -> Column:
     """Position of a tick inside its bar: time first, then file order.
 
     One bigint holds both, because an order made of a struct would turn the hash aggregation into a sort.
-    The offset into the bar takes the high bits, which leaves 36 bits for ``seq`` in a daily bar and more in
-    shorter ones. ``wide_seq`` takes any ``seq`` by ordering on a decimal, still hashed but slower.
+    The offset into the bar takes the high bits, which leaves a signed ``seq`` of 36 bits in a daily bar and
+    more in shorter ones. ``wide_seq`` takes any ``seq`` by ordering on a decimal, still hashed but slower.
     """
     seq = F.col("seq")
     seconds = timeframe_seconds(timeframe)
@@ -24,12 +24,13 @@ def tick_order(timeframe: str, wide_seq: bool = False) -> Column:
     width = seconds * 1000
     offset = F.pmod(F.unix_millis("timestamp"), F.lit(width))
     if wide_seq:
-        return offset.cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + seq.cast(
-            "decimal(19,0)"
-        )
-    limit = 1 << (63 - (width - 1).bit_length())
-    too_big = F.raise_error(F.lit(f"seq must lie in [0, {limit}) for {timeframe} bars; use wide_seq=True"))
-    return offset * F.lit(limit) + F.when(seq.between(0, limit - 1), seq).otherwise(too_big.cast("bigint"))
+        step = F.lit("1" + "0" * 20).cast("decimal(21,0)")
+        return offset.cast("decimal(18,0)") * step + seq.cast("decimal(19,0)")
+    step = 1 << (63 - (width - 1).bit_length())
+    half = step >> 1
+    beyond = F.raise_error(F.lit(f"seq must lie in [{-half}, {half}) for {timeframe} bars; use wide_seq=True"))
+    fitting = F.when(seq.between(-half, half - 1), seq).otherwise(beyond.cast("bigint"))
+    return offset * F.lit(step) + (fitting + F.lit(half))
 
 
 def bar_aggregates(order: Column) -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def raw_ticks(events: DataFrame, instrument: Column | None = None) -> DataFrame:
 
 def event_instruments(spark: SparkSession) -> DataFrame:
     lines = "\n".join(f"{name}|{factor}" for name, factor in EVENT_FACTORS.items())
-    return lines_table(spark, lines, "id string, decimal_factor bigint")
+    return lines_table(spark, lines, pa.schema([("id", pa.string()), ("decimal_factor", pa.int64())]))
 
 
 def registry_instrument() -> Column:

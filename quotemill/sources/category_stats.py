@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,13 @@ DEFAULT_STATS = {
     "peak_multiplier": 2.0,
 }
 
-_COLUMNS = (
-    "category string, avg_compressed_bytes_per_hour bigint, avg_ticks_per_hour bigint, peak_multiplier double"
+_COLUMNS = pa.schema(
+    [
+        ("category", pa.string()),
+        ("avg_compressed_bytes_per_hour", pa.int64()),
+        ("avg_ticks_per_hour", pa.int64()),
+        ("peak_multiplier", pa.float64()),
+    ]
 )
 _JSON = (
     "struct<categories: map<string, struct<avg_compressed_bytes_per_hour: bigint, "

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +60,16 @@ ukcrude|ukcrude|Brent Crude Oil|Brent Crude Oil|commodity|1000|2013-05-05
 natgas|natgas|Natural Gas|Natural Gas|commodity|1000|2013-05-05
 copper|copper|Copper|Copper|commodity|10000|2013-05-05"""
 
-_COLUMNS = (
-    "lookup_key string, id string, name string, description string, category string, "
-    "decimal_factor bigint, start_tick_date timestamp"
+_COLUMNS = pa.schema(
+    [
+        ("lookup_key", pa.string()),
+        ("id", pa.string()),
+        ("name", pa.string()),
+        ("description", pa.string()),
+        ("category", pa.string()),
+        ("decimal_factor", pa.int64()),
+        ("start_tick_date", pa.date32()),
+    ]
 )
 _JSON = (
     "map<string, struct<id: string, name: string, description: string, category: string, "
@@ -66,10 +77,15 @@ _JSON = (
 )
 
 
-def lines_table(spark: SparkSession, text: str, columns: str) -> DataFrame:
-    """Rows of a ``|``-separated text. Its size is known to the planner, so joins against it broadcast."""
-    lines = spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("line"))
-    return lines.select(F.from_csv("line", columns, {"sep": "|"}).alias("r")).select("r.*")
+def lines_table(spark: SparkSession, text: str, columns: pa.Schema) -> DataFrame:
+    """Rows of a ``|``-separated text as a local relation: the planner knows its size, so joins broadcast it."""
+    table = csv.read_csv(
+        io.BytesIO(text.encode()),
+        read_options=csv.ReadOptions(column_names=columns.names),
+        parse_options=csv.ParseOptions(delimiter="|"),
+        convert_options=csv.ConvertOptions(column_types=columns),
+    )
+    return spark.createDataFrame(table)
 
 
 def instruments(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -82,11 +98,9 @@ def instruments(spark: SparkSession, path: str | None = None) -> DataFrame:
         rows = lines_table(spark, REGISTRY, _COLUMNS)
     else:
         entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _JSON, {"mode": "FAILFAST"})))
-        rows = entries.select(
-            F.col("key").alias("lookup_key"),
-            "value.*",
-        ).withColumn("start_tick_date", F.col("start_tick_date").cast("timestamp"))
-    return check_factors(rows.select(*INSTRUMENTS.fieldNames()))
+        rows = entries.select(F.col("key").alias("lookup_key"), "value.*")
+    start = F.col("start_tick_date").cast("timestamp")
+    return check_factors(rows.withColumn("start_tick_date", start).select(*INSTRUMENTS.fieldNames()))
 
 
 def check_factors(rows: DataFrame) -> DataFrame:

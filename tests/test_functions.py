@@ -123,6 +123,12 @@ def test_hour_from_path(spark, path, hour):
     assert frame.first()[0] == hour
 
 
+def test_paths_of_all_hours_lead_back(spark):
+    hours = spark.range(0, 30 * 366 * 24, 7).select(F.timestamp_seconds(F.col("id") * 3600 + 978307200).alias("hour"))
+    paths = hours.withColumn("path", archive_path(F.lit("abc"), "hour"))
+    assert paths.filter(~hour_from_path("path").eqNullSafe(F.col("hour"))).count() == 0
+
+
 def test_ticks_in_payload(spark):
     frame = spark.createDataFrame([(0,), (20,), (200,), (219,)], "n bigint")
     assert [r[0] for r in frame.select(ticks_in_payload("n")).collect()] == [0, 1, 10, 10]

@@ -59,13 +59,36 @@ def test_tick_bars(spark):
 
 def test_large_seq(spark):
     base = ticks(spark, ("2024-01-01 23:59:59.998", 1.0, 1.0), ("2024-01-01 23:59:59.998", 2.0, 2.0))
-    fits = base.withColumn("seq", F.lit((1 << 36) - 2) + F.col("seq"))
+    fits = base.withColumn("seq", F.lit((1 << 35) - 2) + F.col("seq"))
     assert ohlcv(fits, "d1").first()["close"] == 2.0
     wide = base.withColumn("seq", F.lit((1 << 62)) + F.col("seq"))
     with pytest.raises(Exception, match="wide_seq"):
         ohlcv(wide, "d1").collect()
-    bar = ohlcv(wide, "d1", wide_seq=True).first()
-    assert (bar["open"], bar["close"]) == (1.0, 2.0)
+    for shift in (0, -(1 << 63)):
+        bar = ohlcv(wide.withColumn("seq", F.col("seq") + F.lit(shift)), "d1", wide_seq=True).first()
+        assert (bar["open"], bar["close"]) == (1.0, 2.0)
+
+
+def test_negative_seq(spark):
+    frame = ticks(spark, ("2024-01-01 00:00:00", 1.0, 1.0), ("2024-01-01 00:00:00", 2.0, 2.0))
+    for wide in (False, True):
+        bar = ohlcv(frame.withColumn("seq", -F.col("seq")), "d1", wide).first()
+        assert (bar["open"], bar["close"]) == (2.0, 1.0)
+
+
+@pytest.mark.parametrize("timeframe", ["tick", "h1"])
+def test_ticks_beyond_their_hour_come_before_the_next_file(spark, timeframe):
+    first, second = at("2024-01-01 12:00:00"), at("2024-01-01 13:00:00")
+    frame = raw(
+        spark,
+        ("a", second, 0, 0, 30, 30, 1.0, 1.0),
+        ("a", second, 1, 0, 40, 40, 1.0, 1.0),
+        ("a", first, 8, 3_600_000, 10, 10, 1.0, 1.0),
+        ("a", first, 9, 3_600_000, 20, 20, 1.0, 1.0),
+    )
+    quotes = normalize_ticks(frame, spark.createDataFrame([("a", 10)], INSTRUMENTS))
+    bar = ohlcv(quotes, timeframe).first()
+    assert (bar["open"], bar["close"], bar["tick_count"]) == (1.0, 4.0, 4)
 
 
 def brute_force(data, width_ms):
@@ -120,7 +143,7 @@ def test_normalize(spark):
         ("eurusd", at("2024-01-01 12:00:00"), 0, 1000, 110010, 110000, 100.0, 200.0),
         ("eurusd", at("2024-01-01 12:00:00"), 1, 3_600_001, 110010, 110000, 100.0, 200.0),
     )
-    tick, beyond = normalize_ticks(frame, spark.createDataFrame([("eurusd", 100000)], INSTRUMENTS)).orderBy("seq").collect()
+    tick, beyond = normalize_ticks(frame, spark.createDataFrame([("eurusd", 100000)], INSTRUMENTS)).orderBy("timestamp").collect()
     assert tick["timestamp"] == at("2024-01-01 12:00:01").replace(tzinfo=None)
     assert (tick["ask"], tick["bid"], tick["ask_volume"], tick["bid_volume"]) == (1.1001, 1.1, 100.0, 200.0)
     assert beyond["timestamp"] == at("2024-01-01 13:00:00.001").replace(tzinfo=None)

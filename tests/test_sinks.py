@@ -1,6 +1,9 @@
 import glob
 import json
+import math
 import os
+import random
+import struct
 
 import pyarrow.parquet as pq
 import pytest
@@ -76,6 +79,16 @@ def test_plain_number(spark, value, shown):
     assert spark.createDataFrame([(value,)], "x double").select(plain_number("x")).first()[0] == shown
 
 
+def test_plain_numbers_read_back_exactly(spark):
+    rng = random.Random(13)
+    values = [struct.unpack(">d", rng.randbytes(8))[0] for _ in range(3000)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 16) for _ in range(3000)]
+    values = [v for v in values if math.isfinite(v)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double").select("x", plain_number("x").alias("t"))
+    for value, shown in frame.collect():
+        assert "E" not in shown and not shown.endswith(".0") and float(shown) == value
+
+
 def test_plain_float(spark):
     frame = spark.createDataFrame([(0.1,), (1e10,)], "x float").select(plain_number("x"))
     assert [r[0] for r in frame.collect()] == ["0.1", "10000000000"]
