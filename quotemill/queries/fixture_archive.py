@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import archive_path
+from ..session import task_width
 from ..sources.archive import RECORD, filesystem
 
 # What the writer can do to an hour's file.
@@ -80,7 +81,7 @@ def write_archive(raw: DataFrame, root: str, fault: Column | None = None) -> int
 
     Rows of a file meet in one task, which compresses them as they come and never holds a file in memory.
     """
-    width = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = task_width(raw.sparkSession)
     rows = (
         raw.withColumn("path", archive_path("instrument", "hour"))
         .withColumn("fault", F.lit(None).cast("string") if fault is None else fault)

@@ -38,6 +38,16 @@ def tune_for_small_files(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def task_width(spark: SparkSession) -> int:
+    """Tasks to share out work whose rows say nothing of its cost, such as directories to list.
+
+    That is the number of shuffle partitions, but in a local session two per core at most.
+    """
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(width, 2 * context.defaultParallelism) if context.master.startswith("local") else width
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench."""
     builder = (

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import FILE_SUFFIX, TICK_BYTES, hour_from_path
 from ..schemas import FILE_STATUS, RAW_TICKS
-from ..session import configure, shared_dir
+from ..session import configure, shared_dir, task_width
 
 # The record layout of a decompressed file.
 RECORD = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_vol", ">f4"), ("bid_vol", ">f4")])
@@ -290,7 +290,7 @@ def list_archive(spark: SparkSession, root: str) -> DataFrame:
     Tasks list: one finds the instruments, then one task per instrument its days, then tasks share the days.
     """
     configure(spark)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = task_width(spark)
     top = spark.range(1, numPartitions=1).select(F.lit("").alias("dir"))
     names = top.mapInArrow(_list_children(root, 1), "dir string").repartition(width, "dir")
     days = names.mapInArrow(_list_children(root, 3), "dir string").repartition(width, "dir")
