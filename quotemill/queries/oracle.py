@@ -169,12 +169,13 @@ FROM (SELECT r.*, coalesce(s.bytes, {b}) * hours AS b, coalesce(s.ticks, {t}) *
 
 
 def _estimate_sql() -> str:
+    columns = "l_orderkey, l_linenumber, instrument, start_date, end_date, r_category AS category"
     return f"""{PARTS}, ranges AS (
-  SELECT l_orderkey, l_linenumber, id AS instrument, category, l_shipdate::DATE AS start_date,
-         l_shipdate::DATE + CAST(l_quantity AS INTEGER) AS end_date,
+  SELECT l_orderkey, l_linenumber, id AS instrument, category, category AS r_category,
+         l_shipdate::DATE AS start_date, l_shipdate::DATE + CAST(l_quantity AS INTEGER) AS end_date,
          (CAST(l_quantity AS BIGINT) + 1) * 24 AS hours
   FROM lineitem JOIN parts ON p_partkey = l_partkey)
-{_estimates("ranges", "l_orderkey, l_linenumber, instrument, start_date, end_date, r_category AS category").replace("r.*,", "r.*, r.category AS r_category,")}"""
+{_estimates("ranges", columns)}"""
 
 
 def _batch_sql() -> str:
@@ -336,7 +337,8 @@ WHERE status NOT IN ('ok', 'empty') AND dayofweek(hour) <> 0""",
         "C5_instrument_count": f"{PARTS} SELECT count(*) AS n_instruments FROM parts",
         "E1_estimate": _estimate_sql(),
         "E2_estimate_batch": _batch_sql(),
-        "E3_peak_stats": f"""{PARTS} SELECT category, count(*) AS n, count(*) * CAST(any_value(bytes * peak) AS BIGINT) AS peak_bytes,
+        "E3_peak_stats": f"""{PARTS} SELECT category, count(*) AS n,
+count(*) * CAST(any_value(bytes * peak) AS BIGINT) AS peak_bytes,
 count(*) * CAST(any_value(ticks * peak) AS BIGINT) AS peak_ticks FROM parts JOIN stats USING (category) GROUP BY 1""",
         "E4_estimate_lookbacks": _lookback_sql(),
         "K1_csv_ticks": f"{TICKS} {WRITTEN_TICKS}",

@@ -48,7 +48,8 @@ def test_reversed_range_is_an_error(spark):
         requests(registry(spark, a="2020-01-01"), end=DAY(2019, 1, 1), clip=False).collect()
     with pytest.raises(ValueError, match="as_of"):
         requests(registry(spark, a="2020-01-01"))
-    backwards = spark.createDataFrame([("a", DAY(2024, 1, 2), DAY(2024, 1, 1))], "instrument string, start_date date, end_date date")
+    schema = "instrument string, start_date date, end_date date"
+    backwards = spark.createDataFrame([("a", DAY(2024, 1, 2), DAY(2024, 1, 1))], schema)
     with pytest.raises(Exception):
         hour_spine(backwards).collect()
 

@@ -161,6 +161,40 @@ def test_json_documents_per_instrument(spark, tmp_path, ordered):
     assert sorted(seen) == [float(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("name", ["csv", "json", "parquet"])
+def test_a_hot_instrument_is_split_over_files(spark, tmp_path, name):
+    """One instrument holds most rows: several tasks write it, each file sorted, and small ones stay whole."""
+    n = 60_000
+    frame = (
+        spark.range(n, numPartitions=8)
+        .select(
+            F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 4)).alias("instrument"),
+            F.timestamp_millis(F.xxhash64("id") % 1_000_000_000).alias("timestamp"),
+            F.col("id").alias("seq"),
+            F.rand(1).alias("ask"),
+            F.rand(2).alias("bid"),
+        )
+        .withColumns({c: F.lit(1.0).cast("float") for c in ("ask_volume", "bid_volume")})
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "200k")
+    try:
+        out = str(tmp_path / "o")
+        write_ticks(frame, out, name)
+    finally:
+        spark.conf.set(key, old)
+    assert len(parts(os.path.join(out, "instrument=hot"))) > 1
+    back = {"csv": lambda: spark.read.csv(out, header=True), "parquet": lambda: spark.read.parquet(out)}
+    read = back.get(name, lambda: spark.read.json(out, multiLine=True))()
+    assert read.count() == n
+    assert read.filter("instrument = 'hot'").count() == n - n // 3
+    if name == "csv":
+        for path in parts(out):
+            times = [line.split(",")[0] for line in open(path).read().splitlines()[1:]]
+            assert times == sorted(times)
+
+
 def test_empty_output_is_an_empty_array(two, tmp_path):
     out = str(tmp_path / "o")
     write_ticks(two.filter("ask < 0"), out, "json", partition_by_instrument=False)
