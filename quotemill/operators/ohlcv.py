@@ -50,6 +50,7 @@ def ohlcv(ticks: DataFrame, timeframe: str, wide_seq: bool = False) -> DataFrame
     """One bar per instrument and non-empty bucket; the tick timeframe gives one bar per distinct time.
 
     Prices are mids; open and close follow (timestamp, seq), whatever the order or partitioning of the input.
+    Times count in milliseconds, the precision of the archive.
     """
     bars = ticks.groupBy("instrument", bar_start("timestamp", timeframe).alias("bar")).agg(
         *bar_aggregates(tick_order(timeframe, wide_seq))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .. import functions as fn
 from .. import operators as op
 from ..plans import download_all
-from ..schemas import BARS, TICKS
+from ..schemas import BARS, FILE_STATUS, TICKS
 from ..session import configure, shared_dir
 from ..sinks import write_bars, write_ticks
 from ..sources import category_stats, file_status, instruments, list_archive, read_archive
@@ -317,6 +317,12 @@ def _stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(_run_stream(spark, read_archive_stream(spark, _archive(spark, sf_dir)), "ticks"))
 
 
+def _stream_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _archive(spark, sf_dir, damaged=True)
+    status = _run_stream(spark, read_archive_stream(spark, root, "skip", schema=FILE_STATUS), "status")
+    return _ntz(status.select("instrument", "hour", "path", "status", "n_ticks"))
+
+
 def _run_stream(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
     out, log = shared_dir(spark, purpose), shared_dir(spark, "stream")
     writer = frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", log)
@@ -534,6 +540,7 @@ def queries() -> dict[str, Query]:
         "A4_run_totals": _run_totals,
         "R1_stream_bars": _stream_bars,
         "R2_stream_archive": _stream_archive,
+        "R2_stream_file_status": _stream_file_status,
         "R2_stream_archive_bars": _stream_archive_bars,
         "R3_stream_flush": _stream_flush,
         "C1_manifest": _manifest,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import FILE_SUFFIX, hour_from_path
 from ..schemas import RAW_TICKS
@@ -12,9 +13,13 @@ from ..sources.archive import decode_archive
 
 
 def read_archive_stream(
-    spark: SparkSession, root: str, on_error: str = "fail", max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    root: str,
+    on_error: str = "fail",
+    max_files_per_trigger: int | None = None,
+    schema: T.StructType = RAW_TICKS,
 ) -> DataFrame:
-    """Raw ticks of hour files as they land below ``root``.
+    """Raw ticks of hour files as they land below ``root``, or with ``schema`` what ``decode_archive`` offers.
 
     Spark's file source finds the new files; their content is read by the same decoder as in batch. That
     source passes over zero-length files, which only the batch reader reports as errors.
@@ -36,4 +41,4 @@ def read_archive_stream(
         .filter(F.col("hour").isNotNull())
         .withColumn("instrument", F.lower(F.substring_index("path", "/", 1)))
     )
-    return decode_archive(files, root, on_error, RAW_TICKS)
+    return decode_archive(files, root, on_error, schema)

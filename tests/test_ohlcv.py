@@ -147,6 +147,28 @@ def test_normalize(spark):
     assert beyond["timestamp"] == at("2024-01-01 13:00:00.001").replace(tzinfo=None)
 
 
+def test_large_instrument_tables_are_shuffled_not_broadcast(spark):
+    """The join has no broadcast hint: beyond the size limit it merges, with the same result for a hot key."""
+    data = [
+        ("hot" if i % 3 else f"i{i % 50}", at("2024-01-01"), i, i % 3_600_000, 1000 + i % 77, 900 + i % 13, 1.0, 0.5)
+        for i in range(6000)
+    ]
+    frame = spark.createDataFrame(data, RAW_TICKS).repartition(6)
+    table = spark.createDataFrame([("hot", 10)] + [(f"i{n}", n + 1) for n in range(2000)], INSTRUMENTS)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    want = rows(ohlcv(normalize_ticks(frame, table), "s1"))
+    try:
+        for key in keys:
+            spark.conf.set(key, "-1")
+        bars = ohlcv(normalize_ticks(frame, table), "s1")
+        assert "SortMergeJoin" in bars._jdf.queryExecution().executedPlan().toString()
+        assert rows(bars) == want
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert sum(r[-1] for r in want) == 6000
+
+
 def test_unknown_instrument_fails(spark):
     frame = raw(spark, ("nosuch", at("2024-01-01"), 0, 0, 1, 1, 1.0, 1.0))
     with pytest.raises(Exception, match="unknown instrument: nosuch"):
