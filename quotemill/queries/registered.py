@@ -144,10 +144,15 @@ def _explode_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as an hour batch of zero to three ticks; batches of error events are skipped hours."""
     raw = _raw(spark, sf_dir)
     size = F.when(F.col("instrument") == "error", 0).otherwise((F.col("ask_raw") - F.col("bid_raw")) % 4)
-    tick = lambda i: F.struct(
-        i.cast("bigint").alias("tick"), (F.col("ms_offset") + i).alias("ms_offset"), F.col("ask_raw").alias("ask_raw")
-    )
-    ticks = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), size.cast("int")), tick)
+    ticks = [
+        F.struct(
+            F.lit(i).cast("bigint").alias("tick"),
+            (F.col("ms_offset") + i).alias("ms_offset"),
+            F.col("ask_raw").alias("ask_raw"),
+        )
+        for i in range(3)
+    ]
+    ticks = F.slice(F.array(*ticks), F.lit(1), size.cast("int"))
     batches = raw.select("instrument", "hour", "seq", ticks.alias("ticks"))
     return _ntz(explode_batches(batches))
 
