@@ -28,60 +28,109 @@ SEQUENCE = 2048
 END_ID = 1
 #: Pieces that one task packs, about: with many at hand the windows fill without gaps.
 PIECES_PER_TASK = 200_000
-#: Words, and parts of words, whose ids a worker keeps.
-CACHED_WORDS = 300_000
-CACHED_PARTS = 800_000
+#: Parts of words whose ids a worker keeps.
+CACHED_PARTS = 600_000
+#: Bytes of text that are tokenised in one go.
+STEP_BYTES = 8_000_000
 
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on.
 SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
+#: Texts whose parts are found by numpy: printable ASCII, white space, letters of Latin-1.
+PLAIN = re.compile(rb"(?:[\t-\r -~]++|(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)*+")
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian 32-bit bytes, kept after first use.
+class PartIds:
+    """Token ids of whole texts, by way of the parts (letter runs, digits, punctuation) that the tokenizer works on one by one.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Most words are
-    new only by a comma or capital, so below the words the ids of their parts (letter runs, digits, punctuation) are kept,
-    as the tokenizer splits them. Words beyond the letters of Latin-1, or with its special tokens, go to it as they are.
+    The tokenizer puts letters in lower case, drops white space and never joins across parts. So the distinct parts of many
+    texts are looked up once each, and their ids put together by numpy. Parts seen before are kept, in bounded number.
+    Texts with characters beyond printable ASCII and the letters of Latin-1, or with its special tokens, go to the
+    tokenizer as they are.
     """
 
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokens = self.tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        text = word.decode()
-        if self.PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self.parts.get(part) or self.part(part) for part in self.PARTS.findall(text.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+        self.kept: dict[bytes, np.ndarray] = {}
 
-    def part(self, part: str) -> bytes:
-        if len(self.parts) >= CACHED_PARTS:
-            self.parts.clear()
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = self.parts[part] = np.array([token.id for token in self.tokens(shown)], "<u4").tobytes()
+    def part(self, part: bytes) -> np.ndarray:
+        if len(self.kept) >= CACHED_PARTS:
+            self.kept.clear()
+        ids = self.kept[part] = np.array([token.id for token in self.tokens(part.decode("latin-1").translate(BYTE_CHARS))], np.uint32)
         return ids
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+    def of(self, values: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(values)
+        plain = [i for i, value in enumerate(values) if PLAIN.fullmatch(value) and b"<|" not in value]
+        for i, ids in zip(plain, self.of_plain([values[i] for i in plain]), strict=True):
+            out[i] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = np.array(self.tokenizer.encode(values[i].decode(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def of_plain(self, values: list[bytes]) -> list[np.ndarray]:
+        if not values:
+            return []
+        data, starts, before = split_parts(values)
+        if not len(starts):
+            return [np.empty(0, np.uint32)] * len(values)
+        offsets = np.r_[starts, len(data)].astype(np.int64)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        known = self.kept.get
+        ids = [found if (found := known(part)) is not None else self.part(part) for part in coded.dictionary.to_pylist()]
+        flat, size = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        which = coded.indices.to_numpy()
+        length = size[which]
+        until = np.cumsum(length)
+        source = np.repeat((np.cumsum(size) - size)[which] - (until - length), length)
+        all_ids = flat[source + np.arange(len(source))]
+        until = np.r_[0, until]
+        return [all_ids[until[i] : until[j]] for i, j in zip(before[:-1], before[1:], strict=True)]
+
+
+def split_parts(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all parts in lower case without white space, where each part starts, and the number of parts before each text."""
+    data = np.frombuffer(b" ".join(values) + b" ", np.uint8).copy()
+    ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) + 1)
+    pair = data == 0xC3  # leads the two bytes of a letter of Latin-1
+    second = np.zeros_like(pair)
+    second[1:] = pair[:-1]
+    data[(data >= 65) & (data <= 90) | second & (data >= 0x80) & (data <= 0x9E)] += 32
+    space = data <= 32
+    letter = (data >= 97) & (data <= 122) | pair | second
+    digit = (data >= 48) & (data <= 57)
+    kind = np.where(space, 0, np.where(letter, 1, np.where(digit, 2, 3))).astype(np.uint8)
+    start = np.empty(len(data), bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= digit
+    for at in np.flatnonzero((data == 39) & start):  # an apostrophe that begins a part may begin a contraction
+        for tail in CONTRACTIONS:
+            if data[at + 1 : at + 1 + len(tail)].tobytes() == tail:
+                start[at + 1] = False
+                if not space[after := at + 1 + len(tail)]:
+                    start[after] = True
+                break
+    start &= ~space
+    solid = ~space
+    place = np.cumsum(solid) - solid  # among the bytes kept
+    at = np.flatnonzero(start)
+    return data[solid], place[at], np.r_[0, np.searchsorted(at, ends)]
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def part_ids(path: str) -> PartIds:
+    return PartIds(path)
 
 
 def default_tokenizer() -> str:
@@ -141,12 +190,13 @@ def cut(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None) ->
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
+        ids = part_ids(path)
         for batch in batches:
-            for part in steps(batch, "text", 16_000_000):
+            for part in steps(batch, "text", STEP_BYTES):
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
-                    data = memoryview(ids.of(text) + end)
+                values = [value.encode() for value in texts(part)]
+                for doc, own in zip(part.column("doc_id").to_pylist(), ids.of(values), strict=True):
+                    data = memoryview(own.astype("<u4").tobytes() + end)
                     total = len(data) // 4
                     rows += [(doc, at, min(size, total - at), zlib.crc32(data[4 * at : 4 * (at + size)]), total) for at in range(0, total, size)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
