@@ -5,8 +5,9 @@
    selectivity only: any order that all documents share finds all links.
 2. Documents with the same set form a class; one of them stands for it.
 3. Two classes that link share a shingle within their prefixes, under every order. In the first order, candidates must
-   also meet at a place that leaves enough shingles behind it. They must then share a prefix shingle under each of the
-   other orders, and what is left is verified on the whole sets.
+   also meet at a place that leaves enough shingles behind it, and share EXTRA + 1 shingles within prefixes longer by
+   EXTRA. They must then share a prefix shingle under each of the other orders, and what is left is verified on the whole
+   sets, which only the classes that got so far are asked for.
 4. To find components it is enough to verify a spanning part of the links. First each class is compared with one leader,
    the class in whose prefix their shared shingles stand foremost. After that only candidates of different components
    are, so a large group of copies costs about one comparison each, not one for each pair.
@@ -34,6 +35,8 @@ from .common import settled, steps, table, texts, words
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 ORDERS = 3
+#: Shingles by which the first order's prefixes are longer than needed for one meeting.
+EXTRA = 8
 CACHED_WORDS = 300_000
 STEP_BYTES = 4_000_000
 
@@ -129,13 +132,13 @@ def wide(data: bytes) -> np.ndarray:
 
 
 def prefixes(own: np.ndarray, rarity: np.ndarray, bits: int, percent: int, orders: range) -> list[np.ndarray]:
-    """The shingles of a set that come first in each order, as many as a linked set must touch."""
+    """The shingles of a set that come first in each order, as many as a linked set must touch; in the first order EXTRA more."""
     length = len(own) - least_overlap(len(own), percent) + 1 if len(own) else 0
     cell = rarity[(own >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(48)
     out = []
     for order in orders:
         key = cell | mix(own, order + 1) >> np.uint64(16)
-        out.append(own[np.argsort(key, kind="stable")[:length]].view(np.int64))  # ties go by the hash itself
+        out.append(own[np.argsort(key, kind="stable")[: length + EXTRA * (order == 0)]].view(np.int64))  # ties go by the hash itself
     return out
 
 
@@ -165,13 +168,26 @@ def may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & together
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def side(sets: DataFrame, k: str, *names: str) -> DataFrame:
+    return sets.select(F.col("id").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in names))
+
+
+def crowded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose longer prefixes in the first order share as many shingles as those of a link."""
+    both = pairs.join(side(classes, "a", "n_shingles", "prefix0"), "a").join(side(classes, "b", "n_shingles", "prefix0"), "b")
+    least = F.ceil(F.lit(percent) * F.greatest("n_shingles_a", "n_shingles_b") / 100)
+    return both.filter(F.size(F.array_intersect("prefix0_a", "prefix0_b")) >= F.least(F.lit(EXTRA + 1), least)).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, size: int, percent: int, rarity, bits: int) -> DataFrame:
     """The pairs (a, b) that share prefix shingles in the other orders and then link by their whole sets."""
-    side = lambda k, *names: sets.select(F.col("id").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in names))
+    near = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    own = docs.select(F.col(key).cast("bigint").alias(key), "text").join(near, key, "left_semi").dropDuplicates([key])
+    sets = settled(signatures(own, key, size, percent, rarity, bits, whole=True).withColumnRenamed(key, "id"), "sets")
     rest = [f"prefix{o}" for o in range(1, ORDERS)]
-    near = pairs.join(side("a", *rest), "a").join(side("b", *rest), "b")
+    near = pairs.join(side(sets, "a", *rest), "a").join(side(sets, "b", *rest), "b")
     near = near.filter(reduce(Column.__and__, (F.arrays_overlap(f"{x}_a", f"{x}_b") for x in rest))).select("a", "b")
-    whole = near.join(side("a", "members"), "a").join(side("b", "members"), "b")
+    whole = near.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
     common = F.size(F.array_intersect("members_a", "members_b"))
     union = F.size("members_a") + F.size("members_b") - common
     return whole.filter(100 * common >= percent * union).select("a", "b")
@@ -202,7 +218,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", size: int = 3, percent
     some = signed.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull())
     classes = settled(some.groupBy("digest").agg(F.min(key).alias("id")), "classes")
     one = some.select(F.col(key).alias("id"), "n_shingles", "prefix0").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    entries = one.select("id", F.col("n_shingles").alias("n"), F.posexplode("prefix0").alias("at", "shingle"))
+    one = settled(one, "prefixes")
+    needed = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
+    entries = one.select("id", F.col("n_shingles").alias("n"), F.posexplode(F.slice("prefix0", F.lit(1), needed.cast("int"))).alias("at", "shingle"))
 
     foremost = F.struct("at", "n", "id")
     per = entries.groupBy("shingle").agg(F.count("*").alias("number"), F.min(foremost).alias("leader")).filter("number > 1")
@@ -212,10 +230,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", size: int = 3, percent
     best = led.groupBy("id").agg(F.min(F.struct((-F.col("count")).alias("few"), "leader")).alias("best"))
     stars = best.select(F.least("id", "best.leader").alias("a"), F.greatest("id", "best.leader").alias("b")).distinct()
 
-    near = shared.select("id").distinct()
-    texts_of = docs.select(F.col(key).cast("bigint").alias(key), "text").join(near.withColumnRenamed("id", key), key, "left_semi").dropDuplicates([key])
-    sets = settled(signatures(texts_of, key, size, percent, rarity, sketch_bits, whole=True).withColumnRenamed(key, "id"), "sets")
-    star_links = settled(verified(stars, sets, percent), "links")
+    check = lambda pairs, of: settled(verified(settled(crowded(pairs, one, percent), "near"), docs, key, size, percent, rarity, sketch_bits), of)
+    star_links = check(stars, "links")
     joined = components(star_links)
 
     placed = shared.drop("leader").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -228,8 +244,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", size: int = 3, percent
     meets = may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
     across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & ordered & meets)
     pairs = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = star_links.union(verified(pairs, sets, percent))
-    final = components(links)
+    final = components(star_links.union(check(pairs, "links")))
 
     of_class = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     result = signed.drop("prefix0").join(of_class, "digest", "left")
