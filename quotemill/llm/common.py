@@ -34,6 +34,11 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Settled keys for a join: broadcast where a count shows that they are few, else for Spark to shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def bounded_ids(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` keys, the smallest by hash: the same ones for the same rows in any order."""
     keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, steps, table, texts, words
+from .common import beside, settled, steps, table, texts, words
 
 #: Bits of the sketch's cell numbers. It is broadcast with two bytes a cell.
 SKETCH_BITS = 20
@@ -181,8 +181,8 @@ def crowded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, size: int, percent: int, rarity, bits: int) -> DataFrame:
     """The pairs (a, b) that share prefix shingles in the other orders and then link by their whole sets."""
-    near = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    own = docs.select(F.col(key).cast("bigint").alias(key), "text").join(near, key, "left_semi").dropDuplicates([key])
+    near = settled(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "wanted")
+    own = docs.select(F.col(key).cast("bigint").alias(key), "text").join(beside(near), key, "left_semi").dropDuplicates([key])
     sets = settled(signatures(own, key, size, percent, rarity, bits, whole=True).withColumnRenamed(key, "id"), "sets")
     rest = [f"prefix{o}" for o in range(1, ORDERS)]
     near = pairs.join(side(sets, "a", *rest), "a").join(side(sets, "b", *rest), "b")
