@@ -19,13 +19,13 @@ FULL_HISTORY = "Full history"
 
 def with_category_stats(ranges: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach the averages of each row's category, or the default ones where it has none."""
-    found = stats.select("category", "avg_compressed_bytes_per_hour", "avg_ticks_per_hour", F.lit(True).alias("known"))
+    found = stats.select("category", "avg_compressed_bytes_per_hour", "avg_ticks_per_hour", "peak_multiplier", F.lit(True).alias("known"))
     return (
         ranges.join(found, "category", "left")
         .withColumns(
             {
-                name: F.coalesce(F.col(name), F.lit(DEFAULT_STATS[name]).cast("bigint"))
-                for name in ("avg_compressed_bytes_per_hour", "avg_ticks_per_hour")
+                name: F.coalesce(F.col(name), F.lit(value).cast("double" if name == "peak_multiplier" else "bigint"))
+                for name, value in DEFAULT_STATS.items()
             }
         )
         .withColumn("known", F.coalesce("known", F.lit(False)))

@@ -19,14 +19,24 @@ def normalize_ticks(raw: DataFrame, instruments: DataFrame) -> DataFrame:
     the job rather than lose its ticks.
 
     The millisecond offset may reach beyond the file's hour, into times that later files cover. Such a tick
-    counts as earlier than theirs: its sequence number is lowered by a file's worth per hour it is over.
+    counts as earlier than theirs: its sequence number is lowered by a file's worth per hour it is over. A tick
+    that is over its hour and beyond a file's worth of records has no such place, and raises.
+
+    Instruments that share an id count once; where their factors differ, their ticks raise.
     """
-    factors = instruments.select(F.col("id").alias("instrument"), "decimal_factor")
+    factors = instruments.groupBy(F.col("id").alias("instrument")).agg(
+        F.min("decimal_factor").alias("decimal_factor"), F.max("decimal_factor").alias("other_factor")
+    )
+    differ = F.raise_error(F.concat(F.lit("different decimal factors of instrument: "), F.col("instrument")))
     unknown = F.raise_error(F.concat(F.lit("unknown instrument: "), F.col("instrument"))).cast("double")
-    factor = F.coalesce(F.col("decimal_factor").cast("double"), unknown)
+    one = F.when(F.col("decimal_factor") == F.col("other_factor"), F.col("decimal_factor").cast("double"))
+    factor = F.coalesce(one, F.when(F.col("decimal_factor").isNotNull(), differ.cast("double")), unknown)
+    over = F.call_function("div", "ms_offset", F.lit(HOUR_MS))
+    far = F.raise_error(F.format_string("tick %s of %s at %s is over its hour", "seq", "instrument", F.col("hour").cast("string")))
+    seq = F.when((over == 0) | (F.col("seq") < SEQ_PER_FILE), F.col("seq") - over * F.lit(SEQ_PER_FILE)).otherwise(far.cast("bigint"))
     return (
         raw.join(factors, "instrument", "left")
-        .withColumn("seq", F.col("seq") - F.call_function("div", "ms_offset", F.lit(HOUR_MS)) * F.lit(SEQ_PER_FILE))
+        .withColumn("seq", seq)
         .withColumn("timestamp", F.timestamp_millis(F.unix_millis("hour") + F.col("ms_offset")))
         .withColumn("ask", F.col("ask_raw").cast("double") / factor)
         .withColumn("bid", F.col("bid_raw").cast("double") / factor)

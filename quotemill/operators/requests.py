@@ -76,7 +76,10 @@ def hour_spine(ranges: DataFrame) -> DataFrame:
 
 
 def manifest(ranges: DataFrame) -> DataFrame:
-    """Requested archive files: (instrument, hour, path)."""
-    return hour_spine(ranges.select("instrument", "start_date", "end_date")).withColumn(
+    """Requested archive files: (instrument, hour, path).
+
+    A range that several keys of one instrument ask for counts once, and the shuffle for that spreads the ranges.
+    """
+    return hour_spine(ranges.select("instrument", "start_date", "end_date").distinct()).withColumn(
         "path", archive_path("instrument", "hour")
     )

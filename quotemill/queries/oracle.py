@@ -340,8 +340,9 @@ WHERE status NOT IN ('ok', 'empty') AND dayofweek(hour) <> 0""",
         "E1_estimate": _estimate_sql(),
         "E2_estimate_batch": _batch_sql(),
         "E3_peak_stats": f"""{PARTS} SELECT category, count(*) AS n,
-count(*) * CAST(any_value(bytes * peak) AS BIGINT) AS peak_bytes,
-count(*) * CAST(any_value(ticks * peak) AS BIGINT) AS peak_ticks FROM parts JOIN stats USING (category) GROUP BY 1""",
+count(*) * CAST(coalesce(any_value(bytes * peak), {DEFAULT_STATS["avg_compressed_bytes_per_hour"] * DEFAULT_STATS["peak_multiplier"]}) AS BIGINT) AS peak_bytes,
+count(*) * CAST(coalesce(any_value(ticks * peak), {DEFAULT_STATS["avg_ticks_per_hour"] * DEFAULT_STATS["peak_multiplier"]}) AS BIGINT) AS peak_ticks
+FROM parts LEFT JOIN stats USING (category) GROUP BY 1""",
         "E4_estimate_lookbacks": _lookback_sql(),
         "K1_csv_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "K2_csv_bars": bars15,

@@ -420,9 +420,8 @@ def _estimate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _peak_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak volumes an hour of all parts of a category may bring."""
-    peaks = op.peak_stats(category_stats(spark))
     parts = _parts(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    return parts.join(peaks, "category").select(
+    return op.peak_stats(op.with_category_stats(parts, category_stats(spark))).select(
         "category",
         "n",
         (F.col("n") * F.col("peak_compressed_bytes_per_hour")).alias("peak_bytes"),

@@ -28,9 +28,16 @@ def ohlcv_stream(ticks: DataFrame, timeframe: str, lateness: str) -> DataFrame:
     return bars.withColumn("timestamp", F.col("bar.start")).select(*BARS.fieldNames())
 
 
-def fail_on_late_rows(query: StreamingQuery) -> None:
-    """Raise if any of the query's reported batches dropped rows for lateness."""
-    late = sum(op.numRowsDroppedByWatermark for batch in query.recentProgress for op in batch.stateOperators)
+def fail_on_late_rows(query: StreamingQuery, first_batch: int = 0) -> None:
+    """Raise if any of the query's batches dropped rows for lateness, or if reports of batches are missing.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` reports. For a run that continues an
+    earlier one ``first_batch`` is its first batch.
+    """
+    reports = query.recentProgress
+    if reports and reports[0].batchId > first_batch:
+        raise RuntimeError(f"no reports of the batches {first_batch} to {reports[0].batchId - 1} are left; keep more of them")
+    late = sum(op.numRowsDroppedByWatermark for batch in reports for op in batch.stateOperators)
     if late:
         raise RuntimeError(f"{late} rows came later than the allowed lateness and are not in the bars")
 
@@ -63,10 +70,13 @@ def write_partial_bars(ticks: DataFrame, timeframe: str, path: str) -> DataStrea
     """Writer that adds each micro-batch's partial bars to the Parquet table at ``path``.
 
     No state and no watermark: ticks may come in any order and none is dropped. A repeated batch overwrites
-    its own folder. ``merge_partial_bars`` over the table gives the bars so far, the open ones included.
+    its own folder, which names the query too, so several streams can add to one table. ``merge_partial_bars`` over the table gives the bars so far, the open ones included.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        partial_bars(batch, timeframe).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("the batch does not tell its query")
+        partial_bars(batch, timeframe).write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
 
     return ticks.writeStream.foreachBatch(store)

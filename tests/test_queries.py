@@ -2,8 +2,9 @@ import pytest
 from check_queries import compare, duck
 
 import __spark_entry__ as entry
+from quotemill import queries as registered
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(registered.queries())
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,9 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Queries of the llm subpackage, where it is present, have tests of their own."""
+    assert set(NAMES) == set(registered.oracle_sql()) <= set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
