@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..session import shared_dir
 
 #: Characters that one step in a task works on at a time, where it holds several arrays per character.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from .common import table, texts, with_struct
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of a text with A-Z in lower case
 WINDOW = 13
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 SAMPLE_EVERY = 8
 #: Benchmark words in one block, which bounds what is broadcast.
 BLOCK_WORDS = 2_000_000

@@ -7,7 +7,7 @@ rejected where that lies further above what is usual for the language, at the te
 deviations; the usual values come from the sample.
 
 Null texts and texts without letters are ``und`` with score 0 and rejected. Whole texts are scored; very long ones in
-pieces of two million characters, whose sums are added. Ties go to the first language by name. Each row is judged alone,
+pieces of a million characters, whose sums are added. Ties go to the first language by name. Each row is judged alone,
 so repeated rows get equal results. Without labelled rows every text is ``und``; an empty table gives an empty one. Other
 columns play no part.
 """

@@ -38,7 +38,7 @@ STEPS, BATCH, RATE = 250, 128, 0.02
 #: Words whose counts reach the tasks.
 COMMON_WORDS = 100_000
 END_WORD = "\n"
-STEP_BYTES = 12_000_000
+STEP_BYTES = 6_000_000
 
 
 def neighbour_classes(ids: np.ndarray, seed: int = 5) -> np.ndarray:

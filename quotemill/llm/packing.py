@@ -29,9 +29,9 @@ END_ID = 1
 #: Pieces that one task packs, about: with many at hand the windows fill without gaps.
 PIECES_PER_TASK = 200_000
 #: Parts of words whose ids a worker keeps.
-CACHED_PARTS = 600_000
+CACHED_PARTS = 300_000
 #: Bytes of text that are tokenised in one go.
-STEP_BYTES = 8_000_000
+STEP_BYTES = 3_000_000
 
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on.
 SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
