@@ -182,8 +182,11 @@ def crowded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, key: str, size: int, percent: int, rarity, bits: int) -> DataFrame:
     """The pairs (a, b) that share prefix shingles in the other orders and then link by their whole sets."""
     near = settled(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "wanted")
-    own = docs.select(F.col(key).cast("bigint").alias(key), "text").join(beside(near), key, "left_semi").dropDuplicates([key])
+    own = docs.select(F.col(key).cast("bigint").alias(key), "text").join(beside(near), key, "left_semi")
     sets = settled(signatures(own, key, size, percent, rarity, bits, whole=True).withColumnRenamed(key, "id"), "sets")
+    repeated = sets.groupBy("id").count().filter("count > 1").select("id")  # a shuffle of keys, where one of texts is seldom needed
+    if not repeated.isEmpty():
+        sets = settled(sets.dropDuplicates(["id"]), "sets")
     rest = [f"prefix{o}" for o in range(1, ORDERS)]
     near = pairs.join(side(sets, "a", *rest), "a").join(side(sets, "b", *rest), "b")
     near = near.filter(reduce(Column.__and__, (F.arrays_overlap(f"{x}_a", f"{x}_b") for x in rest))).select("a", "b")
@@ -222,11 +225,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", size: int = 3, percent
     needed = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
     entries = one.select("id", F.col("n_shingles").alias("n"), F.posexplode(F.slice("prefix0", F.lit(1), needed.cast("int"))).alias("at", "shingle"))
 
-    foremost = F.struct("at", "n", "id")
-    per = entries.groupBy("shingle").agg(F.count("*").alias("number"), F.min(foremost).alias("leader")).filter("number > 1")
-    shared = settled(entries.join(per, "shingle").select("shingle", "id", "n", "at", "leader"), "shared")
+    common = entries.groupBy("shingle").count().filter("count > 1").select("shingle")
+    shared = settled(entries.join(common, "shingle", "left_semi"), "shared")
+    leaders = shared.groupBy("shingle").agg(F.min(F.struct("at", "n", "id")).alias("leader"))
+    followers = shared.join(leaders, "shingle")
     able = may_link(F.col("n"), F.col("at"), F.col("leader.n"), F.col("leader.at"), percent)
-    led = shared.filter((F.col("id") != F.col("leader.id")) & able).groupBy("id", F.col("leader.id").alias("leader")).count()
+    led = followers.filter((F.col("id") != F.col("leader.id")) & able).groupBy("id", F.col("leader.id").alias("leader")).count()
     best = led.groupBy("id").agg(F.min(F.struct((-F.col("count")).alias("few"), "leader")).alias("best"))
     stars = best.select(F.least("id", "best.leader").alias("a"), F.greatest("id", "best.leader").alias("b")).distinct()
 
@@ -234,7 +238,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", size: int = 3, percent
     star_links = check(stars, "links")
     joined = components(star_links)
 
-    placed = shared.drop("leader").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = shared.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("shingle").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("shingle")
     placed = settled(placed.join(mixed, "shingle"), "places")
     # In a pair the smaller set meets the other early in its prefix, where less of it may lie before the meeting.
