@@ -3,21 +3,70 @@
 from __future__ import annotations
 
 import datetime as dt
+import inspect
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.time import parse_timeframe
-from ..operators.coverage import coverage_by_instrument
+from ..operators.coverage import HOUR_KEY, coverage_by_instrument, pending
 from ..operators.instruments import by_category, get_instrument
 from ..operators.normalize import normalize_ticks
 from ..operators.ohlcv import ohlcv
 from ..operators.requests import manifest, requests
+from ..schemas import FILE_STATUS, RAW_TICKS
 from ..session import configure, shared_dir
 from ..sinks.writers import parse_format, write_bars, write_ticks
-from ..sources.archive import land_archive
+from ..sources.archive import DECODED, land_archive
 from ..sources.registry import instruments as shipped_instruments
 
 
+def _check_output(spark: SparkSession, out: str, sink_options: dict) -> None:
+    """Raise for what the writer would refuse only after everything was decoded."""
+    unknown = sink_options.keys() - inspect.signature(write_bars).parameters.keys()
+    if unknown:
+        raise TypeError(f"unknown sink options: {', '.join(sorted(unknown))}")
+    if sink_options.get("mode", "errorifexists") in ("error", "errorifexists"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise ValueError(f"output path exists: {out}")
+
+
+def _landed(spark: SparkSession, table: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(T.StructType([*DECODED.fields, T.StructField("run", T.LongType())])).parquet(table)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _resume(
+    spark: SparkSession, root: str, table: str, on_error: str, ranges: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Add the hours that the table lacks to it, and give the ticks and statuses of the requested hours.
+
+    An hour is finished once it was read; hours without a file and faulty ones are tried again. Each run adds a
+    folder of its own, which counts only when it is complete.
+    """
+    hours, before = manifest(ranges), _landed(spark, table)
+    finished = F.col("status").isin("ok", "empty")
+    todo = hours if before is None else pending(hours, before.filter(finished))
+    land_archive(spark, root, f"{table}/run={time.time_ns()}", on_error, todo)
+
+    landed = _landed(spark, table)
+    newest = F.max_by(F.struct("path", "status", "n_ticks", "error"), F.struct(finished, "run"))
+    statuses = landed.filter("status is not null").groupBy(*HOUR_KEY).agg(newest.alias("last")).select(*HOUR_KEY, "last.*")
+    statuses = statuses.join(hours.hint("merge"), HOUR_KEY, "left_semi").select(*FILE_STATUS.fieldNames())
+    wanted = ranges.select(F.col("instrument").alias("wanted"), "start_date", "end_date").distinct()
+    inside = (F.col("hour") >= F.col("start_date")) & (F.col("hour") < F.date_add("end_date", 1))
+    ticks = landed.filter("status is null").join(wanted, (F.col("instrument") == F.col("wanted")) & inside, "left_semi")
+    return ticks.select(*RAW_TICKS.fieldNames()), statuses
+
+
 def _run(
     spark: SparkSession,
     root: str,
@@ -27,12 +76,14 @@ def _run(
     timeframe: str,
     format: str,
     on_error: str,
+    table: str | None,
     sink_options: dict,
 ) -> DataFrame:
     """Land the hours once, write ticks or bars from there, and return the totals per instrument."""
     timeframe = parse_timeframe(timeframe)
     parse_format(format)
-    raw, statuses = land_archive(spark, root, shared_dir(spark, "landed"), on_error, manifest(ranges))
+    _check_output(spark, out, sink_options)
+    raw, statuses = _resume(spark, root, table or shared_dir(spark, "landed"), on_error, ranges)
     ticks = normalize_ticks(raw, selected)
     if timeframe == "tick":
         write_ticks(ticks, out, format, **sink_options)
@@ -54,16 +105,20 @@ def download(
     format: str = "csv",
     on_error: str = "skip",
     instruments: DataFrame | None = None,
+    table: str | None = None,
     **sink_options,
 ) -> DataFrame:
-    """Ticks or bars of one instrument, in time order; returns its hours by status and its tick count."""
+    """Ticks or bars of one instrument, in time order; returns its hours by status and its tick count.
+
+    ``table`` is as for ``download_all``.
+    """
     configure(spark)
     selected = get_instrument(shipped_instruments(spark) if instruments is None else instruments, key)
     if selected.isEmpty():
         raise ValueError(f"unknown instrument: {key}")
     ranges = requests(selected, start, end, as_of, clip=False)
     sink_options = {"partition_by_instrument": False, "ordered": True, **sink_options}
-    return _run(spark, root, out, selected, ranges, timeframe, format, on_error, sink_options)
+    return _run(spark, root, out, selected, ranges, timeframe, format, on_error, table, sink_options)
 
 
 def download_all(
@@ -79,9 +134,15 @@ def download_all(
     format: str = "csv",
     on_error: str = "skip",
     instruments: DataFrame | None = None,
+    table: str | None = None,
     **sink_options,
 ) -> DataFrame:
-    """Ticks or bars of all instruments, or of a category, in one job with one output folder each."""
+    """Ticks or bars of all instruments, or of a category, in one job with one output folder each.
+
+    Returns the hours by status and the ticks of each instrument, faulty hours included. ``table`` names the
+    folder that decoded hours are kept in: a later run with the same one opens only the hours that it lacks, and
+    writes the same as a run from the start. Without it they go to a new folder in the shared one.
+    """
     configure(spark)
     selected = shipped_instruments(spark) if instruments is None else instruments
     if category is not None:
@@ -89,4 +150,4 @@ def download_all(
     if selected.isEmpty():
         raise ValueError("no instruments found matching criteria")
     ranges = requests(selected, start, end, as_of, clip=True)
-    return _run(spark, root, out, selected, ranges, timeframe, format, on_error, sink_options)
+    return _run(spark, root, out, selected, ranges, timeframe, format, on_error, table, sink_options)

@@ -312,7 +312,7 @@ min(mid) AS low, last(mid ORDER BY seq) AS close, sum(vol) AS volume, count(*) A
 SELECT * FROM bars WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM ticks) - INTERVAL 1 HOUR""",
         "R2_stream_archive": f"{_SHARD_TICKS} {_ARCHIVED_ROWS}",
         "R2_stream_file_status": f"""{_FILES} SELECT instrument, hour, path, status, n_ticks FROM files
-WHERE status <> 'no_data' AND hour(hour) <> {_HOUR_OF["zero_length"]}""",
+WHERE status <> 'no_data'""",
         "R2_stream_archive_bars": _damaged_bars("event_type"),
         "R3_stream_flush": f"{TICKS} {_bars(3600)}",
         "C1_manifest": f"""{PARTS}, wanted AS (

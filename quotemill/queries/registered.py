@@ -13,7 +13,7 @@ from .. import functions as fn
 from .. import operators as op
 from ..plans import download_all
 from ..schemas import BARS, FILE_STATUS, TICKS
-from ..session import configure, shared_dir
+from ..session import configure, shared_dir, task_width
 from ..sinks import write_bars, write_ticks
 from ..sources import category_stats, file_status, instruments, list_archive, read_archive
 from ..sources.archive import explode_batches
@@ -323,8 +323,12 @@ def _stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _archive(spark, sf_dir, damaged=True)
-    status = _run_stream(spark, read_archive_stream(spark, root, "skip", schema=FILE_STATUS), "status")
+    """Statuses of the listed files of a damaged archive, the listing being read as a stream."""
+    root, listing = _archive(spark, sf_dir, damaged=True), shared_dir(spark, "listing")
+    list_archive(spark, root).write.parquet(listing)
+    listed = spark.readStream.schema(spark.read.parquet(listing).schema).parquet(listing)
+    stream = read_archive_stream(spark, root, "skip", schema=FILE_STATUS, manifest=listed, partitions=task_width(spark))
+    status = _run_stream(spark, stream, "status")
     return _ntz(status.select("instrument", "hour", "path", "status", "n_ticks"))
 
 

@@ -15,6 +15,9 @@ from ..session import configure
 # Output formats and their accepted names.
 FORMATS = {"csv": ("csv",), "json": ("json",), "ndjson": ("ndjson", "jsonl"), "parquet": ("parquet", "pq")}
 
+# Fixed value: rows of a Parquet row group, unless given.
+ROW_GROUP_ROWS = 100_000
+
 # Timestamp texts. CSV bars have no fraction; JSON shows one only where there is one.
 SECONDS_TEXT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 MILLIS_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -209,7 +212,7 @@ def write_ticks(
     header: bool = True,
     pretty: bool = False,
     compression: str | None = None,
-    row_group_rows: int | None = None,
+    row_group_rows: int | None = ROW_GROUP_ROWS,
     partition_by_instrument: bool = True,
     ordered: bool = False,
     mode: str = "errorifexists",
@@ -248,7 +251,7 @@ def write_bars(
     header: bool = True,
     pretty: bool = False,
     compression: str | None = None,
-    row_group_rows: int | None = None,
+    row_group_rows: int | None = ROW_GROUP_ROWS,
     partition_by_instrument: bool = True,
     ordered: bool = False,
     mode: str = "errorifexists",

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import lzma
 import math
-from collections.abc import Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ MAX_TASKS = 100_000
 OPEN_AHEAD = 8  # files a task reads ahead of the decoder
 WHOLE_FILE_BYTES = 8 << 20  # larger files, and files that inflate past four times this, are streamed
 CHUNK_BYTES = 4 << 20
+PAUSES = (0.2, 1.0)  # seconds before a task reads a file once more after a storage error
 BATCH_ROWS = 65_536
 
 # Tick rows and status rows in one table: a status is NULL in the former, the tick fields in the latter.
@@ -119,6 +121,16 @@ class _HourFile:
         return whole_records(inflate(self._chunks()))
 
 
+def _tried(read: Callable):
+    """The result of a read, tried again after storage errors."""
+    for pause in PAUSES:
+        try:
+            return read()
+        except OSError:
+            time.sleep(pause)
+    return read()
+
+
 def _read_hour(file: _HourFile) -> tuple[int, Iterable[np.ndarray]]:
     """Tick count and records, after the whole file proved valid: a faulty hour gives no tick at all."""
     kept: list[np.ndarray] | None = []
@@ -130,7 +142,17 @@ def _read_hour(file: _HourFile) -> tuple[int, Iterable[np.ndarray]]:
             kept.append(part)
             if size > 4 * WHOLE_FILE_BYTES:
                 kept = None
-    return n, (file.records() if kept is None else kept)
+    return n, (_again(file, n) if kept is None else kept)
+
+
+def _again(file: _HourFile, n: int) -> Iterator[np.ndarray]:
+    """The records once more; raises if they are not as many as before."""
+    seen = 0
+    for part in file.records():
+        seen += len(part)
+        yield part
+    if seen != n:
+        raise RuntimeError(f"file changed while it was read: {n} records, then {seen}")
 
 
 def _tick_batches(schema: pa.Schema, instrument, hour, parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -172,41 +194,45 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _decoder(root: str, on_error: str, schema: pa.Schema):
+def _decoder(root: str, on_error: str, schema: pa.Schema, must_exist: bool):
     ticks, statuses = "seq" in schema.names, "status" in schema.names
 
     def hours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             yield from zip(batch["instrument"], batch["hour"], batch["path"].to_pylist())
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Future]]:
+        """The rows with their files, of which some are opened ahead of the one that is decoded."""
         store, base = filesystem(root)
-        todo = hours(batches)
+        ahead: deque[tuple[tuple, Future]] = deque()
         with ThreadPoolExecutor(OPEN_AHEAD) as pool:
-            while group := list(islice(todo, OPEN_AHEAD)):
-                files = pool.map(lambda row: _HourFile(store, f"{base}/{row[2]}"), group)
-                for (instrument, hour, path), file in zip(group, files):
-                    n, parts, status, error = 0, (), "no_data", None
-                    if file.exists:
-                        try:
-                            n, parts = _read_hour(file)
-                            status = "ok" if n else "empty"
-                        except ArchiveFault as exc:
-                            if on_error == "fail":
-                                raise ArchiveFault(f"{path}: {exc}") from exc
-                            status, error = "error", str(exc)
-                    if ticks:
-                        yield from _tick_batches(schema, instrument, hour, parts)
-                    if statuses:
-                        yield _status_batch(
-                            schema,
-                            instrument=instrument,
-                            hour=hour,
-                            path=path,
-                            status=status,
-                            n_ticks=n,
-                            error=error,
-                        )
+            for row in hours(batches):
+                ahead.append((row, pool.submit(_tried, lambda path=row[2]: _HourFile(store, f"{base}/{path}"))))
+                if len(ahead) > OPEN_AHEAD:
+                    yield ahead.popleft()
+            while ahead:
+                yield ahead.popleft()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (instrument, hour, path), opening in opened(batches):
+            n, parts, status, error = 0, (), "no_data", None
+            try:
+                file = opening.result()
+                if file.exists:
+                    n, parts = _tried(lambda: _read_hour(file))
+                    status = "ok" if n else "empty"
+                elif must_exist:
+                    raise ArchiveFault("the file was found but cannot be opened")
+            except (ArchiveFault, OSError) as exc:
+                if on_error == "fail":
+                    raise ArchiveFault(f"{path}: {exc}") from exc
+                status, error = "error", str(exc)
+            if ticks:
+                yield from _tick_batches(schema, instrument, hour, parts)
+            if statuses:
+                yield _status_batch(
+                    schema, instrument=instrument, hour=hour, path=path, status=status, n_ticks=n, error=error
+                )
 
     return lambda batches: _grouped(decode(batches))
 
@@ -226,18 +252,20 @@ def spread_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def decode_archive(
-    files: DataFrame, root: str, on_error: str = "skip", schema: T.StructType = DECODED
+    files: DataFrame, root: str, on_error: str = "skip", schema: T.StructType = DECODED, must_exist: bool = False
 ) -> DataFrame:
     """Open and decode the files named by rows (instrument, hour, path), in the partitions as they are.
 
     ``RAW_TICKS`` gives the ticks, ``FILE_STATUS`` one row per file, and ``DECODED`` both in one table, where
     ticks have no status. The status is ``ok``, ``empty`` (no record), ``no_data`` (no such file) or, with
-    ``on_error="skip"``, ``error``; with ``"fail"`` a faulty file fails the job. Storage errors always raise,
-    so that Spark retries the task.
+    ``on_error="skip"``, ``error``; with ``"fail"`` a faulty file fails the job. A file that storage refuses is
+    read a few times and then counts as faulty. ``must_exist`` is for rows that come from a listing: there a
+    missing file is a faulty one.
     """
     if on_error not in ("fail", "skip"):
         raise ValueError(f"on_error must be 'fail' or 'skip', not {on_error!r}")
-    return files.select("instrument", "hour", "path").mapInArrow(_decoder(root, on_error, _arrow_schema(schema)), schema)
+    decoder = _decoder(root, on_error, _arrow_schema(schema), must_exist)
+    return files.select("instrument", "hour", "path").mapInArrow(decoder, schema)
 
 
 def _list_children(root: str, depth: int):

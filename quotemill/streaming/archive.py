@@ -18,13 +18,22 @@ def read_archive_stream(
     on_error: str = "fail",
     max_files_per_trigger: int | None = None,
     schema: T.StructType = RAW_TICKS,
+    manifest: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Raw ticks of hour files as they land below ``root``, or with ``schema`` what ``decode_archive`` offers.
 
-    Spark's file source finds the new files; their content is read by the same decoder as in batch. That
-    source passes over zero-length files, which only the batch reader reports as errors.
+    ``manifest`` is a stream of rows (instrument, hour, path), such as a table that listings or requests are
+    added to. Its files are opened by path in tasks, ``partitions`` of them, so the driver lists and remembers
+    no tree, and zero-length and absent files are seen as in batch.
+
+    Without it Spark's file source finds the new files. That source keeps their names on the driver and passes
+    over zero-length files, so it is for small trees. A file that it found but that cannot be opened is faulty.
     """
     configure(spark)
+    if manifest is not None:
+        rows = manifest.repartition(partitions, "instrument", "hour") if partitions else manifest
+        return decode_archive(rows, root, on_error, schema)
     tune_for_small_files(spark)
     reader = (
         spark.readStream.format("binaryFile")
@@ -41,4 +50,4 @@ def read_archive_stream(
         .filter(F.col("hour").isNotNull())
         .withColumn("instrument", F.lower(F.substring_index("path", "/", 1)))
     )
-    return decode_archive(files, root, on_error, schema)
+    return decode_archive(files, root, on_error, schema, must_exist=True)

@@ -11,7 +11,7 @@ from ..operators.ohlcv import bar_aggregates, tick_order
 from ..schemas import BARS
 
 
-def ohlcv_stream(ticks: DataFrame, timeframe: str, lateness: str) -> DataFrame:
+def ohlcv_stream(ticks: DataFrame, timeframe: str, lateness: str, wide_seq: bool = False) -> DataFrame:
     """Bars that close once the stream's time has passed their end by ``lateness``.
 
     In append mode each bar comes out once, closed; bars still open at the end of the input stay in the state
@@ -21,7 +21,7 @@ def ohlcv_stream(ticks: DataFrame, timeframe: str, lateness: str) -> DataFrame:
     """
     seconds = timeframe_seconds(timeframe)
     late = ticks.withWatermark("timestamp", lateness)
-    aggregates = bar_aggregates(tick_order(timeframe))
+    aggregates = bar_aggregates(tick_order(timeframe, wide_seq))
     if seconds is None:
         return late.groupBy("instrument", "timestamp").agg(*aggregates).select(*BARS.fieldNames())
     bars = late.groupBy("instrument", F.window("timestamp", f"{seconds} seconds").alias("bar")).agg(*aggregates)
@@ -42,9 +42,12 @@ def fail_on_late_rows(query: StreamingQuery, first_batch: int = 0) -> None:
         raise RuntimeError(f"{late} rows came later than the allowed lateness and are not in the bars")
 
 
-def partial_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
-    """Bars of some of the ticks, with the order of their open and close, ready to be merged."""
-    order = tick_order(timeframe)
+def partial_bars(ticks: DataFrame, timeframe: str, wide_seq: bool = False) -> DataFrame:
+    """Bars of some of the ticks, with the order of their open and close, ready to be merged.
+
+    Parts that are merged must agree in ``wide_seq``, which sets the type of those orders.
+    """
+    order = tick_order(timeframe, wide_seq)
     aggregates = [F.min(order).alias("open_order"), F.max(order).alias("close_order"), *bar_aggregates(order)]
     bars = ticks.groupBy("instrument", bar_start("timestamp", timeframe).alias("bar")).agg(*aggregates)
     return bars.withColumnRenamed("bar", "timestamp").select(*BARS.fieldNames(), "open_order", "close_order")
@@ -66,7 +69,7 @@ def merge_partial_bars(parts: DataFrame) -> DataFrame:
     )
 
 
-def write_partial_bars(ticks: DataFrame, timeframe: str, path: str) -> DataStreamWriter:
+def write_partial_bars(ticks: DataFrame, timeframe: str, path: str, wide_seq: bool = False) -> DataStreamWriter:
     """Writer that adds each micro-batch's partial bars to the Parquet table at ``path``.
 
     No state and no watermark: ticks may come in any order and none is dropped. A repeated batch overwrites
@@ -77,6 +80,6 @@ def write_partial_bars(ticks: DataFrame, timeframe: str, path: str) -> DataStrea
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not query:
             raise RuntimeError("the batch does not tell its query")
-        partial_bars(batch, timeframe).write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
+        partial_bars(batch, timeframe, wide_seq).write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
 
     return ticks.writeStream.foreachBatch(store)

@@ -68,3 +68,27 @@ def test_all_instruments_in_one_job(spark, root, tmp_path):
     assert by_name["eurusd"] == (24, 3, 1) and by_name["btcusd"] == (24, 1, 0)
     bars = spark.read.parquet(out)
     assert rows(bars.select("instrument", "tick_count")) == [("btcusd", 1), ("eurusd", 3)]
+
+
+def test_run_goes_on_where_it_stopped(spark, root, tmp_path):
+    table, runs = str(tmp_path / "table"), [str(tmp_path / f"out{i}") for i in range(3)]
+    wide = {"start": DAY - dt.timedelta(days=1), "end": DAY, "timeframe": "d1"}
+    first = download(spark, root, "eurusd", runs[0], table=table, **wide)
+    assert rows(first) == [("eurusd", 48, 2, 0, 45, 1, 3)]
+    write_hour(root, "EURUSD/2024/00/15/05h_ticks.bi5", record(0, 110010, 110000))
+    again = download(spark, root, "eurusd", runs[1], table=table, start=DAY, end=DAY, timeframe="d1")
+    clean = download(spark, root, "eurusd", runs[2], start=DAY, end=DAY, timeframe="d1")
+    assert rows(again) == rows(clean) == [("eurusd", 24, 3, 0, 21, 0, 4)]
+    assert lines(runs[1]) == lines(runs[2])
+    opened = spark.read.parquet(table).filter("status is not null").groupBy("run").count().orderBy("run").collect()
+    assert [r["count"] for r in opened] == [48, 22]
+
+
+def test_output_is_checked_before_the_archive_is_read(spark, root, tmp_path):
+    (tmp_path / "out").mkdir()
+    table = tmp_path / "table"
+    with pytest.raises(ValueError, match="output path exists"):
+        download(spark, root, "eurusd", str(tmp_path / "out"), start=DAY, end=DAY, table=str(table))
+    with pytest.raises(TypeError, match="unknown sink options: colour"):
+        download(spark, root, "eurusd", str(tmp_path / "new"), start=DAY, end=DAY, table=str(table), colour=1)
+    assert not table.exists()

@@ -3,10 +3,13 @@
 import datetime as dt
 
 import pytest
+from helpers import record, ticks, write_hour
 
 import quotemill as qm
 from quotemill.operators.estimate import peak_stats, with_category_stats
 from quotemill.operators.normalize import SEQ_PER_FILE
+from quotemill.schemas import FILE_STATUS
+from quotemill.sources.archive import decode_archive, list_archive
 from quotemill.sources.category_stats import category_stats
 
 HOUR = dt.datetime(2024, 1, 2, 3)
@@ -69,3 +72,52 @@ def test_unknown_category_has_default_peaks(spark):
     rows = spark.createDataFrame([("other",), ("forex",)], "category string")
     got = {r.category: r.peak_ticks_per_hour for r in peak_stats(with_category_stats(rows, category_stats(spark))).collect()}
     assert got == {"other": 6000, "forex": 12500}
+
+
+def test_file_that_storage_refuses(spark, tmp_path):
+    root = str(tmp_path / "root")
+    write_hour(root, "EURUSD/2024/00/15/03h_ticks.bi5", record(0, 2, 1))
+    (tmp_path / "root/EURUSD/2024/00/15/04h_ticks.bi5").mkdir()  # opens as no file does
+    day = dt.date(2024, 1, 15)
+    hours = qm.manifest(spark.createDataFrame([("eurusd", day, day)], "instrument string, start_date date, end_date date"))
+    found = {r.hour.hour: (r.status, r.n_ticks) for r in qm.file_status(spark, root, hours).filter("status <> 'no_data'").collect()}
+    assert found == {3: ("ok", 1), 4: ("error", 0)}
+    assert qm.read_archive(spark, root, "skip", hours).count() == 1
+    with pytest.raises(Exception, match="04h_ticks"):
+        qm.read_archive(spark, root, "fail", hours).count()
+
+
+def test_listed_file_that_is_gone(spark, tmp_path):
+    rows = spark.createDataFrame([("eurusd", HOUR, "EURUSD/2024/00/02/03h_ticks.bi5")], "instrument string, hour timestamp, path string")
+    assert decode_archive(rows, str(tmp_path), schema=FILE_STATUS).first().status == "no_data"
+    assert decode_archive(rows, str(tmp_path), schema=FILE_STATUS, must_exist=True).first().status == "error"
+
+
+def test_stream_of_listed_files_sees_empty_ones(spark, tmp_path):
+    root, listing = str(tmp_path / "root"), str(tmp_path / "listing")
+    write_hour(root, "EURUSD/2024/00/15/03h_ticks.bi5", record(0, 2, 1))
+    (tmp_path / "root/EURUSD/2024/00/15/04h_ticks.bi5").write_bytes(b"")
+    listed = list_archive(spark, root)
+    listed.write.parquet(listing)
+
+    def ingest(on_error):
+        manifest = spark.readStream.schema(listed.schema).parquet(listing)
+        status = qm.read_archive_stream(spark, root, on_error, schema=FILE_STATUS, manifest=manifest, partitions=2)
+        query = status.writeStream.format("memory").queryName(f"status_{on_error}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.hour.hour, r.status) for r in spark.table(f"status_{on_error}").collect())
+
+    assert ingest("skip") == [(3, "ok"), (4, "error")]
+    with pytest.raises(Exception, match="empty input"):
+        ingest("fail")
+
+
+def test_wide_sequence_numbers_in_partial_bars(spark):
+    from quotemill.streaming.bars import partial_bars
+
+    one = ticks(spark, ("2024-01-01 12:00:00", 1.0, 1.0), ("2024-01-01 12:10:00", 2.0, 2.0)).selectExpr(
+        "* except (seq)", "seq + (1L << 60) as seq"
+    )
+    want = [(r.open, r.close) for r in qm.ohlcv(one, "d1", wide_seq=True).collect()]
+    got = qm.merge_partial_bars(partial_bars(one, "d1", wide_seq=True)).collect()
+    assert [(r.open, r.close) for r in got] == want == [(1.0, 2.0)]
