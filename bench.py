@@ -36,6 +36,10 @@ HEADLINE = (
     "F6_in_range",
     "C1_manifest",
     "C2_coverage_by_instrument",
+    "C3_pending",
+    "A2_download_all_h1",
+    "S2_strict_scan",
+    "R2_stream_archive_bars",
     "E1_estimate",
     "E4_estimate_lookbacks",
     "K1_csv_ticks",

@@ -355,4 +355,8 @@ FROM parts LEFT JOIN stats USING (category) GROUP BY 1""",
         "K6_parquet_bars": bars15,
         "K7_ordered_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "A2_download_all_h1": _damaged_bars(_SHARD),
+        # The first run read the files that hold no tick, so the second does not open them again.
+        "C3_resumed_run": f"""WITH {_raw_cte(_SHARD)}, {_TICKS_CTE},
+finished AS (SELECT * FROM ticks WHERE ms // 3600000 % 24 <> {_HOUR_OF["empty"]})
+{_bars(3600, "finished")}""",
     }

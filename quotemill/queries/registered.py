@@ -474,7 +474,19 @@ def _read_back(spark: SparkSession, path: str, schema: T.StructType, format: str
 
 def _download_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run from a damaged archive to hourly bars in Parquet."""
-    root, out = _archive(spark, sf_dir, damaged=True), shared_dir(spark, "run")
+    return _bars_of_runs(spark, sf_dir, _archive(spark, sf_dir, damaged=True))
+
+
+def _resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars after a run over a damaged archive and one over the mended archive that opens only what was left.
+
+    Hours whose file held no tick in the first run were read, so they stay as they were.
+    """
+    return _bars_of_runs(spark, sf_dir, _archive(spark, sf_dir, damaged=True), _archive(spark, sf_dir))
+
+
+def _bars_of_runs(spark: SparkSession, sf_dir: str, *roots: str) -> DataFrame:
+    """The bars that the last of some runs with one table of decoded hours writes."""
     ranges = _shard_ranges(spark, sf_dir)
     factors = frames.event_instruments(spark).withColumnRenamed("id", "event_type")
     shards = ranges.withColumn("event_type", F.substring_index("instrument", "_", 1)).join(factors, "event_type")
@@ -488,9 +500,11 @@ def _download_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("start_date").cast("timestamp").alias("start_tick_date"),
     )
     end = frames.events(spark, sf_dir).agg(F.max(F.to_date("ts"))).first()[0]
-    download_all(
-        spark, root, out, category="stock", as_of=end, timeframe="h1", format="parquet", instruments=listed
-    )
+    table = shared_dir(spark, "landed")
+    wanted = {"category": "stock", "as_of": end, "timeframe": "h1", "format": "parquet", "instruments": listed}
+    for root in roots:
+        out = shared_dir(spark, "run")
+        download_all(spark, root, out, table=table, **wanted)
     return _ntz(spark.read.schema(_sink_schema(BARS)).parquet(out))
 
 
@@ -559,6 +573,7 @@ def queries() -> dict[str, Query]:
         "C2_coverage": _coverage_rows,
         "C2_coverage_by_instrument": _coverage_by_instrument,
         "C3_pending": _pending,
+        "C3_resumed_run": _resumed_run,
         "C4_progress": _progress,
         "C4_overall_progress": _overall_progress,
         "C5_instrument_ids": _instrument_ids,
