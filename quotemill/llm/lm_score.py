@@ -2,8 +2,13 @@
 
 The model reads a text's subword ids in windows of CONTEXT + BLOCK that overlap by CONTEXT: every id is scored once, in the
 block of one window, with at least the context before it that the text has. Many windows go through masked attention at
-once. The model predicts the class of the next id from the attended ids; within its class an id has a fixed share. Classes
-come from the ids' neighbours, and all weights from a bounded, deterministic sample of training documents.
+once. The model predicts the class of the next id from the attended ids; within its class an id has a fixed share.
+
+Classes, shares and weights come from all training documents, in whole. Texts are cut into pieces of whole windows that
+keep the context before them; only a text's last piece has the end. Counts of ids and of their neighbours are summed over
+all pieces. Weights learn in rounds: each piece belongs to one round, and in it to one shard of a bounded number of windows,
+dealt by hash. A task goes through its shard's windows, and the weights of all shards are averaged in tasks, by windows, and
+embeddings by how often they were met. So steps grow with the corpus, and small corpora are gone through several times.
 
 Word counts cover all training documents. The commonest words, in bounded number, reach the tasks; rarer words of the
 documents are joined with their counts by shuffle.
@@ -15,6 +20,7 @@ columns play no part.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,35 +30,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, remainder_is, settled, steps, table, texts
+from .common import remainder_is, settled, steps, table, texts
 from .packing import default_tokenizer, part_ids
 
-#: Documents that the attention model is trained on, at most, and their ids, at most.
-TRAINING_ROWS = 1_000
-TRAINING_IDS = 1_500_000
 VOCABULARY = 49_408
 BEGIN, END = 49_406, 49_407
 CONTEXT, BLOCK = 16, 32
+SPAN = CONTEXT + BLOCK
 CLASSES, WIDTH, KEY, HIDDEN = 32, 16, 8, 32
+#: Cells that ids on one side of an id are hashed to, for its class.
+CELLS = 64
+#: Small corpora are gone through until there are so many steps.
 STEPS, BATCH, RATE = 250, 128, 0.02
+#: Ids of one piece of a text (a multiple of BLOCK), windows of one shard, about, and rounds after which shards are averaged.
+PIECE, SHARD_WINDOWS, ROUNDS = 512 * BLOCK, 32_768, 4
+#: Ids whose sums one row holds.
+CHUNK = 1024
 #: Words whose counts reach the tasks.
 COMMON_WORDS = 100_000
 END_WORD = "\n"
 STEP_BYTES = 6_000_000
 
 
-def neighbour_classes(ids: np.ndarray, seed: int = 5) -> np.ndarray:
+def neighbours(pieces: list[tuple[np.ndarray, bool, bool]], seen: np.ndarray | None = None) -> np.ndarray:
+    """For each id the hashes of the ids after and before it, and its count; pieces that do not begin their text repeat a block."""
+    seen = np.zeros(VOCABULARY * (2 * CELLS + 1), np.int64) if seen is None else seen
+    for own, begins, ends in pieces:
+        ids = np.append(own, END).astype(np.int64) if ends else own.astype(np.int64)
+        ids = ids if begins else ids[BLOCK - 1 :]  # the last id before is a neighbour, and counted by the piece it is from
+        at = ids * (2 * CELLS + 1)
+        np.add.at(seen, at[:-1] + ids[1:] * 31 % CELLS, 1)
+        np.add.at(seen, at[1:] + CELLS + ids[:-1] * 31 % CELLS, 1)
+        np.add.at(seen, at[not begins :] + 2 * CELLS, 1)
+    return seen
+
+
+def neighbour_classes(seen: np.ndarray, seed: int = 5) -> np.ndarray:
     """A class for each id, by k-means over its neighbours' hashes; ids not seen are dealt evenly."""
     rng = np.random.default_rng(seed)
-    cells = 64
-    seen = np.zeros((VOCABULARY, 2 * cells), np.float32)
-    np.add.at(seen, (ids[:-1], ids[1:] * 31 % cells), 1)
-    np.add.at(seen, (ids[1:], cells + ids[:-1] * 31 % cells), 1)
     out = np.arange(VOCABULARY) % CLASSES
     known = np.flatnonzero(seen.sum(axis=1) >= 3)
     if len(known) < CLASSES:
         return out
-    points = np.sqrt(seen[known])
+    points = np.sqrt(seen[known], dtype=np.float32)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     weight = seen[known].sum(axis=1)
     centers = points[rng.choice(len(known), CLASSES, replace=False, p=weight / weight.sum())]
@@ -66,37 +86,54 @@ def neighbour_classes(ids: np.ndarray, seed: int = 5) -> np.ndarray:
     return out
 
 
-def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (-1: before the text) and targets (-1: after it) of all windows, and the text of each window."""
-    sizes = np.array([len(own) + 1 for own in ids], np.int64)
+def cut(ids: np.ndarray) -> list[tuple[np.ndarray, bool, bool]]:
+    """Pieces of a text: their ids, and whether the text begins and ends with them. All but the first repeat the block before."""
+    starts = range(0, len(ids) + 1, PIECE)
+    return [(ids[max(0, at - BLOCK) : at + PIECE], at == 0, at + PIECE > len(ids)) for at in starts]
+
+
+def windows(ids: list[np.ndarray], begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Inputs (-1: before the text) and targets (-1: after it) of all windows, the text of each window, and the ids before it.
+
+    Without ``begins`` and ``ends`` all are whole texts; else the block that a later piece repeats is context alone.
+    """
+    begins = np.ones(len(ids), bool) if begins is None else np.asarray(begins, bool)
+    ends = np.ones(len(ids), bool) if ends is None else np.asarray(ends, bool)
+    sizes = np.array([len(own) for own in ids], np.int64) + ends
     number = -(-sizes // BLOCK)
     padded = number * BLOCK
-    flat = np.full(padded.sum() + CONTEXT + 1, -1, np.int64)
+    flat = np.full(padded.sum() + CONTEXT + 1, -1, np.int32)
     first = np.cumsum(padded) - padded
-    of = np.repeat(np.arange(len(ids)), sizes)
-    place = np.arange(sizes.sum()) - (np.cumsum(sizes) - sizes)[of] + first[of]
-    end = np.array([END])
-    values = np.concatenate([part for own in ids for part in (own, end)])
-    targets = np.full(padded.sum(), -1, np.int64)
-    targets[place] = values
-    flat[CONTEXT + 1 + place] = values
+    place = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    end = np.array([END], np.int32)
+    flat[CONTEXT + 1 + place] = np.concatenate([x for own, last in zip(ids, ends, strict=True) for x in ((own, end) if last else (own,))])
+    targets = flat[CONTEXT + 1 :].reshape(-1, BLOCK)
     text = np.repeat(np.arange(len(ids)), number)
     start = np.arange(len(text)) * BLOCK  # of the block in the padded texts
-    inputs = flat[start[:, None] + np.arange(CONTEXT + BLOCK)]
     back = start - first[text]  # ids of the text before the block
-    position = back[:, None] + np.arange(CONTEXT + BLOCK) - CONTEXT - 1
-    inputs = np.where(position == -1, BEGIN, np.where(position < -1, -1, inputs))
-    return inputs, targets.reshape(-1, BLOCK), text, back
+    inputs = flat[start[:, None] + np.arange(SPAN)]
+    inputs[back == 0, :CONTEXT], inputs[back == 0, CONTEXT] = -1, BEGIN
+    own = (back > 0) | begins[text]
+    return (inputs, targets, text, back) if own.all() else (inputs[own], targets[own], text[own], back[own])
+
+
+def passes(number: int) -> int:
+    """How often ``number`` windows of a whole corpus are gone through."""
+    return max(1, -(-STEPS * BATCH // max(1, number)))
 
 
 class Attention:
-    """Embeddings, one head of masked attention with biases by distance, a hidden layer, class logits; shares within classes."""
+    """Embeddings, one head of masked attention with biases by distance, a hidden layer, class logits; shares within classes.
+
+    ``seen`` has the sums of ``neighbours`` over a corpus, for weights that learn later; without it the model learns from ``ids`` alone.
+    """
 
-    def __init__(self, ids: list[np.ndarray], seed: int = 3):
+    def __init__(self, ids: list[np.ndarray], seed: int = 3, seen: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
-        flat = np.concatenate([part for own in ids for part in (own.astype(np.int64), [END])]) if ids else np.array([END])
-        self.classes = neighbour_classes(flat)
-        counts = np.bincount(flat, minlength=VOCABULARY) + 0.1
+        alone = seen is None
+        seen = neighbours([(own, True, True) for own in ids] if alone else [], seen).reshape(VOCABULARY, -1)
+        self.classes = neighbour_classes(seen[:, :-1])
+        counts = seen[:, -1] + 0.1
         self.share = np.log(counts / np.bincount(self.classes, counts, CLASSES)[self.classes]).astype(np.float32)
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.p = {
@@ -104,82 +141,99 @@ class Attention:
             "q": normal(WIDTH, KEY),
             "k": normal(WIDTH, KEY),
             "v": normal(WIDTH, WIDTH),
-            "r": np.zeros(CONTEXT + BLOCK, np.float32),
+            "r": np.zeros(SPAN, np.float32),
             "o": normal(WIDTH, HIDDEN),
             "x": normal(WIDTH, HIDDEN),
             "b": np.zeros(HIDDEN, np.float32),
             "c": normal(HIDDEN, CLASSES),
             "d": np.zeros(CLASSES, np.float32),
         }
-        distance = CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None]
+        distance = CONTEXT + np.arange(BLOCK)[None] - np.arange(SPAN)[:, None]
         self.future, self.distance = distance < 0, np.maximum(distance, 0)
-        if ids:
-            self.train(*windows(ids)[:2], rng)
+        if ids and alone:
+            inputs, targets, *_ = windows(ids)
+            self.learn(inputs, targets, passes(len(inputs)), rng)
 
     def forward(self, inputs: np.ndarray) -> tuple:
-        p = self.p
-        x = p["e"][np.maximum(inputs, 0)]
-        last = x[:, CONTEXT:]
-        q, k, v = last @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(KEY)) + np.where(self.future, np.float32(-1e4), p["r"][self.distance])
-        s += np.where(inputs < 0, np.float32(-1e4), np.float32(0))[:, None]
-        s -= s.max(axis=2, keepdims=True)
+        """Attention is laid out as (window, key, query) and class logits as (class, place), so that sums run over rows."""
+        p, n = self.p, len(inputs)
+        x = p["e"].take(np.maximum(inputs, 0).ravel(), axis=0)
+        kv = (x @ np.hstack([p["k"], p["v"]])).reshape(n, SPAN, KEY + WIDTH)
+        k, v = kv[..., :KEY], kv[..., KEY:]
+        last = x.reshape(n, SPAN, WIDTH)[:, CONTEXT:].reshape(-1, WIDTH)
+        q = (last @ (p["q"] / np.float32(np.sqrt(KEY)))).reshape(n, BLOCK, KEY)
+        s = k @ q.transpose(0, 2, 1)
+        s += np.where(self.future, np.float32(-1e4), p["r"][self.distance])
+        some = np.flatnonzero((inputs[:, 0] < 0) | (inputs[:, -1] < 0))
+        s[some] += np.where(inputs[some] < 0, np.float32(-1e4), np.float32(0))[:, :, None]
+        s -= s.max(axis=1, keepdims=True)
         a = np.exp(s, out=s)
-        a /= a.sum(axis=2, keepdims=True)
-        mixed = a @ v
+        a /= a.sum(axis=1, keepdims=True)
+        mixed = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
         h = np.tanh(mixed @ p["o"] + last @ p["x"] + p["b"])
-        logits = h @ p["c"] + p["d"]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-        return x, last, q, k, v, a, mixed, h, logits
+        logits = p["c"].T @ h.T + p["d"][:, None]
+        logits -= logits.max(axis=0)
+        logits -= np.log(np.exp(logits).sum(axis=0))
+        return x, last, q, k, v, a, mixed, h, logits.T.reshape(n, BLOCK, CLASSES)
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, times: int, rng: np.random.Generator, since: float = 0.0, until: float = 1.0) -> np.ndarray:
+        """Goes through all windows so many times, from one share of the whole training to another; how often each embedding was met."""
         first = {name: np.zeros_like(value) for name, value in self.p.items()}
         second = {name: np.zeros_like(value) for name, value in self.p.items()}
-        for step in range(1, STEPS + 1):
-            some = rng.integers(0, len(inputs), BATCH)
-            for name, grad in self.gradients(inputs[some], targets[some]).items():
-                m, s = first[name], second[name]
-                m += 0.1 * (grad - m)
-                s += 0.01 * (grad**2 - s)
-                rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
-                self.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-        p, live = self.p, targets >= 0
+        met = np.zeros(VOCABULARY, np.int64)
+        order = np.concatenate([rng.permutation(len(inputs)) for _ in range(times)])
+        for step, at in enumerate(range(0, len(order), BATCH), 1):
+            some = order[at : at + BATCH]
+            rate = np.float32(RATE * min(1.0, 2 * (1 - since - (until - since) * at / len(order)) + 1e-3))
+            rows, grads = self.gradients(inputs[some], targets[some])
+            met[rows] += 1
+            for name, grad in grads.items():
+                own, number = (rows, met[rows, None]) if name == "e" else (slice(None), step)
+                first[name][own] = m = 0.9 * first[name][own] + 0.1 * grad
+                second[name][own] = s = 0.99 * second[name][own] + 0.01 * grad**2
+                self.p[name][own] -= (rate * (m / (1 - 0.9**number)) / (np.sqrt(s / (1 - 0.99**number)) + 1e-6)).astype(np.float32)
+        return met
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The ids among the inputs, and all gradients; that of the embeddings is for these ids alone."""
+        p, n = self.p, len(inputs)
         x, last, q, k, v, a, mixed, h, logits = self.forward(inputs)
-        g = np.exp(logits)
-        w, t = np.nonzero(live)
-        g[w, t, self.classes[targets[w, t]]] -= 1
-        g *= live[:, :, None] / np.float32(max(1, live.sum()))
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        gh = (g @ p["c"].T) * (1 - h**2)
+        live = np.flatnonzero(targets.ravel() >= 0)
+        g = np.exp(logits.reshape(-1, CLASSES).T)
+        g[self.classes[targets.ravel()[live]], live] -= 1
+        g *= (targets.ravel() >= 0) / np.float32(max(1, len(live)))
+        gh = (g.T @ p["c"].T) * (1 - h**2)
         gm = gh @ p["o"].T
-        ga = gm @ v.transpose(0, 2, 1)
-        gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
+        along = (gm * mixed).sum(axis=1).reshape(n, 1, BLOCK)
+        gm = gm.reshape(n, BLOCK, WIDTH)
+        gs = v @ gm.transpose(0, 2, 1)
+        gs -= along
+        gs *= a
         gr = np.zeros_like(p["r"])
         np.add.at(gr, self.distance, np.where(self.future, 0, gs.sum(axis=0)))
-        gs = gs / np.float32(np.sqrt(KEY))
-        gq, gk, gv = gs @ k, gs.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ gm
-        gx = gk @ p["k"].T + gv @ p["v"].T
-        gx[:, CONTEXT:] += gq @ p["q"].T + gh @ p["x"].T
-        ge = np.zeros_like(p["e"])
-        w, t = np.nonzero(inputs >= 0)
-        np.add.at(ge, inputs[w, t], gx[w, t])
-        return {
-            "e": ge,
-            "q": flat(last).T @ flat(gq),
-            "k": flat(x).T @ flat(gk),
-            "v": flat(x).T @ flat(gv),
+        gq = (gs.transpose(0, 2, 1) @ k).reshape(-1, KEY) / np.float32(np.sqrt(KEY))
+        gkv = np.concatenate([gs @ q, a @ gm], axis=2).reshape(-1, KEY + WIDTH)
+        gx = gkv @ np.hstack([p["k"], p["v"]]).T
+        gx.reshape(n, SPAN, WIDTH)[:, CONTEXT:] += (gq @ p["q"].T + gh @ p["x"].T).reshape(n, BLOCK, WIDTH)
+        ids = inputs.ravel()
+        order = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
+        ids = ids[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        gk = x.T @ gkv
+        return ids[starts], {
+            "e": np.add.reduceat(gx[order], starts, axis=0),
+            "q": last.T @ gq,
+            "k": gk[:, :KEY],
+            "v": gk[:, KEY:],
             "r": gr,
-            "o": flat(mixed).T @ flat(gh),
-            "x": flat(last).T @ flat(gh),
-            "b": flat(gh).sum(axis=0),
-            "c": flat(h).T @ flat(g),
-            "d": flat(g).sum(axis=0),
+            "o": mixed.T @ gh,
+            "x": last.T @ gh,
+            "b": gh.sum(axis=0),
+            "c": h.T @ g.T,
+            "d": g.sum(axis=1),
         }
 
-    def score(self, ids: list[np.ndarray], at_once: int = 512) -> np.ndarray:
+    def score(self, ids: list[np.ndarray], at_once: int = 256) -> np.ndarray:
         """Natural log probability of each text's ids and its end."""
         inputs, targets, text, _ = windows(ids)
         out = np.zeros(len(ids))
@@ -220,21 +274,123 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, key: str = "doc_id", rows: int = TRAINING_ROWS, tokenizer: str | None = None) -> Attention:
-    """The model of at most ``rows`` documents, and of at most TRAINING_IDS ids, cut from the longest documents."""
+PARTS = "chunk int, shard bigint, places binary, weights binary, means binary"
+
+
+def parts_of(chunk: np.ndarray, place: np.ndarray, weight: np.ndarray, mean: np.ndarray, shard: int) -> pa.RecordBatch:
+    """Rows of PARTS; chunks are in order."""
+    starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.empty(0, int)
+    split = lambda values, kind: [x.astype(kind).tobytes() for x in np.split(values, starts[1:])] if len(starts) else []
+    columns = [pa.array(chunk[starts], pa.int32()), pa.array([shard] * len(starts), pa.int64())]
+    columns += [pa.array(split(*x), pa.binary()) for x in ((place, "<i4"), (weight, "<f8"), (mean, "<f4"))]
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "shard", "places", "weights", "means"])
+
+
+def merged(parts: DataFrame) -> pa.Table:
+    """Sums of the weights and weighted means over all shards, made in tasks, one row for each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, total, sums = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if chunk is not None:
+                at = np.flatnonzero(total)
+                yield parts_of(np.full(len(at), chunk), at, total[at], sums[at] / total[at, None], 0)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["chunk"] != chunk:
+                    yield from done()
+                    chunk, total, sums = row["chunk"], np.zeros(0), None
+                place, weight = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["weights"], "<f8")
+                mean = np.frombuffer(row["means"], "<f4").reshape(len(place), -1)
+                sums = np.zeros((0, mean.shape[1])) if sums is None else sums
+                if (more := place.max() + 1 - len(total)) > 0:
+                    total, sums = np.pad(total, (0, more)), np.pad(sums, ((0, more), (0, 0)))
+                total[place] += weight
+                sums[place] += weight[:, None] * mean
+        yield from done()
+
+    return parts.repartition(16, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, PARTS).toArrow()
+
+
+def pieces_in(batch: pa.RecordBatch) -> list[tuple[np.ndarray, bool, bool]]:
+    ids, begins, ends = (batch.column(name).to_pylist() for name in ("ids", "begins", "ends"))
+    return [(np.frombuffer(own, "<u2"), first, last) for own, first, last in zip(ids, begins, ends, strict=True)]
+
+
+def pieces(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+    """The documents' ids, two bytes each, in pieces of bounded size."""
     path = tokenizer or default_tokenizer()
-    most = max(1, TRAINING_IDS // rows)
-    some = docs.select(key, "text").join(F.broadcast(bounded_ids(docs, key, rows)), key, "left_semi")
+    names = [key, "place", "begins", "ends", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", STEP_BYTES):
+                own = [cut(ids.astype("<u2")) for ids in part_ids(path).of([text.encode() for text in texts(part)])]
+                keys = part.column(key).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
+                place = pa.array([i for x in own for i in range(len(x))], pa.int64())
+                ids, begins, ends = zip(*(piece for x in own for piece in x), strict=True)
+                yield pa.RecordBatch.from_arrays([keys, place, pa.array(begins), pa.array(ends), pa.array([x.tobytes() for x in ids], pa.binary())], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, place bigint, begins boolean, ends boolean, ids binary")
+
+
+def gathered(cut_texts: DataFrame) -> np.ndarray:
+    """The sums of ``neighbours`` over all pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
         for batch in batches:
-            for part in steps(batch, "text"):
-                ids = [own[:most].astype(np.int64) for own in part_ids(path).of([text.encode() for text in texts(part)])]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(ids, pa.list_(pa.int64()))], [key, "ids"])
+            seen = neighbours(pieces_in(batch), seen)
+        if seen is not None:
+            at = np.flatnonzero(seen)
+            chunk, place = np.divmod(at, CHUNK * (2 * CELLS + 1))
+            yield parts_of(chunk, place, seen[at], np.empty((len(at), 0)), TaskContext.get().partitionId())
+
+    out = np.zeros(VOCABULARY * (2 * CELLS + 1), np.int64)
+    for row in merged(cut_texts.select("ids", "begins", "ends").mapInArrow(run, PARTS)).to_pylist():
+        out[row["chunk"] * CHUNK * (2 * CELLS + 1) + np.frombuffer(row["places"], "<i4")] = np.frombuffer(row["weights"], "<f8")
+    return out
+
 
-    kind = some.schema[key].dataType.simpleString()
-    found = some.mapInArrow(run, f"{key} {kind}, ids array<bigint>").orderBy(key, "ids").limit(rows).toArrow()
-    return Attention([np.array(own, np.int64) for own in found.column("ids").to_pylist()])
+def train(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> Attention:
+    """The model of all documents, in whole."""
+    own = settled(pieces(docs, key, tokenizer), "pieces")
+    blocks = F.ceil((F.length("ids") / 2 + F.col("ends").cast("int")) / BLOCK) - F.when(F.col("begins"), 0).otherwise(1)
+    number = int(own.agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0])
+    model = Attention([], seen=gathered(own))
+    dense = [name for name in model.p if name != "e"]
+    times, shards = passes(number), max(1, -(-number // (SHARD_WINDOWS * ROUNDS)))
+    for turn in range(ROUNDS if number else 0):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            found = [piece for batch in batches for piece in pieces_in(batch)]
+            if not found:
+                return
+            shard = TaskContext.get().partitionId()
+            mine = copy.deepcopy(shared.value)  # the worker may serve other shards
+            inputs, targets, *_ = windows(*zip(*found, strict=True))
+            met = mine.learn(inputs, targets, times, np.random.default_rng([turn, shard]), turn / ROUNDS, (turn + 1) / ROUNDS)
+            flat = np.concatenate([mine.p[name].ravel() for name in dense])
+            yield parts_of(np.zeros(len(flat), int), np.arange(len(flat)), np.full(len(flat), len(inputs)), flat[:, None], shard)
+            rows = np.flatnonzero(met)
+            yield parts_of(1 + rows // CHUNK, rows % CHUNK, met[rows], mine.p["e"][rows], shard)
+
+        some = own.filter(F.pmod(F.xxhash64(key, "place", "ids"), F.lit(ROUNDS)) == turn)
+        dealt = some.repartition(shards, key, "place", "ids").sortWithinPartitions(key, "place", "ids").select("ids", "begins", "ends")
+        for row in merged(dealt.mapInArrow(run, PARTS)).to_pylist():
+            place, mean = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["means"], "<f4")
+            if row["chunk"]:
+                model.p["e"][(row["chunk"] - 1) * CHUNK + place] = mean.reshape(-1, WIDTH)
+            else:
+                sizes = np.cumsum([model.p[name].size for name in dense])
+                for name, values in zip(dense, np.split(mean, sizes[:-1]), strict=True):
+                    model.p[name] = values.reshape(model.p[name].shape).copy()
+        shared.unpersist()
+    return model
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Attention, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:

@@ -192,6 +192,34 @@ def test_lm_on_odd_tables(spark, odd, empty):
     assert {r.train_tokens for r in lm_score.score(odd, nothing, lm_score.train(empty)).collect()} == {0}
 
 
+def counts_of(texts):
+    out = Counter({lm_score.END: len(texts)})
+    for ids in packing.part_ids(packing.default_tokenizer()).of([text.encode() for text in texts]):
+        out.update(ids.tolist())
+    return out
+
+
+def shares_follow(model, counts):
+    n = np.array([counts[i] for i in range(lm_score.VOCABULARY)]) + 0.1
+    whole = np.bincount(model.classes, n, lm_score.CLASSES)[model.classes]
+    return np.allclose(model.share, np.log(n / whole), atol=1e-4)
+
+
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "ist")]
+    texts = [" ".join(rng.choice(names, rng.integers(1, 60))) for _ in range(1300)]
+    docs = frame(spark, texts).repartition(5)
+    monkeypatch.setattr(lm_score, "SHARD_WINDOWS", 150)  # several shards in a round
+    model = lm_score.train(docs)
+    assert shares_follow(model, counts_of(texts))
+    again = lm_score.train(docs.repartition(3))
+    assert all(np.array_equal(model.p[name], again.p[name]) for name in model.p)  # whatever the order of the rows
+    held = packing.part_ids(packing.default_tokenizer()).of([" ".join(rng.choice(names, 40)).encode() for _ in range(20)])
+    untrained = lm_score.Attention([], seen=lm_score.gathered(lm_score.settled(lm_score.pieces(docs), "test")))
+    assert model.score(held).sum() > untrained.score(held).sum() + 100
+
+
 def brute_counts(text):
     own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at = {}
