@@ -220,6 +220,18 @@ def test_lm_learns_from_all_documents(spark, monkeypatch):
     assert model.score(held).sum() > untrained.score(held).sum() + 100
 
 
+def test_lm_learns_whole_texts_and_their_true_ends(spark, monkeypatch):
+    texts = ["the cat sat on the mat " * 500 + "zebra crossing " * 40, "one two", ""]  # the long one's tail lies behind id 1,500
+    assert shares_follow(lm_score.train(frame(spark, texts)), counts_of(texts))
+    monkeypatch.setattr(lm_score, "PIECE", 2 * lm_score.BLOCK)
+    for size in (0, 1, 31, 32, 63, 64, 65, 96, 127, 128, 500):
+        own = np.arange(size)
+        whole = lm_score.windows([own])
+        parts = lm_score.windows(*zip(*lm_score.cut(own), strict=True))
+        assert all(np.array_equal(a, b) for a, b in zip(whole[:2], parts[:2], strict=True))
+        assert parts[1][parts[1] >= 0].tolist() == [*range(size), lm_score.END]  # the end once, behind the last id
+
+
 def brute_counts(text):
     own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at = {}
