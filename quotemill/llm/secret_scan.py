@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -142,16 +142,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def scan(text: str, model: MarkovRatio) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans with the model's: long runs beside the base spans that look random."""
+    """Base spans, and all spans with the model's: long runs, or what base spans leave of them, that look random."""
     base = base_spans(text)
     spans = list(base)
     if max(map(len, text.split()), default=0) >= LEAST_RUN:
         starts, ends = [span[0] for span in base], list(accumulate((span[1] for span in base), max))
         for m in RUN.finditer(text):
             if m.end() - m.start() >= LEAST_RUN:
-                before = bisect_left(starts, m.end())  # base spans that begin before the run ends
-                if not (before and ends[before - 1] > m.start()) and model.is_random(m[0]):
-                    spans.append((m.start(), m.end(), "model"))
+                at = m.start()
+                cuts = range(bisect_right(ends, at), bisect_left(starts, m.end()))  # base spans that end in the run or behind it
+                for start, end in [*((starts[i], ends[i]) for i in cuts), (m.end(), m.end())]:
+                    if start - at >= LEAST_RUN and model.is_random(text[at:start]):
+                        spans.append((at, start, "model"))
+                    at = max(at, end)
     return base, sorted(spans, key=lambda span: (span[0], KINDS.index(span[2])))
 
 

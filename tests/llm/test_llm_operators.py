@@ -114,6 +114,18 @@ def test_secret_query_and_redaction(spark, odd, empty):
     assert secret_scan.redact(odd).count() == odd.count() and secret_scan.redact(empty).count() == 0
 
 
+def test_secrets_beside_base_spans_in_one_run():
+    model, key = secret_scan.trained(), "9fQ2zLr7Kp0VwXyT3mB8aZ1x9fQ7zLr2Kp5VwXyT"
+    hex_, access = "0a1b" * 8, "AKIA" + "Q7" * 8
+    for text in (f"see https://h/{hex_}/{key} end", f"{access}/{key}", f"{key}/{hex_}", f"{key}/{hex_}/{key}"):
+        base, spans = secret_scan.scan(text, model)
+        assert len(base) == 1
+        covered = {i for start, end, _ in spans for i in range(start, end)}
+        places = [m.start() for m in re.finditer(key, text)]
+        assert all(covered >= set(range(at, at + len(key))) for at in places) and len(spans) == 1 + len(places)
+    assert [k for *_, k in secret_scan.scan(f"/{hex_}/short", model)[1]] == ["hex"]
+
+
 def test_language_models_on_held_out_rows(spark):
     got = registered.op3_language_id(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = got.filter("held_out").collect()
