@@ -18,11 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, table
+from .common import beside, table
 
 CELLS = 1 << 14
-#: Trusted documents that the target multinomial is fitted on, at most.
-TRUSTED_ROWS = 20_000
 TOLERANCE = 6.0
 LEAST_WORDS = 50
 SPACE = " \t\n\x0b\f\r"
@@ -58,7 +56,7 @@ def with_cells(words: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """For each cell the log of its share in the trusted documents over that in all, with one added to each count."""
     cells = with_cells(with_words(docs)).select("doc_id", "cells")
-    marked = cells.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "doc_id", "left")
+    marked = cells.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
     counted = marked.select("trusted", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target")).filter("cell is not null").collect()  # CELLS rows at most
     raw, target = [1] * CELLS, [1] * CELLS
     for row in counted:
@@ -129,11 +127,12 @@ def counts(words: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, trusted: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """The counts, whether the fixed rules fail, the n-gram score, and whether the document is kept.
 
-    ``trusted`` holds the doc_ids of trusted documents, in bounded number.
+    ``trusted`` holds the doc_ids of trusted documents, in any number.
     """
     own = docs.select("doc_id", "text")
+    trusted = beside(trusted.filter("doc_id is not null").distinct())
     ratios = log_ratios(own, trusted)
-    mean, between, within = usual(with_words(own.join(F.broadcast(trusted), "doc_id", "left_semi")), ratios)
+    mean, between, within = usual(with_words(own.join(trusted, "doc_id", "left_semi")), ratios)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = counts(scored(with_words(own), ratios)).withColumn("base_failed", failed)
     threshold = mean - tolerance * F.sqrt(F.lit(between) + F.lit(within) / F.greatest("n_grams", F.lit(1)))
@@ -143,4 +142,4 @@ def judge(docs: DataFrame, trusted: DataFrame, tolerance: float = TOLERANCE) ->
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    return judge(table(spark, sf_dir, "documents"), bounded_ids(labels.filter("quality = 1"), "doc_id", TRUSTED_ROWS))
+    return judge(table(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"))

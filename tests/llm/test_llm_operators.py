@@ -268,6 +268,17 @@ def test_quality_rules_equal_brute_force(spark, odd, empty):
     assert all(r.kept == (not r.base_failed) for r in plain)
 
 
+def test_quality_rules_learn_from_all_trusted_ids(spark, tmp_path, monkeypatch):
+    texts = [f"w{i % 3} " * 60 for i in range(21_000)]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.range(21_000).selectExpr("id doc_id", "1 quality")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    given = []
+    monkeypatch.setattr(quality_rules, "judge", lambda docs, trusted: given.append(trusted.count()))
+    quality_rules.op5_quality_rules(spark, str(tmp_path))
+    assert given == [21_000]
+
+
 def test_quality_rules_plan_has_no_python(spark):
     plan = registered.op5_quality_rules(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
