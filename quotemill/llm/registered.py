@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import merkle, vector_codes
 from .decontaminate import op10_decontamination
 from .html_text import op1_html_extraction
 from .language_id import op3_language_id
 from .lm_score import op4_lm_scoring
+from .merkle import op12_merkle_manifest
 from .ngram_join import op9_ngram_jaccard_join
 from .packing import op8_packing
 from .quality_qda import op6_quality_classifier
 from .quality_rules import op5_quality_rules
 from .secret_scan import op2_secret_scan
+from .sharding import op13_sharding
 from .url_filter import op7_url_filter
+from .vector_codes import op11_vector_code_compression
 
 QUERIES = (
     op1_html_extraction,
@@ -28,6 +32,9 @@ QUERIES = (
     op8_packing,
     op9_ngram_jaccard_join,
     op10_decontamination,
+    op11_vector_code_compression,
+    op12_merkle_manifest,
+    op13_sharding,
 )
 
 
@@ -38,7 +45,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Models, digests of spans and components have no SQL counterpart here; tests compare the queries with brute force."""
+    """Models and hash orders have no SQL counterpart; tests compare their queries with brute force."""
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    own = {"op11_vector_code_compression": vector_codes.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
