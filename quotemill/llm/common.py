@@ -15,9 +15,20 @@ from ..session import shared_dir
 
 #: Characters that one step in a task works on at a time, where it holds several arrays per character.
 STEP_CHARS = 1_000_000
+#: Bytes of a batch that goes to a Python worker. The executor and the worker hold several copies of one.
+BATCH_BYTES = 8 << 20
+
+
+def steady(spark: SparkSession) -> None:
+    """Hold batches for Python workers to BATCH_BYTES, where the session does not hold them to less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    steady(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +40,7 @@ def remainder_is(key: str, divisor: int, value: int) -> Column:
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again, so that later work does not repeat what made them."""
     spark = df.sparkSession
+    steady(spark)
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,6 +82,7 @@ def with_struct(
     df: DataFrame, name: str, fields: T.StructType, make: Callable[[pa.RecordBatch], list], column: str = "text", size: int = STEP_CHARS
 ) -> DataFrame:
     """The rows with a struct column that ``make`` computes from slices of the batches; all other columns pass unchanged."""
+    steady(df.sparkSession)
     schema = T.StructType([field for field in df.schema.fields if field.name != name] + [T.StructField(name, fields)])
     kept = [field.name for field in schema.fields[:-1]]
     names, kinds = fields.names, [arrow_type(field.dataType) for field in fields.fields]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, settled, steps, table, texts, words
+from .common import beside, settled, steady, steps, table, texts, words
 
 #: Bits of the sketch's cell numbers. It is broadcast with two bytes a cell.
 SKETCH_BITS = 20
@@ -37,8 +37,8 @@ CHUNK = 1 << 14
 ORDERS = 3
 #: Shingles by which the first order's prefixes are longer than needed for one meeting.
 EXTRA = 8
-CACHED_WORDS = 300_000
-STEP_BYTES = 4_000_000
+CACHED_WORDS = 100_000
+STEP_BYTES = 2_000_000
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -62,6 +62,12 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def forget() -> None:
+    """At the end of a task: the worker lives on, and may wait for long."""
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_sets(values: list[str], size: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes."""
     split = [words(value) for value in values]
@@ -102,6 +108,7 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
                 found = [s for s in shingle_sets(texts(part), size) if len(s)]
                 if found:
                     own += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
+        forget()
         for i, chunk in enumerate(np.split(own, chunks)):
             if chunk.any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([narrow(chunk)], pa.binary())})
@@ -156,6 +163,7 @@ def signatures(docs: DataFrame, key: str, size: int, percent: int, rarity, bits:
                 columns = [pa.array(first, pa.list_(pa.int64()) if whole else pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in rest)]
                 sizes = pa.array(list(map(len, sets)), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(key), sizes, *columns], [key, "n_shingles", *names])
+        forget()
 
     kinds = ["array<bigint>" if x != "digest" else "binary" for x in names]
     schema = f"{key} bigint, n_shingles bigint, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
@@ -216,6 +224,7 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
 
 def link_components(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(key, n_shingles, component_id) for every row."""
+    steady(docs.sparkSession)
     rarity = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, sketch_bits))
     signed = settled(signatures(docs, key, size, percent, rarity, sketch_bits, whole=False), "signatures")
     some = signed.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull())
