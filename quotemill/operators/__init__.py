@@ -17,6 +17,7 @@ from .instruments import (
 )
 from .normalize import normalize_ticks
 from .ohlcv import bar_aggregates, ohlcv
+from .ranges import expand, hour_ranges, missing_hours, pending_ranges, requested_ranges, without
 from .requests import DEFAULT_START, hour_spine, manifest, requests, requests_totals
 
 __all__ = [
@@ -31,25 +32,31 @@ __all__ = [
     "estimate",
     "estimate_batch",
     "estimate_lookbacks",
+    "expand",
     "forex",
     "get_instrument",
     "has_data_for",
+    "hour_ranges",
     "hour_spine",
     "indices",
     "instrument_count",
     "instrument_ids",
     "list_instruments",
     "manifest",
+    "missing_hours",
     "normalize_ticks",
     "ohlcv",
     "overall_progress",
     "peak_stats",
     "pending",
+    "pending_ranges",
     "progress",
+    "requested_ranges",
     "requests",
     "requests_totals",
     "run_totals",
     "search",
     "stocks",
     "with_category_stats",
+    "without",
 ]

@@ -4,24 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 import inspect
-import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.time import parse_timeframe
-from ..operators.coverage import HOUR_KEY, coverage_by_instrument, pending
+from ..operators.coverage import coverage_by_instrument
 from ..operators.instruments import by_category, get_instrument
 from ..operators.normalize import normalize_ticks
 from ..operators.ohlcv import ohlcv
-from ..operators.requests import manifest, requests
-from ..schemas import FILE_STATUS, RAW_TICKS
+from ..operators.ranges import missing_hours
+from ..operators.requests import requests
 from ..session import configure, shared_dir
 from ..sinks.writers import parse_format, write_bars, write_ticks
-from ..sources.archive import DECODED, land_archive
 from ..sources.registry import instruments as shipped_instruments
+from ..sources.run_table import FINISHED, land_run, landed_status, landed_ticks, publish_run
 
 
 def _check_output(spark: SparkSession, out: str, sink_options: dict) -> None:
@@ -35,36 +32,17 @@ def _check_output(spark: SparkSession, out: str, sink_options: dict) -> None:
             raise ValueError(f"output path exists: {out}")
 
 
-def _landed(spark: SparkSession, table: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(T.StructType([*DECODED.fields, T.StructField("run", T.LongType())])).parquet(table)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _resume(
-    spark: SparkSession, root: str, table: str, on_error: str, ranges: DataFrame
-) -> tuple[DataFrame, DataFrame]:
+def _resume(spark: SparkSession, root: str, table: str, on_error: str, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add the hours that the table lacks to it, and give the ticks and statuses of the requested hours.
 
-    An hour is finished once it was read; hours without a file and faulty ones are tried again. Each run adds a
-    folder of its own, which counts only when it is complete.
+    An hour is finished once it was read; hours without a file and faulty ones are tried again. Only the ranges that are
+    missing become hours.
     """
-    hours, before = manifest(ranges), _landed(spark, table)
-    finished = F.col("status").isin("ok", "empty")
-    todo = hours if before is None else pending(hours, before.filter(finished))
-    land_archive(spark, root, f"{table}/run={time.time_ns()}", on_error, todo)
-
-    landed = _landed(spark, table)
-    newest = F.max_by(F.struct("path", "status", "n_ticks", "error"), F.struct(finished, "run"))
-    statuses = landed.filter("status is not null").groupBy(*HOUR_KEY).agg(newest.alias("last")).select(*HOUR_KEY, "last.*")
-    statuses = statuses.join(hours.hint("merge"), HOUR_KEY, "left_semi").select(*FILE_STATUS.fieldNames())
-    wanted = ranges.select(F.col("instrument").alias("wanted"), "start_date", "end_date").distinct()
-    inside = (F.col("hour") >= F.col("start_date")) & (F.col("hour") < F.date_add("end_date", 1))
-    ticks = landed.filter("status is null").join(wanted, (F.col("instrument") == F.col("wanted")) & inside, "left_semi")
-    return ticks.select(*RAW_TICKS.fieldNames()), statuses
+    finished = landed_status(spark, table, ranges).filter(F.col("status").isin(*FINISHED))
+    run, _ = land_run(spark, root, table, missing_hours(ranges, finished), on_error)
+    publish_run(spark, table, run)
+    statuses = landed_status(spark, table, ranges)
+    return landed_ticks(spark, table, ranges), statuses
 
 
 def _run(

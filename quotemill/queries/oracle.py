@@ -244,6 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "S1_archive_scan": f"{_SHARD_TICKS} {_ARCHIVED_ROWS}",
         "S1_list_archive": f"""{_FILES} SELECT instrument, hour, path,
 hour_of_day = {_HOUR_OF["zero_length"]} AS zero_length FROM path_of""",
+        "S1_selected_scan": f"""{_SHARD_TICKS} {_ARCHIVED_ROWS} WHERE instrument IN {q.SELECTED}
+AND hour BETWEEN TIMESTAMP '{q.SELECTED_HOURS[0]}' AND TIMESTAMP '{q.SELECTED_HOURS[1]}'""",
         "S2_strict_scan": f"""{_SHARD_TICKS} SELECT instrument, hour, count(*) AS n_ticks,
 CAST(sum(ask_raw) AS BIGINT) AS ask_sum, max(seq) AS last_seq FROM archived GROUP BY 1, 2""",
         "S3_resilient_scan": f"{_SHARD_TICKS} {_ARCHIVED_ROWS} WHERE hour_of_day NOT IN ({_DAMAGED})",
@@ -308,10 +310,13 @@ FROM lineitem JOIN parts ON p_partkey = l_partkey GROUP BY 1""",
         "A3_tick_bars": f"""{TICKS} SELECT instrument, timestamp, first(mid ORDER BY seq) AS open, max(mid) AS high,
 min(mid) AS low, last(mid ORDER BY seq) AS close, sum(vol) AS volume, count(*) AS tick_count FROM ticks GROUP BY 1, 2""",
         "A4_run_totals": f"{_FILES} SELECT {_TOTALS} FROM files",
+        "A4_observed_totals": f"{_FILES} SELECT {_TOTALS} FROM files",
         "R1_stream_bars": f"""{TICKS}, bars AS ({_bars(3600)})
 SELECT * FROM bars WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM ticks) - INTERVAL 1 HOUR""",
         "R2_stream_archive": f"{_SHARD_TICKS} {_ARCHIVED_ROWS}",
         "R2_stream_file_status": f"""{_FILES} SELECT instrument, hour, path, status, n_ticks FROM files
+WHERE status <> 'no_data'""",
+        "R2_stream_reader_status": f"""{_FILES} SELECT instrument, hour, path, status, n_ticks FROM files
 WHERE status <> 'no_data'""",
         "R2_stream_archive_bars": _damaged_bars("event_type"),
         "R3_stream_flush": f"{TICKS} {_bars(3600)}",
@@ -333,6 +338,13 @@ SELECT instrument, hour, {epoch_path} AS path FROM hours""",
         "C2_coverage_by_instrument": f"{_FILES} SELECT instrument, {_TOTALS} FROM files GROUP BY 1",
         "C3_pending": f"""{_FILES} SELECT instrument, hour, path FROM files
 WHERE status NOT IN ('ok', 'empty') AND dayofweek(hour) <> 0""",
+        "C3_pending_ranges": f"""{_FILES} SELECT instrument, hour, path FROM files
+WHERE status NOT IN ('ok', 'empty') AND dayofweek(hour) <> 0""",
+        "C3_hour_ranges": """WITH hours AS (
+  SELECT DISTINCT 'g' || (user_id % 50) AS instrument, epoch_us(ts) // 3600000000 AS at_hour FROM events),
+islands AS (SELECT *, at_hour - row_number() OVER (PARTITION BY instrument ORDER BY at_hour) AS island FROM hours)
+SELECT instrument, make_timestamp(min(at_hour) * 3600000000) AS first_hour, make_timestamp(max(at_hour) * 3600000000) AS last_hour
+FROM islands GROUP BY instrument, island""",
         "C4_progress": f"{_TASKS} SELECT instrument, {_PROGRESS} FROM tasks GROUP BY ROLLUP (instrument)",
         "C4_overall_progress": f"{_TASKS} SELECT {_PROGRESS} FROM tasks",
         "C5_instrument_ids": f"{PARTS} SELECT lookup_key FROM parts",
@@ -356,6 +368,9 @@ FROM parts LEFT JOIN stats USING (category) GROUP BY 1""",
         "K7_ordered_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "A2_download_all_h1": _damaged_bars(_SHARD),
         # The first run read the files that hold no tick, so the second does not open them again.
+        "C3_concurrent_runs": f"""WITH {_raw_cte(_SHARD)}, {_TICKS_CTE},
+finished AS (SELECT * FROM ticks WHERE ms // 3600000 % 24 <> {_HOUR_OF["empty"]})
+{_bars(3600, "finished")}""",
         "C3_resumed_run": f"""WITH {_raw_cte(_SHARD)}, {_TICKS_CTE},
 finished AS (SELECT * FROM ticks WHERE ms // 3600000 % 24 <> {_HOUR_OF["empty"]})
 {_bars(3600, "finished")}""",

@@ -17,6 +17,7 @@ from ..session import configure, shared_dir, task_width
 from ..sinks import write_bars, write_ticks
 from ..sources import category_stats, file_status, instruments, list_archive, read_archive
 from ..sources.archive import explode_batches
+from ..sources.run_table import land_run, landed_status, landed_ticks, publish_run
 from ..streaming import (
     fail_on_late_rows,
     merge_partial_bars,
@@ -34,6 +35,8 @@ MANIFEST_START, MANIFEST_END = dt.date(2001, 6, 1), dt.date(2001, 6, 2)
 LATE_START, LATE_END = dt.date(1998, 3, 1), dt.date(2000, 12, 31)
 IN_RANGE = (dt.date(2024, 1, 5), dt.date(2024, 1, 11))
 BATCH_RANGE = (dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+SELECTED = ("click_0", "view_0")
+SELECTED_HOURS = (dt.datetime(2024, 1, 6, 9), dt.datetime(2024, 1, 6, 13))
 AS_OF = dt.date(2001, 8, 1)
 LOOKUP_KEY = "Key17"
 SEARCH_NAME, SEARCH_ID = "GEAR", "Rt19"
@@ -116,6 +119,12 @@ def _archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(read_archive(spark, _archive(spark, sf_dir)))
 
 
+def _selected_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict read of some instruments and hours of a damaged archive: the damaged files lie beyond them."""
+    root = _archive(spark, sf_dir, damaged=True)
+    return _ntz(read_archive(spark, root, instruments=SELECTED, first_hour=SELECTED_HOURS[0], last_hour=SELECTED_HOURS[1]))
+
+
 def _strict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_archive(spark, _archive(spark, sf_dir), "fail", manifest=_shard_manifest(spark, sf_dir))
     return _ntz(
@@ -322,6 +331,12 @@ def _stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(_run_stream(spark, read_archive_stream(spark, _archive(spark, sf_dir)), "ticks"))
 
 
+def _stream_reader_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of all files of a damaged archive, zero-length ones included, without a listing."""
+    stream = read_archive_stream(spark, _archive(spark, sf_dir, damaged=True), "skip", schema=FILE_STATUS)
+    return _ntz(_run_stream(spark, stream, "status").select("instrument", "hour", "path", "status", "n_ticks"))
+
+
 def _stream_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses of the listed files of a damaged archive, the listing being read as a stream."""
     root, listing = _archive(spark, sf_dir, damaged=True), shared_dir(spark, "listing")
@@ -508,6 +523,53 @@ def _bars_of_runs(spark: SparkSession, sf_dir: str, *roots: str) -> DataFrame:
     return _ntz(spark.read.schema(_sink_schema(BARS)).parquet(out))
 
 
+def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archived instruments with the factors of their event types."""
+    factors = frames.event_instruments(spark).withColumnRenamed("id", "event_type")
+    shards = _shard_ranges(spark, sf_dir).withColumn("event_type", F.substring_index("instrument", "_", 1))
+    return shards.join(factors, "event_type").select(F.col("instrument").alias("id"), "decimal_factor")
+
+
+def _concurrent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars after two runs that found the same hours pending, beside one that was never published.
+
+    The first reads a damaged archive, so the second counts for the hours that were faulty there, and for those alone.
+    """
+    table, ranges = shared_dir(spark, "landed"), _shard_ranges(spark, sf_dir)
+    todo = op.missing_hours(ranges, landed_status(spark, table).filter("status = 'ok'"))
+    archives = [_archive(spark, sf_dir, damaged) for damaged in (True, False)]
+    runs = [land_run(spark, root, table, todo)[0] for root in (*archives, archives[1])]
+    for run in runs[:2]:
+        publish_run(spark, table, run)
+    ticks = op.normalize_ticks(landed_ticks(spark, table, ranges), _shards(spark, sf_dir))
+    return _ntz(op.ohlcv(ticks, "h1"))
+
+
+def _observed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours by status and ticks of a run, observed while its ticks were written."""
+    table, ranges = shared_dir(spark, "landed"), _shard_ranges(spark, sf_dir)
+    hours = op.expand(op.requested_ranges(ranges))
+    _, totals = land_run(spark, _archive(spark, sf_dir, damaged=True), table, hours)
+    names = ("hours", "ok_hours", "empty_hours", "no_data_hours", "skipped_hours", "ticks")
+    return spark.createDataFrame([tuple(totals[name] for name in names)], ", ".join(f"{name} bigint" for name in names))
+
+
+def _pending_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours of ``C3_pending`` from the difference of ranges."""
+    ranges = _shard_ranges(spark, sf_dir)
+    done = file_status(spark, _archive(spark, sf_dir, damaged=True)).filter(F.col("status").isin("ok", "empty"))
+    absent = op.expand(op.requested_ranges(ranges)).filter(F.dayofweek("hour") == 1)
+    return _ntz(op.expand(op.pending_ranges(ranges, done, absent)))
+
+
+def _hour_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with events of a user group as ranges without gaps."""
+    configure(spark)
+    group = F.concat(F.lit("g"), (F.col("user_id") % 50).cast("string"))
+    hours = frames.events(spark, sf_dir).select(group.alias("instrument"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
+    return _ntz(op.hour_ranges(hours))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-hour bars of all instruments."""
     return _ohlcv("h4")(spark, sf_dir)
@@ -517,6 +579,7 @@ def queries() -> dict[str, Query]:
     return {
         "S1_archive_scan": _archive_scan,
         "S1_list_archive": _list_archive,
+        "S1_selected_scan": _selected_scan,
         "S2_strict_scan": _strict_scan,
         "S3_resilient_scan": _resilient_scan,
         "S3_file_status": _file_status,
@@ -560,9 +623,11 @@ def queries() -> dict[str, Query]:
         "A2_registry_bars_h1": _registry_bars,
         "A3_tick_bars": _ohlcv("tick"),
         "A4_run_totals": _run_totals,
+        "A4_observed_totals": _observed_totals,
         "R1_stream_bars": _stream_bars,
         "R2_stream_archive": _stream_archive,
         "R2_stream_file_status": _stream_file_status,
+        "R2_stream_reader_status": _stream_reader_status,
         "R2_stream_archive_bars": _stream_archive_bars,
         "R3_stream_flush": _stream_flush,
         "C1_manifest": _manifest,
@@ -573,7 +638,10 @@ def queries() -> dict[str, Query]:
         "C2_coverage": _coverage_rows,
         "C2_coverage_by_instrument": _coverage_by_instrument,
         "C3_pending": _pending,
+        "C3_pending_ranges": _pending_ranges,
+        "C3_hour_ranges": _hour_ranges,
         "C3_resumed_run": _resumed_run,
+        "C3_concurrent_runs": _concurrent_runs,
         "C4_progress": _progress,
         "C4_overall_progress": _overall_progress,
         "C5_instrument_ids": _instrument_ids,

@@ -6,6 +6,7 @@ listing. A row comes either from a request manifest or from ``list_archive``, wh
 
 from __future__ import annotations
 
+import datetime as dt
 import lzma
 import math
 import time
@@ -237,18 +238,22 @@ def _decoder(root: str, on_error: str, schema: pa.Schema, must_exist: bool):
     return lambda batches: _grouped(decode(batches))
 
 
-def spread_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
+def spread_files(files: DataFrame, partitions: int | None = None, ordered: bool = False) -> DataFrame:
     """Spread file rows over tasks.
 
     The rows are tiny next to the files behind them, so the partition count is set from the number of files;
     left to adaptive execution they would be merged into a few tasks by their own size. Counting runs the plan
-    of ``files`` once more, so give ``partitions``, or a stored table, where that plan is costly.
+    of ``files`` once more, so give ``partitions``, or a stored table, where that plan is costly. ``ordered`` gives
+    each task files that follow each other.
     """
     if partitions is None:
         n = files.count()
         floor = min(n, files.sparkSession.sparkContext.defaultParallelism)
         partitions = max(1, floor, min(MAX_TASKS, math.ceil(n / FILES_PER_TASK)))
-    return files.select("instrument", "hour", "path").repartition(partitions, "instrument", "hour")
+    rows = files.select("instrument", "hour", "path")
+    if ordered:
+        return rows.repartitionByRange(partitions, "instrument", "hour").sortWithinPartitions("instrument", "hour")
+    return rows.repartition(partitions, "instrument", "hour")
 
 
 def decode_archive(
@@ -346,8 +351,23 @@ def read_archive(
     on_error: str = "fail",
     manifest: DataFrame | None = None,
     partitions: int | None = None,
+    *,
+    instruments: Iterable[str] | None = None,
+    first_hour: dt.datetime | None = None,
+    last_hour: dt.datetime | None = None,
 ) -> DataFrame:
-    """Raw ticks of the hours in ``manifest``, or of every file below ``root``."""
+    """Raw ticks of the hours in ``manifest``, or of the files below ``root``.
+
+    Without a manifest, files of other instruments and hours than the asked ones are neither listed nor opened, so nothing
+    in them can fail the read. Both ends count. A read of the whole archive lists it in tasks.
+    """
+    if manifest is None and (instruments is not None or first_hour is not None or last_hour is not None):
+        from .tick_source import FORMAT, register
+
+        register(configure(spark))
+        asked = {"on_error": on_error, "instruments": None if instruments is None else ",".join(instruments)}
+        asked |= {name: hour and hour.isoformat() for name, hour in (("first_hour", first_hour), ("last_hour", last_hour))}
+        return spark.read.format(FORMAT).options(**{k: v for k, v in asked.items() if v is not None}).load(root)
     files = _files(spark, root, manifest, partitions)
     return decode_archive(files, root, on_error, RAW_TICKS)
 
