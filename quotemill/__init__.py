@@ -24,37 +24,31 @@ from .sources import (
     read_archive,
 )
 from .sources.archive import explode_batches
-from .streaming import (
-    fail_on_late_rows,
-    merge_partial_bars,
-    ohlcv_stream,
-    partial_bars,
-    read_archive_stream,
-    write_partial_bars,
-)
+from .sources.run_table import land_run, landed_status, landed_ticks, publish_run
+from .streaming import *  # noqa: F401,F403
+from .streaming import __all__ as _streaming
 
 __all__ = [
     *_functions,
     *_operators,
+    *_streaming,
     "category_stats",
     "configure",
     "decode_archive",
     "download",
     "download_all",
     "explode_batches",
-    "fail_on_late_rows",
     "file_status",
     "instruments",
     "land_archive",
+    "land_run",
+    "landed_status",
+    "landed_ticks",
     "list_archive",
     "local_session",
-    "merge_partial_bars",
-    "ohlcv_stream",
     "parse_format",
-    "partial_bars",
+    "publish_run",
     "read_archive",
-    "read_archive_stream",
     "write_bars",
-    "write_partial_bars",
     "write_ticks",
 ]

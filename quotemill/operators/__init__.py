@@ -16,7 +16,7 @@ from .instruments import (
     stocks,
 )
 from .normalize import normalize_ticks
-from .ohlcv import bar_aggregates, ohlcv
+from .ohlcv import bar_aggregates, coarser, ohlcv, ohlcv_cascade
 from .ranges import expand, hour_ranges, missing_hours, pending_ranges, requested_ranges, without
 from .requests import DEFAULT_START, hour_spine, manifest, requests, requests_totals
 
@@ -25,6 +25,7 @@ __all__ = [
     "DEFAULT_START",
     "bar_aggregates",
     "by_category",
+    "coarser",
     "commodities",
     "coverage",
     "coverage_by_instrument",
@@ -46,6 +47,7 @@ __all__ = [
     "missing_hours",
     "normalize_ticks",
     "ohlcv",
+    "ohlcv_cascade",
     "overall_progress",
     "peak_stats",
     "pending",

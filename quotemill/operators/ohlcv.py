@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ticks import mid, total_volume
-from ..functions.time import bar_start, timeframe_seconds
+from ..functions.time import bar_start, parse_timeframe, timeframe_seconds
 from ..schemas import BARS
+from ..session import shared_dir
 
 
 def tick_order(timeframe: str, wide_seq: bool = False) -> Column:
@@ -56,3 +59,34 @@ def ohlcv(ticks: DataFrame, timeframe: str, wide_seq: bool = False) -> DataFrame
         *bar_aggregates(tick_order(timeframe, wide_seq))
     )
     return bars.withColumnRenamed("bar", "timestamp").select(*BARS.fieldNames())
+
+
+def coarser(bars: DataFrame, timeframe: str) -> DataFrame:
+    """Bars of a wider timeframe from whole bars of a narrower one, whose width divides it: bars follow each other in time."""
+    wide = bars.groupBy("instrument", bar_start("timestamp", timeframe).alias("bar")).agg(
+        F.min_by("open", "timestamp").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "timestamp").alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum("tick_count").alias("tick_count"),
+    )
+    return wide.withColumnRenamed("bar", "timestamp").select(*BARS.fieldNames())
+
+
+def ohlcv_cascade(ticks: DataFrame, timeframes: Iterable[str], path: str | None = None, wide_seq: bool = False) -> dict[str, DataFrame]:
+    """Bars of several timeframes from one pass over the ticks.
+
+    Only the narrowest one reads ticks; its bars are written below ``path`` (or in the shared folder), and every wider one is
+    made from the next narrower one, so a wide timeframe reads some thousand times fewer rows than there are ticks.
+    """
+    widths = {parse_timeframe(name): timeframe_seconds(name) for name in timeframes}
+    if None in widths.values():
+        raise ValueError("single ticks have no width; use ohlcv(ticks, 'tick')")
+    made: dict[str, DataFrame] = {}
+    for name in sorted(widths, key=widths.get):
+        bars = coarser(next(reversed(made.values())), name) if made else ohlcv(ticks, name, wide_seq)
+        where = f"{path}/{name}" if path else shared_dir(ticks.sparkSession, f"bars-{name}")
+        bars.write.parquet(where)
+        made[name] = ticks.sparkSession.read.schema(BARS).parquet(where)
+    return made

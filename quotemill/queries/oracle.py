@@ -77,6 +77,20 @@ def _bars(seconds: int, source: str = "ticks") -> str:
 FROM {source} GROUP BY 1, 2"""
 
 
+def _csv_lines(delimiter: str, header: bool) -> str:
+    """Ticks as text lines: times with milliseconds, numbers without a zero fraction."""
+
+    def number(name: str) -> str:
+        small = f"rtrim(printf('%.5f', {name}), '0')"  # the finest factor has five decimals
+        return f"CASE WHEN {name} > 0 AND {name} < 0.001 THEN {small} ELSE regexp_replace(CAST({name} AS VARCHAR), '\\.0$', '') END"
+
+    tab = f"E'{delimiter}'"
+    time = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%gZ')"
+    line = f" || {tab} || ".join([time, *map(number, ("ask", "bid", "ask_volume", "bid_volume"))])
+    head = " UNION ALL SELECT DISTINCT instrument, 'timestamp,ask,bid,ask_volume,bid_volume' FROM ticks" if header else ""
+    return f"{TICKS} SELECT instrument, {line} AS line FROM ticks{head}"
+
+
 def _metric(name: str, expression: str) -> str:
     return f"{TICKS} SELECT instrument, timestamp, {expression} AS {name} FROM ({_bars(1800)})"
 
@@ -306,6 +320,7 @@ CAST(sum((CAST(l_quantity AS BIGINT) + 1) * 24) AS BIGINT) AS hours
 FROM lineitem JOIN parts ON p_partkey = l_partkey GROUP BY 1""",
         **{f"A1_ohlcv_{tf}": f"{TICKS} {_bars(s)}" for tf, s in BAR_SECONDS.items()},
         "A1_ohlcv_wide_seq": f"{TICKS} {_bars(86400)}",
+        "A1_cascade": TICKS + " UNION ALL ".join(f" SELECT *, '{tf}' AS timeframe FROM ({_bars(n)})" for tf, n in BAR_SECONDS.items()),
         "A2_registry_bars_h1": f"{REGISTRY_TICKS} {_bars(3600)}",
         "A3_tick_bars": f"""{TICKS} SELECT instrument, timestamp, first(mid ORDER BY seq) AS open, max(mid) AS high,
 min(mid) AS low, last(mid ORDER BY seq) AS close, sum(vol) AS volume, count(*) AS tick_count FROM ticks GROUP BY 1, 2""",
@@ -319,7 +334,10 @@ WHERE status <> 'no_data'""",
         "R2_stream_reader_status": f"""{_FILES} SELECT instrument, hour, path, status, n_ticks FROM files
 WHERE status <> 'no_data'""",
         "R2_stream_archive_bars": _damaged_bars("event_type"),
+        "R1_stateful_bars": f"""{TICKS}, bars AS ({_bars(3600)})
+SELECT * FROM bars b WHERE timestamp < (SELECT max(timestamp) FROM bars o WHERE o.instrument = b.instrument)""",
         "R3_stream_flush": f"{TICKS} {_bars(3600)}",
+        "R3_compacted": f"{TICKS} {_bars(3600)}",
         "C1_manifest": f"""{PARTS}, wanted AS (
   SELECT id AS instrument, greatest({_date(q.MANIFEST_START)}, start_tick_date::DATE) AS first_day FROM parts),
 hours AS (
@@ -365,6 +383,12 @@ FROM parts LEFT JOIN stats USING (category) GROUP BY 1""",
         "K5_json_bars_pretty": bars15,
         "K6_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "K6_parquet_bars": bars15,
+        "K1_csv_lines": _csv_lines(",", True),
+        "K3_tsv_lines": _csv_lines("\\t", False),
+        "K7_file_ranges": f"""{TICKS} SELECT instrument, min(timestamp) AS first, max(timestamp) AS last, count(*) AS ticks,
+0 AS overlaps FROM ticks GROUP BY 1""",
+        "K8_format_names": """SELECT CASE WHEN event_id % 11 < 2 THEN 'csv' WHEN event_id % 11 < 4 THEN 'json' WHEN event_id % 11 < 6 THEN 'ndjson'
+WHEN event_id % 11 < 9 THEN 'parquet' END AS format, count(*) AS n FROM events GROUP BY 1""",
         "K7_ordered_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "A2_download_all_h1": _damaged_bars(_SHARD),
         # The first run read the files that hold no tick, so the second does not open them again.

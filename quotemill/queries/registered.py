@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +15,23 @@ from .. import operators as op
 from ..plans import download_all
 from ..schemas import BARS, FILE_STATUS, TICKS
 from ..session import configure, shared_dir, task_width
-from ..sinks import write_bars, write_ticks
+from ..sinks import format_name, write_bars, write_ticks
 from ..sources import category_stats, file_status, instruments, list_archive, read_archive
 from ..sources.archive import explode_batches
 from ..sources.run_table import land_run, landed_status, landed_ticks, publish_run
 from ..streaming import (
+    LateRows,
+    closed_bars,
     fail_on_late_rows,
     merge_partial_bars,
     ohlcv_stream,
     read_archive_stream,
+    read_partial_bars,
+    use_keyed_state,
+    write_compacted_bars,
     write_partial_bars,
 )
+from ..streaming.keyed import PROVIDER
 from . import frames
 from .fixture_archive import write_archive
 
@@ -350,9 +357,14 @@ def _stream_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_stream(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
     out, log = shared_dir(spark, purpose), shared_dir(spark, "stream")
     writer = frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", log)
-    query = writer.trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    fail_on_late_rows(query)
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = writer.trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        fail_on_late_rows(query, listener=listener)
+    finally:
+        spark.streams.removeListener(listener)
     return spark.read.schema(frame.schema).parquet(out)
 
 
@@ -363,6 +375,75 @@ def _stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged_stream(spark, op.normalize_ticks(raw, frames.event_instruments(spark)))
 
 
+def _stateful_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars that closed when their instrument's next one began; late ticks are merged into theirs."""
+    configure(spark)
+    given = spark.conf.get(PROVIDER)
+    raw = frames.raw_ticks(frames.events_stream(spark, sf_dir))
+    use_keyed_state(spark)
+    try:
+        rows = _run_stream(spark, closed_bars(op.normalize_ticks(raw, frames.event_instruments(spark)), "h1"), "bars")
+    finally:
+        spark.conf.set(PROVIDER, given)
+    return _ntz(merge_partial_bars(rows))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars, the open ones included, of the events in eleven micro-batches whose parts are merged by threes."""
+    configure(spark)
+    source, out, log = (shared_dir(spark, name) for name in ("events", "bars", "stream"))
+    events = frames.events(spark, sf_dir)
+    events.repartition(11).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ticks = op.normalize_ticks(frames.raw_ticks(stream), frames.event_instruments(spark))
+    writer = write_compacted_bars(ticks, "h1", out, ratio=3).option("checkpointLocation", log)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _ntz(merge_partial_bars(read_partial_bars(spark, out)))
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all timeframes from one pass over the ticks."""
+    tables = op.ohlcv_cascade(_ticks(spark, sf_dir), BAR_TIMEFRAMES)
+    named = [bars.withColumn("timeframe", F.lit(name)) for name, bars in tables.items()]
+    return _ntz(reduce(DataFrame.unionByName, named))
+
+
+def _file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each instrument's files first and last time, ticks, and how many begin before the one ahead of them ends."""
+    out = shared_dir(spark, "ticks")
+    write_ticks(_ticks(spark, sf_dir), out, "parquet")
+    rows = spark.read.schema(_sink_schema(TICKS)).parquet(out)
+    files = rows.groupBy("instrument", F.input_file_name().alias("file")).agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    early = F.expr("coalesce(first < lag(last) OVER (PARTITION BY instrument ORDER BY first, last), false)")
+    return _ntz(
+        files.withColumn("early", early)
+        .groupBy("instrument")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("ticks"), F.count_if("early").alias("overlaps"))
+    )
+
+
+def _csv_lines(**options) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The lines as they stand in the files, the headers of an instrument's files once."""
+        out = shared_dir(spark, "ticks")
+        write_ticks(_ticks(spark, sf_dir), out, "csv", **options)
+        lines = spark.read.text(out).select("instrument", F.col("value").alias("line"))
+        heads = F.col("line").startswith("timestamp")
+        return lines.filter(~heads).unionByName(lines.filter(heads).distinct())
+
+    return query
+
+
+def _format_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the output format that a name stands for, in some spellings."""
+    names = ("csv", "CSV", "json", "Json", "ndjson", "JSONL", "parquet", "pq", "PQ", "xml", "")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    found = frames.events(spark, sf_dir).select(format_name(name).alias("format"))
+    return found.groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stream_archive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of a damaged archive read as a stream, its shards joined to their event types again."""
     raw = read_archive_stream(spark, _archive(spark, sf_dir, damaged=True), "skip")
@@ -620,6 +701,7 @@ def queries() -> dict[str, Query]:
         "T4_range_totals": _range_totals,
         **{f"A1_ohlcv_{tf}": _ohlcv(tf) for tf in BAR_TIMEFRAMES},
         "A1_ohlcv_wide_seq": _wide_seq_bars,
+        "A1_cascade": _cascade,
         "A2_registry_bars_h1": _registry_bars,
         "A3_tick_bars": _ohlcv("tick"),
         "A4_run_totals": _run_totals,
@@ -629,7 +711,9 @@ def queries() -> dict[str, Query]:
         "R2_stream_file_status": _stream_file_status,
         "R2_stream_reader_status": _stream_reader_status,
         "R2_stream_archive_bars": _stream_archive_bars,
+        "R1_stateful_bars": _stateful_bars,
         "R3_stream_flush": _stream_flush,
+        "R3_compacted": _compacted,
         "C1_manifest": _manifest,
         "C1_requests_default_start": _requests(as_of=LATE_END),
         "C1_requests_clipped": _requests(start=LATE_START, end=LATE_END),
@@ -659,6 +743,10 @@ def queries() -> dict[str, Query]:
         "K5_json_bars_pretty": _written_bars("json", pretty=True),
         "K6_parquet_ticks": _written_ticks("parquet", row_group_rows=1000, compression="zstd"),
         "K6_parquet_bars": _written_bars("parquet"),
+        "K1_csv_lines": _csv_lines(),
+        "K3_tsv_lines": _csv_lines(delimiter="\t", header=False),
+        "K7_file_ranges": _file_ranges,
+        "K8_format_names": _format_names,
         "K7_ordered_parquet_ticks": _written_ticks("parquet", ordered=True),
         "A2_download_all_h1": _download_all,
     }

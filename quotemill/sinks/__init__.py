@@ -1,3 +1,3 @@
-from .writers import FORMATS, parse_format, plain_number, write_bars, write_ticks
+from .writers import FORMATS, format_name, parse_format, plain_number, write_bars, write_ticks
 
-__all__ = ["FORMATS", "parse_format", "plain_number", "write_bars", "write_ticks"]
+__all__ = ["FORMATS", "format_name", "parse_format", "plain_number", "write_bars", "write_ticks"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BARS, TICKS
-from ..session import configure
+from ..session import configure, setting
 
 # Output formats and their accepted names.
 FORMATS = {"csv": ("csv",), "json": ("json",), "ndjson": ("ndjson", "jsonl"), "parquet": ("parquet", "pq")}
@@ -35,6 +35,12 @@ def parse_format(name: str) -> str:
     raise ValueError(f"unknown format {name!r}, expected one of: {', '.join(FORMATS)}")
 
 
+def format_name(name: Column | str) -> Column:
+    """``parse_format`` of a column; NULL where the name is unknown."""
+    given = F.lower(F.col(name) if isinstance(name, str) else name)
+    return F.coalesce(*[F.when(given.isin(*names), canonical) for canonical, names in FORMATS.items()])
+
+
 def plain_number(number: Column | str) -> Column:
     """A double or float as text without exponent and without a zero fraction: ``100``, ``0.00001``."""
     return _plain((F.col(number) if isinstance(number, str) else number).cast("string"))
@@ -135,14 +141,15 @@ def _frame_arrays(by_instrument: bool):
 def _laid_out(df: DataFrame, order: list[str], by_instrument: bool, ordered: bool) -> DataFrame:
     """Put rows in file order.
 
-    Per instrument, rows are gathered with the rebalance hint: adaptive execution merges small instruments and
-    splits a hot one over several files, each sorted. ``ordered`` sorts the whole output instead.
+    Per instrument, rows are dealt by sampled ranges of (instrument, time): small instruments share a task, a hot one is
+    split, and each of its files has a stretch of time of its own. Without instrument folders rows stay in their tasks,
+    sorted there. ``ordered`` sorts the whole output.
     """
     keys = ["instrument", *order] if by_instrument else order
     if ordered:
         return df.orderBy(*keys)
     if by_instrument:
-        df = df.hint("rebalance", "instrument")
+        df = df.repartitionByRange(*keys)
     return df.sortWithinPartitions(*keys)
 
 
@@ -191,16 +198,19 @@ def _write(
         writer = writer.partitionBy("instrument")
     if compression:
         writer = writer.option("compression", compression)
-    if fmt == "csv":
-        writer.option("sep", delimiter).option("header", header).csv(path)
-    elif fmt == "parquet":
-        if row_group_rows:
-            writer = writer.option("parquet.block.row.count.limit", row_group_rows)
-        writer.parquet(path)
-    elif fmt == "ndjson":
-        writer.option("ignoreNullFields", "false").json(path)
-    else:
-        writer.text(path)
+    # Tasks that follow each other are merged up to the advisory size, whatever the number of cores.
+    merge = "spark.sql.adaptive.coalescePartitions"
+    with setting(df.sparkSession, f"{merge}.parallelismFirst", "false"), setting(df.sparkSession, f"{merge}.minPartitionSize", "1"):
+        if fmt == "csv":
+            writer.option("sep", delimiter).option("header", header).csv(path)
+        elif fmt == "parquet":
+            if row_group_rows:
+                writer = writer.option("parquet.block.row.count.limit", row_group_rows)
+            writer.parquet(path)
+        elif fmt == "ndjson":
+            writer.option("ignoreNullFields", "false").json(path)
+        else:
+            writer.text(path)
 
 
 def write_ticks(

@@ -19,7 +19,7 @@ from pyspark.sql.observation import Observation
 
 from ..operators.coverage import HOUR_KEY
 from ..schemas import FILE_STATUS, RAW_TICKS
-from ..session import shared_dir
+from ..session import setting, shared_dir
 from .archive import DECODED, decode_archive, spread_files
 
 MARKERS = "_published"  # Spark's readers pass over names that begin so
@@ -52,12 +52,8 @@ def land_run(
     )
     rows = decoded.withColumn("month", F.date_format("hour", "yyyy-MM"))
     # A task's files come by instrument and hour, so it writes few folders at a time and its ticks need no sort for that.
-    writers, given = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
-    spark.conf.set(writers, max(int(given), OPEN_FOLDERS))
-    try:
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FOLDERS)):
         rows.write.partitionBy("instrument", "month").parquet(f"{table}/run={run}")
-    finally:
-        spark.conf.set(writers, given)
     return run, seen.get
 
 
