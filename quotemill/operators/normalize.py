@@ -9,9 +9,10 @@ from ..schemas import TICKS
 
 HOUR_MS = 3_600_000
 SEQ_PER_FILE = 1 << 24
+WIDE_SEQ_PER_FILE = 1 << 40  # an offset reaches over its hour by some thousand hours, so numbers stay below 2^51
 
 
-def normalize_ticks(raw: DataFrame, instruments: DataFrame) -> DataFrame:
+def normalize_ticks(raw: DataFrame, instruments: DataFrame, wide_seq: bool = False) -> DataFrame:
     """Absolute times and real prices from raw ticks and the instruments' decimal factors.
 
     The join is by instrument id. The planner broadcasts the instrument table when its size allows; a larger
@@ -19,8 +20,10 @@ def normalize_ticks(raw: DataFrame, instruments: DataFrame) -> DataFrame:
     the job rather than lose its ticks.
 
     The millisecond offset may reach beyond the file's hour, into times that later files cover. Such a tick
-    counts as earlier than theirs: its sequence number is lowered by a file's worth per hour it is over. A tick
-    that is over its hour and beyond a file's worth of records has no such place, and raises.
+    counts as earlier than theirs: its sequence number is lowered by a file's worth per hour it is over. A file's worth
+    are 2^24 records, so that numbers fit beside the time in the narrow order of ``ohlcv``; a tick that is over its hour
+    and beyond them raises. ``wide_seq`` makes it 2^40, more than any file holds; bars of such ticks take
+    ``wide_seq=True`` as well.
 
     Instruments that share an id count once; where their factors differ, their ticks raise.
     """
@@ -32,8 +35,9 @@ def normalize_ticks(raw: DataFrame, instruments: DataFrame) -> DataFrame:
     one = F.when(F.col("decimal_factor") == F.col("other_factor"), F.col("decimal_factor").cast("double"))
     factor = F.coalesce(one, F.when(F.col("decimal_factor").isNotNull(), differ.cast("double")), unknown)
     over = F.call_function("div", "ms_offset", F.lit(HOUR_MS))
-    far = F.raise_error(F.format_string("tick %s of %s at %s is over its hour", "seq", "instrument", F.col("hour").cast("string")))
-    seq = F.when((over == 0) | (F.col("seq") < SEQ_PER_FILE), F.col("seq") - over * F.lit(SEQ_PER_FILE)).otherwise(far.cast("bigint"))
+    worth = WIDE_SEQ_PER_FILE if wide_seq else SEQ_PER_FILE
+    far = F.raise_error(F.format_string("tick %s of %s at %s is over its hour; use wide_seq=True", "seq", "instrument", F.col("hour").cast("string")))
+    seq = F.when((over == 0) | (F.col("seq") < worth), F.col("seq") - over * F.lit(worth)).otherwise(far.cast("bigint"))
     return (
         raw.join(factors, "instrument", "left")
         .withColumn("seq", seq)

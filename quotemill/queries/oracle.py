@@ -276,6 +276,11 @@ coalesce(ticks, {DEFAULT_STATS["avg_ticks_per_hour"]}) AS avg_ticks_per_hour, by
 FROM parts LEFT JOIN stats USING (category)""",
         "P1_normalize": f"{TICKS} {TICK_ROWS}",
         "P1_normalize_registry": f"{REGISTRY_TICKS} {TICK_ROWS}",
+        "P1_overflow_order": f"""{TICKS}, moved AS (SELECT *, ms - ms % 60000 AS minute FROM ticks)
+SELECT instrument, make_timestamp(minute // 86400000 * 86400000000) AS timestamp,
+       first(mid ORDER BY minute, seq % 3 DESC, seq) AS open, max(mid) AS high, min(mid) AS low,
+       last(mid ORDER BY minute, seq % 3 DESC, seq) AS close, sum(vol) AS volume, count(*) AS tick_count
+FROM moved GROUP BY 1, 2""",
         "P2_mid": f"{TICKS} SELECT seq, mid FROM ticks",
         "P3_spread": f"{TICKS} SELECT seq, ask - bid AS spread FROM ticks",
         "P4_total_volume": f"{TICKS} SELECT seq, vol AS total_volume FROM ticks",

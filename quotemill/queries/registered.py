@@ -195,6 +195,23 @@ def _normalize_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(_registry_ticks(spark, sf_dir))
 
 
+def _overflow_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars where ticks of the same minute come from files up to two hours before it, far behind in them."""
+    over = F.col("seq") % 3
+    raw = _raw(spark, sf_dir).select(
+        "instrument",
+        (F.col("hour") - F.make_dt_interval(hours=over.cast("int"))).alias("hour"),
+        (F.col("seq") + F.lit(1 << 25)).alias("seq"),
+        (F.col("ms_offset") - F.col("ms_offset") % 60_000 + over * frames.HOUR_MS).alias("ms_offset"),
+        "ask_raw",
+        "bid_raw",
+        "ask_volume",
+        "bid_volume",
+    )
+    ticks = op.normalize_ticks(raw, frames.event_instruments(spark), wide_seq=True)
+    return _ntz(op.ohlcv(ticks, "d1", wide_seq=True))
+
+
 def _tick_column(name: str, column: Callable[[], Column]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _ticks(spark, sf_dir).select("seq", column().cast("double").alias(name))
@@ -669,6 +686,7 @@ def queries() -> dict[str, Query]:
         "S6_category_stats": _category_stats,
         "P1_normalize": _normalize,
         "P1_normalize_registry": _normalize_registry,
+        "P1_overflow_order": _overflow_order,
         "P2_mid": _tick_column("mid", fn.mid),
         "P3_spread": _tick_column("spread", fn.spread),
         "P4_total_volume": _tick_column("total_volume", fn.total_volume),
