@@ -321,6 +321,56 @@ def test_url_models_learn_the_rules(spark):
     assert np.mean(right) > 0.9
 
 
+def plain_chance(urls, url):
+    """Nats of a url after the counts of others, by dictionaries."""
+    after = {}
+    for other in urls:
+        for at, char in enumerate(other):
+            for order in range(min(at, url_filter.ORDER) + 1):
+                after.setdefault(other[at - order : at], Counter())[char] += 1
+    nats = 0.0
+    for at, char in enumerate(url):
+        chance = 1 / 256
+        for order in range(min(at, url_filter.ORDER) + 1):
+            seen = after.get(url[at - order : at])
+            if seen is None:
+                break
+            chance = (seen[char] + len(seen) * chance) / (sum(seen.values()) + len(seen))
+        nats -= np.log(chance)
+    return nats
+
+
+def test_url_models_equal_counting_by_dictionaries(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    model = url_filter.fit(pages, 24, 24)  # so many cells that few counts meet
+    ruled = url_filter.judged(pages).filter("rule is not null").select("url", "rule_verdict").distinct().collect()
+    trained = {kind: [r.url.encode() for r in ruled if r.rule_verdict == kind and zlib.crc32(r.url.encode()) % 5] for kind in ("allow", "block")}
+    odd = [b"", b"x", "\u00e9://\U0001f600/".encode(), b"a" * 3000]
+    for url in odd + [r.url.encode() for r in pages.limit(20).collect()]:
+        want = (plain_chance(trained["allow"], url) - plain_chance(trained["block"], url)) / max(1, len(url))
+        assert model.ratio(url) == pytest.approx(want, abs=0.01)
+
+
+def test_every_ruled_url_is_counted(spark):
+    """Far more urls than any sample had, each with a path of its own."""
+    n = 30_000
+    pages = spark.range(n).selectExpr("id AS page_id", "concat('http://a.', if(id % 2 = 0, 'com/', 'net/es/'), 'p', id) AS url")
+    model = url_filter.fit(pages)
+    kept = sum(zlib.crc32(f"http://a.com/p{i}".encode()) % 5 > 0 for i in range(0, n, 2))
+    char = url_filter.cells(np.array([0]), url_filter.CONTEXT_BITS)[0]
+    length = sum(len(f"http://a.com/p{i}") for i in range(0, n, 2) if zlib.crc32(f"http://a.com/p{i}".encode()) % 5)
+    assert kept > 10_000 and model.totals[0][char] == length
+    rows = url_filter.judge(pages.withColumn("url", F.concat(F.lit("http://b.org/"), F.expr("substr(url, 10)"))), model).collect()
+    assert all((r.verdict == "block") == ("net/es" in r.path) for r in rows)
+
+
+def test_url_models_of_nothing_and_of_one_kind(spark):
+    none = spark.createDataFrame([], "page_id int, url string")
+    assert url_filter.judge(none, url_filter.fit(none)).count() == 0
+    one = spark.createDataFrame([(1, "http://a.com/x"), (2, None), (2, None), (3, "q" * 200_000)], "page_id int, url string")
+    assert [r.verdict for r in url_filter.judge(one, url_filter.fit(one)).collect()] == ["allow"] * 4
+
+
 def test_packing_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
 
