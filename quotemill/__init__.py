@@ -13,7 +13,7 @@ from .operators import *  # noqa: F401,F403
 from .operators import __all__ as _operators
 from .plans import download, download_all
 from .session import configure, local_session
-from .sinks import parse_format, write_bars, write_ticks
+from .sinks import parse_format, write_bar_documents, write_bars, write_tick_documents, write_ticks
 from .sources import (
     category_stats,
     decode_archive,
@@ -49,6 +49,8 @@ __all__ = [
     "parse_format",
     "publish_run",
     "read_archive",
+    "write_bar_documents",
     "write_bars",
+    "write_tick_documents",
     "write_ticks",
 ]

@@ -386,6 +386,7 @@ FROM parts LEFT JOIN stats USING (category) GROUP BY 1""",
         "K4_ndjson_bars": bars15,
         "K5_json_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "K5_json_bars_pretty": bars15,
+        "K5_documents": f"{TICKS} {WRITTEN_TICKS}",
         "K6_parquet_ticks": f"{TICKS} {WRITTEN_TICKS}",
         "K6_parquet_bars": bars15,
         "K1_csv_lines": _csv_lines(",", True),

@@ -15,7 +15,7 @@ from .. import operators as op
 from ..plans import download_all
 from ..schemas import BARS, FILE_STATUS, TICKS
 from ..session import configure, shared_dir, task_width
-from ..sinks import format_name, write_bars, write_ticks
+from ..sinks import format_name, write_bars, write_tick_documents, write_ticks
 from ..sources import category_stats, file_status, instruments, list_archive, read_archive
 from ..sources.archive import explode_batches
 from ..sources.run_table import land_run, landed_status, landed_ticks, publish_run
@@ -425,6 +425,15 @@ def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(reduce(DataFrame.unionByName, named))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as one JSON array per instrument, read back from the instruments' files."""
+    out = shared_dir(spark, "documents")
+    write_tick_documents(_ticks(spark, sf_dir), out)
+    kept = [f for f in _sink_schema(TICKS).fields if f.name != "instrument"]
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    return _ntz(spark.read.schema(T.StructType(kept)).json(out, multiLine=True).withColumn("instrument", name))
+
+
 def _file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each instrument's files first and last time, ticks, and how many begin before the one ahead of them ends."""
     out = shared_dir(spark, "ticks")
@@ -759,6 +768,7 @@ def queries() -> dict[str, Query]:
         "K4_ndjson_bars": _written_bars("ndjson"),
         "K5_json_ticks": _written_ticks("json"),
         "K5_json_bars_pretty": _written_bars("json", pretty=True),
+        "K5_documents": _documents,
         "K6_parquet_ticks": _written_ticks("parquet", row_group_rows=1000, compression="zstd"),
         "K6_parquet_bars": _written_bars("parquet"),
         "K1_csv_lines": _csv_lines(),

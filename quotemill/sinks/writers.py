@@ -94,6 +94,12 @@ def _json_columns(fields) -> list[Column]:
     return [value(f) for f in fields]
 
 
+def json_text(fields, pretty: bool) -> Column:
+    """A row as a JSON object; ``pretty`` indents it as an element of an array."""
+    text = F.to_json(F.struct(*_json_columns(fields)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+    return F.concat(F.lit("  "), F.replace(text, F.lit("\n"), F.lit("\n  "))) if pretty else text
+
+
 def _frame_arrays(by_instrument: bool):
     """Turn each partition's JSON rows into array documents, one per instrument or one in all, row by row."""
 
@@ -181,10 +187,7 @@ def _write(
     elif fmt == "ndjson":
         out = rows.select(*key, *_json_columns(fields))
     else:
-        options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-        text = F.to_json(F.struct(*_json_columns(fields)), options)
-        if pretty:
-            text = F.concat(F.lit("  "), F.replace(text, F.lit("\n"), F.lit("\n  ")))
+        text = json_text(fields, pretty)
         name = F.col("instrument") if key else F.lit("").alias("instrument")
         framed = rows.select(name, text.alias("value")).mapInArrow(
             _frame_arrays(partition_by_instrument), "instrument string, line bigint, value string"
