@@ -289,6 +289,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("found.items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         is_contaminated("found").alias("contaminated"),
-        F.col("found.first").alias("span_first"),
-        F.col("found.last").alias("span_last"),
+        F.array_join(F.zip_with("found.first", "found.last", lambda a, b: F.concat_ws("-", a, b)), ",").alias("spans"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = f"""WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(w[pos:pos + size - 1], ' ') AS gram
+  FROM (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS pos FROM items WHERE len(w) > 0)),
+docs AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (
+  SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS MATERIALIZED (SELECT doc_id, item_id, pos, size FROM grams JOIN windows USING (size, gram)),
+hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY 1),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1),
+islands AS (
+  SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island, place - 1 AS place
+  FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS place FROM found)),
+merged AS (
+  SELECT doc_id, string_agg(first_word || '-' || last_word, ',' ORDER BY first_word) AS spans
+  FROM (SELECT doc_id, min(place) AS first_word, max(place) AS last_word FROM islands GROUP BY doc_id, island) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(spans, '') AS spans
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN merged USING (doc_id)"""

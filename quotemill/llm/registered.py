@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, vector_codes
+from . import decontaminate, merkle, ngram_join, vector_codes
 from .decontaminate import op10_decontamination
 from .html_text import op1_html_extraction
 from .language_id import op3_language_id
@@ -48,5 +48,6 @@ def oracle_sql() -> dict[str, str]:
     """Models and hash orders have no SQL counterpart; tests compare their queries with brute force."""
     import corpus_pipeline
 
-    own = {"op11_vector_code_compression": vector_codes.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
+    own = {"op9_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}
+    own |= {"op11_vector_code_compression": vector_codes.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -1,0 +1,98 @@
+"""Queries without SQL, called as registered, against brute-force versions of what their contracts fix."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from quotemill.llm import packing, registered
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+def base_spans(text):
+    """Spans of the three fixed patterns by start, then kind."""
+    assign = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [("assign", m) for m in re.finditer(assign, text, re.ASCII) if len(m.group(2)) >= 6]
+    found += [("access", m) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [("hex", m) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    order = ["assign", "access", "hex"]
+    return sorted(((m.start(), order.index(kind), f"{kind}:{m.start()}:{m.end()}") for kind, m in found))
+
+
+def test_secret_scan_on_whole_documents(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest table holds no secrets
+    documents = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = registered.queries()["op2_secret_scan"](spark, folder).collect()
+    assert {r.doc_id for r in rows} == set(documents) and len(rows) == len(documents)
+    secrets = 0
+    for r in rows:
+        spans = base_spans(documents[r.doc_id])
+        kinds = [kind for _, kind, _ in spans]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in range(3))
+        joined = ",".join(span for *_, span in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert {span for *_, span in spans} <= set(r.spans.split(",") if r.spans else [])
+        secrets += len(spans)
+    assert secrets
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def ruled(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    host = re.sub("[A-Z]", lambda m: chr(ord(m.group()) + 32), host)
+    fits = [(len(h) + len(p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits, default=(0, None, None))
+    return host, path, rule, verdict
+
+
+def test_url_filter_on_all_pages(spark):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    rows = registered.queries()["op7_url_filter"](spark, SMALL).collect()
+    assert {r.page_id for r in rows} == set(pages) and len(rows) == len(pages)
+    for r in rows:
+        host, path, rule, verdict = ruled(pages[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
+
+
+def test_packing_of_whole_documents(spark, documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in registered.queries()["op8_packing"](spark, SMALL).collect():
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(documents)
+    for doc, pieces in by_doc.items():
+        ids = np.array([*tokenizer.encode(documents[doc], add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    tokens = sum(r.length for pieces in by_doc.values() for r in pieces)
+    assert len(by_sequence) <= 1.05 * tokens / 2048 + 1
