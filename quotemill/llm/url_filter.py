@@ -90,6 +90,23 @@ class UrlRatio:
         self.totals, self.kinds = np.zeros((2, 2, 1 << context_bits), np.float32)
         self.threshold = np.inf
 
+    def __getstate__(self) -> dict:
+        """For the way to the tasks, only the cells that hold something."""
+        state = dict(self.__dict__)
+        for name in ("grams", "totals", "kinds"):
+            flat = state[name].ravel()
+            at = np.flatnonzero(flat).astype(np.int32)
+            state[name] = at, flat[at], state[name].shape
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        for name in ("grams", "totals", "kinds"):
+            at, values, shape = state[name]
+            table_ = np.zeros(shape, np.float32)
+            table_.ravel()[at] = values
+            setattr(self, name, table_)
+
     def ratios(self, urls: list[bytes]) -> np.ndarray:
         """How much better the model of blocked urls explains each one, in nats per character."""
         char, of, by_order = contexts(urls)
@@ -181,6 +198,7 @@ def fit(pages: DataFrame, gram_bits: int = GRAM_BITS, context_bits: int = CONTEX
     found = np.zeros((2, number + 1), np.int64)
     for row in judge_by.mapInArrow(measure, "kind int, cell int").groupBy("kind", "cell").agg(F.count("*").alias("n")).collect():
         found[row.kind, row.cell] = row.n
+    shared.destroy()
     edges = np.arange(number + 1) * BIN - WIDEST
     model.threshold = fewest_errors(*found.cumsum(axis=1), edges) if found.any(axis=1).all() else 0.0
     return model

@@ -96,3 +96,16 @@ def test_packing_of_whole_documents(spark, documents):
         assert at <= 2048
     tokens = sum(r.length for pieces in by_doc.values() for r in pieces)
     assert len(by_sequence) <= 1.05 * tokens / 2048 + 1
+
+
+def test_url_models_travel_as_the_cells_that_hold_something(spark):
+    import pickle
+
+    from quotemill.llm import url_filter
+
+    model = url_filter.fit(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    sent = pickle.dumps(model)
+    back = pickle.loads(sent)
+    assert len(sent) < 4_000_000 and back.threshold == model.threshold
+    for name in ("grams", "totals", "kinds"):
+        assert np.array_equal(getattr(back, name), getattr(model, name))
