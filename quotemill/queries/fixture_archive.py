@@ -18,7 +18,7 @@ from ..session import task_width
 from ..sources.archive import RECORD, filesystem
 
 # What the writer can do to an hour's file.
-FAULTS = ("bad_length", "zero_length", "garbage", "empty")
+FAULTS = ("bad_length", "zero_length", "garbage", "empty", "unreadable")
 
 # LZMA preset with a small dictionary: the files are small and many.
 _FILTERS = [{"id": lzma.FILTER_LZMA1, "preset": 0, "dict_size": 1 << 16}]
@@ -46,7 +46,11 @@ class _Output:
         elif self._fault != "zero_length":
             self._out.write(self._codec.flush())
         self._out.close()
-        self._store.move(self._temporary, self._path)
+        if self._fault == "unreadable":  # storage refuses to open a folder
+            self._store.delete_file(self._temporary)
+            self._store.create_dir(self._path)
+        else:
+            self._store.move(self._temporary, self._path)
 
 
 def _writer(root: str):

@@ -264,6 +264,12 @@ AND hour BETWEEN TIMESTAMP '{q.SELECTED_HOURS[0]}' AND TIMESTAMP '{q.SELECTED_HO
 CAST(sum(ask_raw) AS BIGINT) AS ask_sum, max(seq) AS last_seq FROM archived GROUP BY 1, 2""",
         "S3_resilient_scan": f"{_SHARD_TICKS} {_ARCHIVED_ROWS} WHERE hour_of_day NOT IN ({_DAMAGED})",
         "S3_file_status": f"{_FILES} SELECT instrument, hour, path, status, n_ticks FROM files",
+        "S3_unreadable": f"""{_FILES}, seen AS (
+  SELECT m.instrument, m.hour, m.path, p.n, p.hour_of_day = 8 AND m.instrument LIKE 'signup%' AS refused
+  FROM files m LEFT JOIN path_of p USING (instrument, hour))
+SELECT instrument, hour, path, CASE WHEN n IS NULL THEN 'no_data' WHEN refused THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN n IS NULL OR refused THEN 0 ELSE n END AS n_ticks
+FROM seen""",
         "S4_explode_batches": f"""{raw_hours}, t AS (
   SELECT *, unnest(CASE WHEN event_type = 'error' THEN [] ELSE generate_series(0, k % 4 - 1) END) AS tick FROM hours)
 SELECT instrument, hour, seq, tick, ms % 3600000 + tick AS ms_offset, ask_raw FROM t""",

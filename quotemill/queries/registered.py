@@ -151,6 +151,16 @@ def _file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(status.select("instrument", "hour", "path", "status", "n_ticks"))
 
 
+def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses where storage refuses to open the files of an hour of the signups."""
+    configure(spark)
+    raw = frames.raw_ticks(frames.events(spark, sf_dir), frames.shard_instrument())
+    root = shared_dir(spark, "archive")
+    write_archive(raw, root, F.when(F.col("instrument").startswith("signup") & (F.hour("hour") == 8), "unreadable"))
+    status = file_status(spark, root, _shard_manifest(spark, sf_dir))
+    return _ntz(status.select("instrument", "hour", "path", "status", "n_ticks"))
+
+
 def _list_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = list_archive(spark, _archive(spark, sf_dir, damaged=True))
     return _ntz(found.select("instrument", "hour", "path", (F.col("length") == 0).alias("zero_length")))
@@ -690,6 +700,7 @@ def queries() -> dict[str, Query]:
         "S2_strict_scan": _strict_scan,
         "S3_resilient_scan": _resilient_scan,
         "S3_file_status": _file_status,
+        "S3_unreadable": _unreadable,
         "S4_explode_batches": _explode_batches,
         "S5_registry_join": _registry_join,
         "S6_category_stats": _category_stats,

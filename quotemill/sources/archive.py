@@ -32,6 +32,7 @@ FILES_PER_TASK = 2_000
 MAX_TASKS = 100_000
 OPEN_AHEAD = 8  # files a task reads ahead of the decoder
 WHOLE_FILE_BYTES = 8 << 20  # larger files, and files that inflate past four times this, are streamed
+HELD_BYTES = 256 << 20  # of a file that is kept while it is decoded, so that its second pass needs no storage
 CHUNK_BYTES = 4 << 20
 PAUSES = (0.2, 1.0)  # seconds before a task reads a file once more after a storage error
 BATCH_ROWS = 65_536
@@ -98,19 +99,23 @@ def whole_records(pieces: Iterable[bytes]) -> Iterator[np.ndarray]:
 
 
 class _HourFile:
-    """One archive file: read whole while small, re-read in chunks when large."""
+    """One archive file: read ahead while small, when it is decoded if larger, and in chunks if it is huge."""
 
     def __init__(self, store: pafs.FileSystem, path: str):
         self._store, self._path, self._data = store, path, None
         self.exists = True
         try:
             with store.open_input_file(path) as f:
-                if f.size() <= WHOLE_FILE_BYTES:
+                self._size = f.size()
+                if self._size <= WHOLE_FILE_BYTES:
                     self._data = f.read()
         except FileNotFoundError:
             self.exists = False
 
     def _chunks(self) -> Iterator[bytes]:
+        if self._data is None and self._size <= HELD_BYTES:
+            with self._store.open_input_file(self._path) as f:
+                self._data = f.read()
         if self._data is not None:
             yield self._data
             return
@@ -147,11 +152,27 @@ def _read_hour(file: _HourFile) -> tuple[int, Iterable[np.ndarray]]:
 
 
 def _again(file: _HourFile, n: int) -> Iterator[np.ndarray]:
-    """The records once more; raises if they are not as many as before."""
+    """The records once more; raises if they are not as many as before.
+
+    Only a huge file is read from storage again. After a storage error that reading goes on behind the records given so
+    far, since those cannot be taken back; if storage refuses for good, the task fails and Spark runs it again.
+    """
     seen = 0
-    for part in file.records():
-        seen += len(part)
-        yield part
+    for pause in (*PAUSES, None):
+        skip = seen
+        try:
+            for part in file.records():
+                if skip >= len(part):
+                    skip -= len(part)
+                    continue
+                part, skip = part[skip:], 0
+                seen += len(part)
+                yield part
+            break
+        except OSError:
+            if pause is None:
+                raise
+            time.sleep(pause)
     if seen != n:
         raise RuntimeError(f"file changed while it was read: {n} records, then {seen}")
 

@@ -181,3 +181,43 @@ def test_explode_batches(spark):
         schema.replace("ms_offset bigint", "ms_offset: bigint").replace("ask_raw bigint", "ask_raw: bigint"),
     )
     assert rows(explode_batches(frame).select("instrument", "ms_offset", "ask_raw")) == [("a", 1, 10), ("a", 2, 20)]
+
+
+class Flaky:
+    """A store whose reads of one file fail at given openings."""
+
+    def __init__(self, path, refused):
+        self.path, self.refused, self.opened = path, refused, 0
+
+    def open_input_file(self, _):
+        self.opened += 1
+        if self.opened in self.refused:
+            raise OSError("storage is away")
+        return filesystem("/")[0].open_input_file(self.path)
+
+
+@pytest.fixture
+def large(tmp_path, monkeypatch):
+    """A file that counts as large, and whose records do not all fit the first pass."""
+    write_hour(tmp_path, GOOD, b"".join(record(i, i, i) for i in range(5000)))
+    monkeypatch.setattr(archive_module, "WHOLE_FILE_BYTES", 1000)
+    monkeypatch.setattr(archive_module, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(archive_module, "PAUSES", (0, 0))
+    return str(tmp_path / GOOD)
+
+
+def test_the_second_pass_of_a_large_file_needs_no_storage(large):
+    store = Flaky(large, {3, 4, 5, 6})
+    n, parts = archive_module._read_hour(archive_module._HourFile(store, large))
+    assert n == 5000 and store.opened == 2
+    assert [int(ms) for part in parts for ms in part["ms"]] == list(range(5000)) and store.opened == 2
+
+
+def test_the_second_pass_of_a_huge_file_goes_on_after_an_error(large, monkeypatch):
+    monkeypatch.setattr(archive_module, "HELD_BYTES", 0)
+    store = Flaky(large, {3, 4})
+    n, parts = archive_module._read_hour(archive_module._HourFile(store, large))
+    assert [int(ms) for part in parts for ms in part["ms"]] == list(range(5000)) and store.opened == 5
+    store = Flaky(large, {3, 4, 5})
+    with pytest.raises(OSError, match="away"):
+        list(archive_module._read_hour(archive_module._HourFile(store, large))[1])
