@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts, with_struct
+from .common import settled, table, texts, with_struct
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of a text with A-Z in lower case
 WINDOW = 13
 SHARD_BYTES = 4_000_000
 SAMPLE_EVERY = 8
 #: Benchmark words in one block, which bounds what is broadcast.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 100_000
 
 FIELDS = T.StructType(
     [
@@ -224,6 +224,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, into: str = "found
     context = docs.sparkSession.sparkContext
     out, passes = docs, 0
     for items in blocks(benchmark):
+        if passes:  # else all blocks would be held by the tasks of one plan
+            out = settled(out, "searched")
         out = with_struct(out, into, FIELDS, _search(context.broadcast(Windows(items)), into, passes > 0), size=SHARD_BYTES)
         passes += 1
     return out if passes else with_struct(out, into, FIELDS, Windows([]).find, size=SHARD_BYTES)
