@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +26,10 @@ from pyspark.sql import types as T
 
 from .common import table, texts, with_struct
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.DOTALL
-)
+#: A tag up to the next closing bracket, a comment or a declaration; and a tag with brackets inside quoted values.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.DOTALL)
+QUOTED = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+DECLARATION = re.compile(r"<[!?]")
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea datalist map".split())
 RAW = frozenset("script style textarea title iframe".split())
@@ -38,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME = frozenset("nav footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+END_TAGS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|footer|foot|header|masthead|cookie\w*|consent|notice|alert|popup|modal"
@@ -47,7 +51,11 @@ HINTS = re.compile(
 CONTENT_HINTS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body)(?:$|[\s_-])", re.IGNORECASE)
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)\b", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"\b(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|\baria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)  # as an attribute of its own
+NOT_SHOWN = re.compile(r"\baria-hidden\s*=\s*[\"']?true|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"']*)display\s*:\s*none", re.IGNORECASE)
+#: Words that make a class name a state of the page around it, as in has-sidebar or nav-open.
+STATES = frozenset("has no not with without is hide show open opened closed close enabled disabled on off active inactive visible collapsed expanded sticky fixed allowed project".split())
 
 FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "chrome", "main", "heading")
 #: Labelled blocks: the features in their order, then 1 for content.
@@ -68,6 +76,8 @@ LABELLED = """
 15 0.00 12 0.00 0 0.00 0 1 0 1 | 6 0.00 5 0.50 70 0.00 0 1 1 1 | 40 0.00 3 0.00 2 0.00 0 1 0 1 | 2 1.00 3 0.00 9 0.00 0 1 0 1
 28 0.00 6 1.00 16 0.00 0 1 0 1 | 4 0.00 7 0.00 7 0.00 0 1 0 1 | 200 0.30 12 0.00 18 0.00 0 1 0 1 | 13 0.00 2 0.00 25 0.00 0 1 0 1
 27 0.00 17 0.00 2 1.00 0 0 0 1 | 15 0.00 17 0.00 1 1.00 0 0 0 1 | 55 0.00 1 1.00 1 1.00 0 0 0 1 | 20 0.00 0 0.00 15 0.00 0 0 0 1
+12 0.00 12 0.00 12 0.00 0 0 0 1 | 12 0.00 0 0.00 12 0.00 0 0 0 1 | 12 0.00 12 0.00 0 0.00 0 0 0 1 | 11 0.00 14 0.00 13 0.00 0 0 0 1
+10 0.05 16 0.00 12 0.00 0 0 0 1 | 14 0.00 10 0.00 11 0.10 0 0 0 1 | 13 0.00 9 0.00 30 0.00 0 0 0 1 | 11 0.08 40 0.00 10 0.00 0 0 0 1
 6 0.00 30 0.00 0 0.00 0 0 0 0 | 4 0.00 3 0.00 5 0.00 0 0 0 0 | 1 0.00 8 0.00 60 0.00 0 0 0 0 | 3 0.00 0 0.00 12 0.00 0 0 0 0
 2 0.00 50 0.00 70 0.00 0 0 0 0 | 5 0.00 80 0.00 6 0.00 0 0 0 0 | 1 0.00 2 0.00 2 0.00 0 0 0 0 | 4 0.00 9 0.00 1 0.00 0 0 0 0
 3 0.00 25 0.00 40 0.00 0 0 0 0 | 6 0.00 5 0.00 45 0.00 0 0 0 0 | 5 0.00 60 0.00 2 0.00 0 0 0 0 | 2 0.00 7 0.00 90 0.00 0 0 0 0
@@ -112,12 +122,52 @@ def trained() -> Tree:
     return Tree(rows[:, :-1], rows[:, -1])
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it is an end tag, name and attributes of each piece of markup; one without a name holds no text.
+
+    A caller may send the place to go on from. The scan is linear: behind the last closing bracket no tag is looked for, and
+    once the quotes of a tag do not pair, quotes are not looked at any more.
+    """
+    at, quotes, last = 0, True, page.rfind(">")
+    while at <= last:
+        m = MARKUP.search(page, at, last + 1)
+        if not m:
+            break
+        if m[2] and quotes and ('"' in m[3] or "'" in m[3]):
+            m, loose = QUOTED.match(page, m.start()), m
+            if not m:
+                m, quotes = loose, False
+        elif not m[2] and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # unclosed
+        moved = yield m.start(), m.end(), bool(m[1]), (m[2] or "").lower(), m[3] or ""
+        at = m.end() if moved is None else moved
+    m = DECLARATION.search(page, at)
+    if m:
+        yield m.start(), len(page), False, "", ""
+
+
+def chrome_words(hints: str) -> bool:
+    """Whether class names and ids tell of a part without content: by one of their words that is no state, where none tells of content."""
+    found = False
+    for name in hints.split():
+        if HINTS.search(name):
+            found = found or not STATES & set(re.split(r"[_-]", name.lower()))
+        elif CONTENT_HINTS.fullmatch(name):
+            return False
+    return found
+
+
+def hidden(attributes: str) -> bool:
+    return bool(NOT_SHOWN.search(attributes) or "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub(" ", attributes)))
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Text, words, link density, chrome, main and heading of each block, in page order."""
     out: list[tuple[str, int, float, int, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # name, then in chrome, main, heading, link
+    stack: list[tuple[str, int, int, int, int, int]] = []  # name, then in chrome, main, heading, link, silent part before it
+    opened: Counter[str] = Counter()
     chrome = main = heading = link = silent = 0
 
     def flush() -> None:
@@ -128,59 +178,65 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         text.clear()
         linked.clear()
 
-    at = 0
-    while at <= len(page):
-        m = MARKUP.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+    def close(depth: int) -> tuple[int, int, int, int, int]:
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        before = stack[depth][1:]
+        del stack[depth:]
+        return before
+
+    def add(piece: str) -> None:
         if piece and not silent:
             text.append(piece)
             if link:
                 linked.append(piece)
-        if not m:
+
+    at, scan, move = 0, tags(page), None
+    while True:
+        try:
+            start, end, closes, name, attributes = scan.send(move)
+        except StopIteration:
             break
-        at, name = m.end(), (m[2] or "").lower()
+        add(page[at:start])
+        at, move = end, None
         if not name:
             continue
-        if m[1]:  # an end tag closes all that is open inside its element
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), -1)
-            if depth >= 0 and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth:])):
-                if any(x[0] not in INLINE for x in stack[depth:]):
-                    flush()
-                _, chrome, main, heading, link = stack[depth]
-                del stack[depth:]
-                silent = sum(x[0] in SILENT for x in stack)
+        if closes:  # an end tag closes all that is open inside its element
+            if opened[name]:
+                depth = next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name)
+                block = any(x[0] not in INLINE for x in stack[depth:])
+                if name not in INLINE or not block:
+                    if block:
+                        flush()
+                    chrome, main, heading, link, silent = close(depth)
             elif name not in INLINE:
                 flush()
             continue
         if name not in INLINE:
             flush()
-        if name in VOID or m[3].endswith("/") and name not in SILENT and name not in CHROME:
+        if name in VOID or attributes.endswith("/") and name not in SILENT and name not in CHROME:
             continue
-        if name in CLOSED_BY_NEXT and stack and any(x[0] == name for x in stack[-3:]):
-            depth = max(d for d in range(len(stack)) if stack[d][0] == name)
+        if name in CLOSED_BY_NEXT and any(x[0] == name for x in stack[-3:]):
+            depth = max(d for d in range(len(stack) - 1, max(-1, len(stack) - 4), -1) if stack[d][0] == name)
             if all(x[0] in INLINE or x[0] == name for x in stack[depth:]):
-                _, chrome, main, heading, link = stack[depth]
-                del stack[depth:]
-        stack.append((name, chrome, main, heading, link))
+                chrome, main, heading, link, silent = close(depth)
         if name in RAW:  # no markup inside: on to its end tag
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            stack.pop()
-            at = end.end() if end else len(page)
+            ended = END_TAGS[name].search(page, at)
+            at = move = ended.end() if ended else len(page) + 1
             continue
-        attributes = m[3]
+        stack.append((name, chrome, main, heading, link, silent))
+        opened[name] += 1
         hints = " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
-        content = name in MAIN or bool(hints) and bool(CONTENT_HINTS.search(hints)) and not HINTS.search(hints)
-        if name in CHROME or name == "header" and not main or ROLES.search(attributes) or hints and name not in MAIN | {"body", "html"} and HINTS.search(hints):
+        unlike = bool(hints) and name not in MAIN | {"body", "html"} and chrome_words(hints)
+        content = name in MAIN or bool(hints) and bool(CONTENT_HINTS.search(hints)) and not unlike
+        if name in CHROME or name == "header" and not main or ROLES.search(attributes) or unlike or hidden(attributes):
             chrome = 1
         elif content and not chrome:
             main = 1
-        if name in SILENT or HIDDEN.search(attributes):
-            silent += 1
-            stack[-1] = (name if name in SILENT else name, *stack[-1][1:])
-            if name not in SILENT:
-                chrome, silent = 1, silent - 1
+        silent += name in SILENT
         heading = 1 if name in HEADINGS else heading
         link = 1 if name == "a" else link
+    add(page[at:])
     flush()
     return out
 
