@@ -15,7 +15,7 @@ from ..operators.normalize import normalize_ticks
 from ..operators.ohlcv import ohlcv
 from ..operators.ranges import missing_hours
 from ..operators.requests import requests
-from ..session import configure, shared_dir
+from ..session import configure, shared_dir, written
 from ..sinks.writers import parse_format, write_bars, write_ticks
 from ..sources.registry import instruments as shipped_instruments
 from ..sources.run_table import FINISHED, land_run, landed_status, landed_ticks, publish_run
@@ -38,8 +38,10 @@ def _resume(spark: SparkSession, root: str, table: str, on_error: str, ranges: D
     An hour is finished once it was read; hours without a file and faulty ones are tried again. Only the ranges that are
     missing become hours.
     """
+    ranges = written(ranges, "ranges")
     finished = landed_status(spark, table, ranges).filter(F.col("status").isin(*FINISHED))
-    run, _ = land_run(spark, root, table, missing_hours(ranges, finished), on_error)
+    todo = written(missing_hours(ranges, finished), "missing")  # counted, sampled and dealt out
+    run, _ = land_run(spark, root, table, todo, on_error)
     publish_run(spark, table, run)
     statuses = landed_status(spark, table, ranges)
     return landed_ticks(spark, table, ranges), statuses

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Archive hours and bar starts are UTC clock fields, and the Parquet sink stores microsecond timestamps.
 REQUIRED_CONF = {
@@ -89,3 +89,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quotemill-")
     return os.path.join(base, f"quotemill-{purpose}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in a fresh folder of the shared one, for work that reads them more than once."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

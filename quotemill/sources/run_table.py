@@ -19,7 +19,7 @@ from pyspark.sql.observation import Observation
 
 from ..operators.coverage import HOUR_KEY
 from ..schemas import FILE_STATUS, RAW_TICKS
-from ..session import setting, shared_dir
+from ..session import setting, written
 from .archive import DECODED, decode_archive, spread_files
 
 MARKERS = "_published"  # Spark's readers pass over names that begin so
@@ -135,10 +135,7 @@ def landed_ticks(spark: SparkSession, table: str, ranges: DataFrame | None = Non
     ticks = rows.filter("status is null")
     held = rows.filter(F.col("status").isin(*FINISHED)).select(*HOUR_KEY, "run", "status")
     twice = held.groupBy(*HOUR_KEY).agg(F.count("*").alias("n"), F.min("run").alias("first")).filter("n > 1")
-    path = shared_dir(spark, "overlaps")
     others = held.join(twice, HOUR_KEY).filter("run != first and status = 'ok'").select(*HOUR_KEY, "run")
-    others.write.parquet(path)
-    others = spark.read.schema(others.schema).parquet(path)
-    if not others.isEmpty():
+    if len(published_runs(spark, table)) > 1 and not (others := written(others, "overlaps")).isEmpty():
         ticks = ticks.join(others, [*HOUR_KEY, "run"], "left_anti")
     return ticks.select(*RAW_TICKS.fieldNames())
