@@ -2,10 +2,13 @@
 
 The model reads a text's subword ids in windows of CONTEXT + BLOCK that overlap by CONTEXT: every id is scored once, in the
 block of one window, with at least the context before it that the text has. Many windows go through masked attention at
-once. The model predicts the class of the next id from the attended ids; within its class an id has a fixed share.
+once. The model predicts the class of the next id from the attended ids; within its class an id has a share.
+
+Ids of a class are in groups, of which the commonest ids have one each. The group of the last id shifts the shares of the
+class's groups, as counted for pairs of groups, so the share too follows the text.
 
 Classes, shares and weights come from all training documents, in whole. Texts are cut into pieces of whole windows that
-keep the context before them; only a text's last piece has the end. Counts of ids and of their neighbours are summed over
+keep the context before them; only a text's last piece has the end. All texts are cut into ids once, for learning and scoring. Counts of ids and of their neighbours are summed over
 all pieces. Weights learn in rounds: each piece belongs to one round, and in it to one shard of a bounded number of windows,
 dealt by hash. A task goes through its shard's windows, and the weights of all shards are averaged in tasks, by windows, and
 embeddings by how often they were met. So steps grow with the corpus, and small corpora are gone through several times.
@@ -37,15 +40,19 @@ VOCABULARY = 49_408
 BEGIN, END = 49_406, 49_407
 CONTEXT, BLOCK = 16, 32
 SPAN = CONTEXT + BLOCK
-CLASSES, WIDTH, KEY, HIDDEN = 32, 16, 8, 32
+CLASSES, WIDTH, KEY, HIDDEN = 32, 8, 8, 16
 #: Cells that ids on one side of an id are hashed to, for its class.
 CELLS = 64
+#: Groups of ids in a class, how many of them hold one common id each, and pairs that the shares without context count as.
+GROUPS, SINGLE, PRIOR = 64, 56, 8.0
 #: Small corpora are gone through until there are so many steps.
-STEPS, BATCH, RATE = 250, 128, 0.02
+STEPS, BATCH, RATE, ROW_RATE = 125, 256, 0.03, 0.2
 #: Ids of one piece of a text (a multiple of BLOCK), windows of one shard, about, and rounds after which shards are averaged.
 PIECE, SHARD_WINDOWS, ROUNDS = 512 * BLOCK, 32_768, 4
-#: Ids whose sums one row holds.
-CHUNK = 1024
+#: Pieces that are scored at a time.
+PIECES = 64
+#: Rows that the sums of one kind are dealt to, by id or group, and rows of one of them that a task adds.
+CHUNKS, FAN = 49, 32
 #: Words whose counts reach the tasks.
 COMMON_WORDS = 100_000
 END_WORD = "\n"
@@ -74,16 +81,30 @@ def neighbour_classes(seen: np.ndarray, seed: int = 5) -> np.ndarray:
         return out
     points = np.sqrt(seen[known], dtype=np.float32)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    weight = seen[known].sum(axis=1)
-    centers = points[rng.choice(len(known), CLASSES, replace=False, p=weight / weight.sum())]
+    out[known] = clusters(points, seen[known].sum(axis=1), CLASSES, rng)
+    return out
+
+
+def clusters(points: np.ndarray, weight: np.ndarray, number: int, rng: np.random.Generator) -> np.ndarray:
+    """The cluster of each point of length one, by k-means."""
+    centers = points[rng.choice(len(points), number, replace=False, p=weight / weight.sum())]
     for _ in range(8):
         of = (points @ centers.T).argmax(axis=1)
-        for k in range(CLASSES):
+        for k in range(number):
             if (of == k).any():
                 centers[k] = np.average(points[of == k], axis=0, weights=weight[of == k])
                 centers[k] /= np.linalg.norm(centers[k])
-    out[known] = of
-    return out
+    return of
+
+
+def groups_of(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A group for each id: SINGLE ids of each class, the commonest, have their own; the rest are dealt by how common they are."""
+    order = np.lexsort((np.arange(VOCABULARY), -counts, classes))
+    size = np.bincount(classes, minlength=CLASSES)
+    rank = np.empty(VOCABULARY, np.int64)
+    rank[order] = np.arange(VOCABULARY) - np.repeat(np.cumsum(size) - size, size)
+    band = SINGLE + np.maximum(0, np.log2(np.maximum(rank, SINGLE) / SINGLE)).astype(np.int64)
+    return classes * GROUPS + np.where(rank < SINGLE, rank, np.minimum(band, GROUPS - 1))
 
 
 def cut(ids: np.ndarray) -> list[tuple[np.ndarray, bool, bool]]:
@@ -135,6 +156,9 @@ class Attention:
         self.classes = neighbour_classes(seen[:, :-1])
         counts = seen[:, -1] + 0.1
         self.share = np.log(counts / np.bincount(self.classes, counts, CLASSES)[self.classes]).astype(np.float32)
+        self.groups, self.shift = groups_of(self.classes, counts), None
+        self.in_group = np.bincount(self.groups, counts, CLASSES * GROUPS)
+        self.tables = None
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.p = {
             "e": (rng.normal(0, 0.3, (VOCABULARY, WIDTH))).astype(np.float32),
@@ -154,69 +178,99 @@ class Attention:
             inputs, targets, *_ = windows(ids)
             self.learn(inputs, targets, passes(len(inputs)), rng)
 
-    def forward(self, inputs: np.ndarray) -> tuple:
-        """Attention is laid out as (window, key, query) and class logits as (class, place), so that sums run over rows."""
+    def follow(self, pairs: np.ndarray) -> None:
+        """Takes the counts of pairs of groups, by the first and the second."""
+        alone = self.in_group.reshape(CLASSES, GROUPS)
+        alone = (alone / np.maximum(alone.sum(axis=1, keepdims=True), 1e-9)).reshape(1, -1)
+        seen = pairs.reshape(-1, CLASSES, GROUPS).sum(axis=2).repeat(GROUPS, axis=1)
+        chance = (pairs + PRIOR * alone) / (seen + PRIOR)
+        self.shift = np.log(chance / np.maximum(alone, 1e-30), where=alone > 0, out=np.zeros(pairs.shape)).astype(np.float32)
+
+    def attend(self, inputs: np.ndarray) -> tuple:
+        """Attention is laid out as (window, key, query) and class logits as (class, place), so that sums run over rows.
+
+        Attention and logits are exponents before they are divided by their sums. ``tables`` has what weights make of each id.
+        """
         p, n = self.p, len(inputs)
-        x = p["e"].take(np.maximum(inputs, 0).ravel(), axis=0)
-        kv = (x @ np.hstack([p["k"], p["v"]])).reshape(n, SPAN, KEY + WIDTH)
+        at = np.maximum(inputs, 0)
+        if self.tables:
+            x = last = None
+            kv = self.tables[0].take(at.ravel(), axis=0).reshape(n, SPAN, KEY + WIDTH)
+            own = self.tables[1].take(at[:, CONTEXT:].ravel(), axis=0)
+            q, h = own[:, :KEY].reshape(n, BLOCK, KEY), own[:, KEY:]
+        else:
+            x = p["e"].take(at.ravel(), axis=0)
+            kv = (x @ np.hstack([p["k"], p["v"]])).reshape(n, SPAN, KEY + WIDTH)
+            last = x.reshape(n, SPAN, WIDTH)[:, CONTEXT:].reshape(-1, WIDTH)
+            q = (last @ (p["q"] / np.float32(np.sqrt(KEY)))).reshape(n, BLOCK, KEY)
+            h = last @ p["x"] + p["b"]
         k, v = kv[..., :KEY], kv[..., KEY:]
-        last = x.reshape(n, SPAN, WIDTH)[:, CONTEXT:].reshape(-1, WIDTH)
-        q = (last @ (p["q"] / np.float32(np.sqrt(KEY)))).reshape(n, BLOCK, KEY)
-        s = k @ q.transpose(0, 2, 1)
-        s += np.where(self.future, np.float32(-1e4), p["r"][self.distance])
+        a = k @ q.transpose(0, 2, 1)
+        np.exp(np.clip(a, -30, 30, out=a), out=a)
+        a *= np.where(self.future, np.float32(0), np.exp(p["r"])[self.distance])
         some = np.flatnonzero((inputs[:, 0] < 0) | (inputs[:, -1] < 0))
-        s[some] += np.where(inputs[some] < 0, np.float32(-1e4), np.float32(0))[:, :, None]
-        s -= s.max(axis=1, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(axis=1, keepdims=True)
-        mixed = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
-        h = np.tanh(mixed @ p["o"] + last @ p["x"] + p["b"])
-        logits = p["c"].T @ h.T + p["d"][:, None]
-        logits -= logits.max(axis=0)
-        logits -= np.log(np.exp(logits).sum(axis=0))
-        return x, last, q, k, v, a, mixed, h, logits.T.reshape(n, BLOCK, CLASSES)
+        a[some] *= (inputs[some] >= 0)[:, :, None]
+        total = a.sum(axis=1) + np.float32(1e-30)
+        mixed = a.transpose(0, 2, 1) @ v
+        mixed /= total[:, :, None]
+        mixed = mixed.reshape(-1, WIDTH)
+        h = np.tanh(mixed @ p["o"] + h)
+        chance = p["c"].T @ h.T
+        chance += p["d"][:, None]
+        return x, last, q, k, v, a, total, mixed, h, np.clip(chance, -60, 60, out=chance)
+
+    def forward(self, inputs: np.ndarray) -> tuple:
+        """What ``attend`` gives, and last the log probabilities of the classes by window and place."""
+        *rest, logits = self.attend(inputs)
+        logits = logits - np.log(np.exp(logits).sum(axis=0))
+        return *rest, logits.T.reshape(len(inputs), BLOCK, CLASSES)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, times: int, rng: np.random.Generator, since: float = 0.0, until: float = 1.0) -> np.ndarray:
         """Goes through all windows so many times, from one share of the whole training to another; how often each embedding was met."""
-        first = {name: np.zeros_like(value) for name, value in self.p.items()}
-        second = {name: np.zeros_like(value) for name, value in self.p.items()}
-        met = np.zeros(VOCABULARY, np.int64)
+        self.tables, dense = None, {name: value for name, value in self.p.items() if name != "e"}
+        first = {name: np.zeros_like(value) for name, value in dense.items()}
+        second = {name: np.zeros_like(value) for name, value in dense.items()}
+        met, square = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.float32)
         order = np.concatenate([rng.permutation(len(inputs)) for _ in range(times)])
         for step, at in enumerate(range(0, len(order), BATCH), 1):
             some = order[at : at + BATCH]
-            rate = np.float32(RATE * min(1.0, 2 * (1 - since - (until - since) * at / len(order)) + 1e-3))
+            share = min(1.0, 2 * (1 - since - (until - since) * at / len(order)) + 1e-3)
             rows, grads = self.gradients(inputs[some], targets[some])
             met[rows] += 1
+            own = grads.pop("e")  # one size of steps for all of an id's weights
+            square[rows] += np.einsum("ij,ij->i", own, own) / WIDTH
+            own *= (ROW_RATE * share / (np.sqrt(square[rows]) + 1e-6)).astype(np.float32)[:, None]
+            self.p["e"][rows] -= own
             for name, grad in grads.items():
-                own, number = (rows, met[rows, None]) if name == "e" else (slice(None), step)
-                first[name][own] = m = 0.9 * first[name][own] + 0.1 * grad
-                second[name][own] = s = 0.99 * second[name][own] + 0.01 * grad**2
-                self.p[name][own] -= (rate * (m / (1 - 0.9**number)) / (np.sqrt(s / (1 - 0.99**number)) + 1e-6)).astype(np.float32)
+                first[name] = m = 0.9 * first[name] + 0.1 * grad
+                second[name] = s = 0.99 * second[name] + 0.01 * grad**2
+                self.p[name] -= (RATE * share * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return met
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The ids among the inputs, and all gradients; that of the embeddings is for these ids alone."""
         p, n = self.p, len(inputs)
-        x, last, q, k, v, a, mixed, h, logits = self.forward(inputs)
+        x, last, q, k, v, a, total, mixed, h, logits = self.attend(inputs)
         live = np.flatnonzero(targets.ravel() >= 0)
-        g = np.exp(logits.reshape(-1, CLASSES).T)
+        g = np.exp(logits, out=logits)
+        g /= g.sum(axis=0)
         g[self.classes[targets.ravel()[live]], live] -= 1
         g *= (targets.ravel() >= 0) / np.float32(max(1, len(live)))
         gh = (g.T @ p["c"].T) * (1 - h**2)
         gm = gh @ p["o"].T
-        along = (gm * mixed).sum(axis=1).reshape(n, 1, BLOCK)
+        gm /= total.reshape(-1, 1)
+        along = np.einsum("ij,ij->i", gm, mixed).reshape(n, 1, BLOCK)
         gm = gm.reshape(n, BLOCK, WIDTH)
         gs = v @ gm.transpose(0, 2, 1)
         gs -= along
         gs *= a
-        gr = np.zeros_like(p["r"])
-        np.add.at(gr, self.distance, np.where(self.future, 0, gs.sum(axis=0)))
+        gr = np.bincount(self.distance.ravel(), np.where(self.future, 0, gs.sum(axis=0)).ravel(), SPAN).astype(np.float32)
         gq = (gs.transpose(0, 2, 1) @ k).reshape(-1, KEY) / np.float32(np.sqrt(KEY))
         gkv = np.concatenate([gs @ q, a @ gm], axis=2).reshape(-1, KEY + WIDTH)
         gx = gkv @ np.hstack([p["k"], p["v"]]).T
         gx.reshape(n, SPAN, WIDTH)[:, CONTEXT:] += (gq @ p["q"].T + gh @ p["x"].T).reshape(n, BLOCK, WIDTH)
-        ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
+        ids = inputs.ravel().astype(np.uint16)  # sorted by digits; -1 becomes the largest
+        order = np.argsort(ids, kind="stable")[: np.count_nonzero(inputs >= 0)]
         ids = ids[order]
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         gk = x.T @ gkv
@@ -233,17 +287,22 @@ class Attention:
             "d": g.sum(axis=1),
         }
 
-    def score(self, ids: list[np.ndarray], at_once: int = 256) -> np.ndarray:
-        """Natural log probability of each text's ids and its end."""
-        inputs, targets, text, _ = windows(ids)
+    def score(self, ids: list[np.ndarray], at_once: int = 256, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each text's ids and its end, or of pieces of texts."""
+        p = self.p
+        plain = np.hstack([p["q"] / np.float32(np.sqrt(KEY)), p["x"]]), np.r_[np.zeros(KEY, np.float32), p["b"]]
+        self.tables = self.tables or (p["e"] @ np.hstack([p["k"], p["v"]]), p["e"] @ plain[0] + plain[1])
+        inputs, targets, text, _ = windows(ids, begins, ends)
         out = np.zeros(len(ids))
         for at in range(0, len(inputs), at_once):
-            own = targets[at : at + at_once]
-            logits = self.forward(inputs[at : at + at_once])[-1]
-            w, t = np.nonzero(own >= 0)
-            found = own[w, t]
-            nats = logits[w, t, self.classes[found]] + self.share[found]
-            out += np.bincount(text[at : at + at_once][w], nats, len(ids))
+            own = targets[at : at + at_once].ravel()
+            logits = self.attend(inputs[at : at + at_once])[-1]
+            place = np.flatnonzero(own >= 0)
+            found = own[place]
+            nats = self.share[found] + logits[self.classes[found], place] - np.log(np.exp(logits).sum(axis=0))[place]
+            if self.shift is not None:
+                nats += self.shift[self.groups[inputs[at : at + at_once, CONTEXT:].ravel()[place]], self.groups[found]]
+            out += np.bincount(text[at : at + at_once][place // BLOCK], nats, len(ids))
         return out
 
 
@@ -277,7 +336,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 PARTS = "chunk int, shard bigint, places binary, weights binary, means binary"
 
 
-def parts_of(chunk: np.ndarray, place: np.ndarray, weight: np.ndarray, mean: np.ndarray, shard: int) -> pa.RecordBatch:
+def parts_of(cell: np.ndarray, weight: np.ndarray, mean: np.ndarray, shard: int, wide: int = 1, first: int = 0) -> pa.RecordBatch:
+    """Rows of PARTS. Runs of ``wide`` cells, such as those of one id, are dealt to the chunks from ``first`` in turn, so that common ids are spread."""
+    run, place = np.divmod(cell, wide)
+    turn, chunk = np.divmod(run, CHUNKS)
+    order = np.argsort(chunk.astype(np.uint8), kind="stable")
+    chunk, place, weight, mean = first + chunk[order], (turn * wide + place)[order], weight[order], mean[order]
+    return rows_of(chunk, place, weight, mean, shard)
+
+
+def cells(row: dict, wide: int = 1, first: int = 0) -> np.ndarray:
+    """The cells that a row of ``parts_of`` is about."""
+    turn, place = np.divmod(np.frombuffer(row["places"], "<i4").astype(np.int64), wide)
+    return (turn * CHUNKS + row["chunk"] - first) * wide + place
+
+
+def rows_of(chunk: np.ndarray, place: np.ndarray, weight: np.ndarray, mean: np.ndarray, shard: int) -> pa.RecordBatch:
     """Rows of PARTS; chunks are in order."""
     starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.empty(0, int)
     split = lambda values, kind: [x.astype(kind).tobytes() for x in np.split(values, starts[1:])] if len(starts) else []
@@ -286,22 +360,28 @@ def parts_of(chunk: np.ndarray, place: np.ndarray, weight: np.ndarray, mean: np.
     return pa.RecordBatch.from_arrays(columns, ["chunk", "shard", "places", "weights", "means"])
 
 
-def merged(parts: DataFrame) -> pa.Table:
-    """Sums of the weights and weighted means over all shards, made in tasks, one row for each chunk."""
+def merged(parts: DataFrame, shards: int) -> pa.Table:
+    """Sums of the weights and weighted means over so many shards, one row for each chunk, added up in tasks, FAN at most at a time."""
+    while True:
+        parts, shards = added(parts), -(-shards // FAN)
+        if shards <= 1:
+            return parts.toArrow()
+
 
+def added(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, total, sums = None, None, None
+        own, total, sums = None, None, None
 
         def done() -> Iterator[pa.RecordBatch]:
-            if chunk is not None:
+            if own is not None:
                 at = np.flatnonzero(total)
-                yield parts_of(np.full(len(at), chunk), at, total[at], sums[at] / total[at, None], 0)
+                yield rows_of(np.full(len(at), own[0]), at, total[at], sums[at] / total[at, None], own[1])
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["chunk"] != chunk:
+                if (row["chunk"], row["shard"] // FAN) != own:
                     yield from done()
-                    chunk, total, sums = row["chunk"], np.zeros(0), None
+                    own, total, sums = (row["chunk"], row["shard"] // FAN), np.zeros(0), None
                 place, weight = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["weights"], "<f8")
                 mean = np.frombuffer(row["means"], "<f4").reshape(len(place), -1)
                 sums = np.zeros((0, mean.shape[1])) if sums is None else sums
@@ -311,7 +391,7 @@ def merged(parts: DataFrame) -> pa.Table:
                 sums[place] += weight[:, None] * mean
         yield from done()
 
-    return parts.repartition(16, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, PARTS).toArrow()
+    return parts.repartition("chunk", F.expr(f"shard div {FAN}")).sortWithinPartitions("chunk", "shard").mapInArrow(run, PARTS)
 
 
 def pieces_in(batch: pa.RecordBatch) -> list[tuple[np.ndarray, bool, bool]]:
@@ -319,26 +399,29 @@ def pieces_in(batch: pa.RecordBatch) -> list[tuple[np.ndarray, bool, bool]]:
     return [(np.frombuffer(own, "<u2"), first, last) for own, first, last in zip(ids, begins, ends, strict=True)]
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """The documents' ids, two bytes each, in pieces of bounded size."""
+def pieces(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """The documents' ids, two bytes each, in pieces of bounded size, with their key and other columns named."""
     path = tokenizer or default_tokenizer()
-    names = [key, "place", "begins", "ends", "ids"]
+    kept = [key, *also]
+    names = [*kept, "place", "begins", "ends", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", STEP_BYTES):
                 own = [cut(ids.astype("<u2")) for ids in part_ids(path).of([text.encode() for text in texts(part)])]
-                keys = part.column(key).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
+                of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
                 place = pa.array([i for x in own for i in range(len(x))], pa.int64())
                 ids, begins, ends = zip(*(piece for x in own for piece in x), strict=True)
-                yield pa.RecordBatch.from_arrays([keys, place, pa.array(begins), pa.array(ends), pa.array([x.tobytes() for x in ids], pa.binary())], names)
+                made = [place, pa.array(begins), pa.array(ends), pa.array([x.tobytes() for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(name).take(of) for name in kept), *made], names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, place bigint, begins boolean, ends boolean, ids binary")
+    kinds = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in kept)
+    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, place bigint, begins boolean, ends boolean, ids binary")
 
 
 def gathered(cut_texts: DataFrame) -> np.ndarray:
     """The sums of ``neighbours`` over all pieces."""
+    wide = 2 * CELLS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None
@@ -346,25 +429,58 @@ def gathered(cut_texts: DataFrame) -> np.ndarray:
             seen = neighbours(pieces_in(batch), seen)
         if seen is not None:
             at = np.flatnonzero(seen)
-            chunk, place = np.divmod(at, CHUNK * (2 * CELLS + 1))
-            yield parts_of(chunk, place, seen[at], np.empty((len(at), 0)), TaskContext.get().partitionId())
+            yield parts_of(at, seen[at], np.empty((len(at), 0)), TaskContext.get().partitionId(), wide)
 
-    out = np.zeros(VOCABULARY * (2 * CELLS + 1), np.int64)
-    for row in merged(cut_texts.select("ids", "begins", "ends").mapInArrow(run, PARTS)).to_pylist():
-        out[row["chunk"] * CHUNK * (2 * CELLS + 1) + np.frombuffer(row["places"], "<i4")] = np.frombuffer(row["weights"], "<f8")
+    out = np.zeros(VOCABULARY * wide, np.int64)
+    own = cut_texts.select("ids", "begins", "ends")
+    for row in merged(own.mapInArrow(run, PARTS), tasks(own)).to_pylist():
+        out[cells(row, wide)] = np.frombuffer(row["weights"], "<f8")
     return out
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks that read a settled table."""
+    return df.rdd.getNumPartitions()
+
+
+def group_pairs(cut_texts: DataFrame, model: Attention) -> np.ndarray:
+    """How often an id of the second group follows one of the first, over all pieces."""
+    number = CLASSES * GROUPS
+    groups = cut_texts.sparkSession.sparkContext.broadcast(model.groups.astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(number**2, np.int32)
+        for batch in batches:
+            for own, begins, ends in pieces_in(batch):
+                ids = np.concatenate([[BEGIN] if begins else [], own if begins else own[BLOCK - 1 :], [END] if ends else []]).astype(np.int64)
+                of = groups.value[ids]
+                np.add.at(seen, of[:-1] * number + of[1:], 1)
+        at = np.flatnonzero(seen)
+        if len(at):
+            yield parts_of(at, seen[at], np.empty((len(at), 0)), TaskContext.get().partitionId(), number)
+
+    out = np.zeros(number**2)
+    own = cut_texts.select("ids", "begins", "ends")
+    for row in merged(own.mapInArrow(run, PARTS), tasks(own)).to_pylist():
+        out[cells(row, number)] = np.frombuffer(row["weights"], "<f8")
+    groups.unpersist()
+    return out.reshape(number, number)
+
+
 def train(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> Attention:
     """The model of all documents, in whole."""
-    own = settled(pieces(docs, key, tokenizer), "pieces")
+    return train_on(settled(pieces(docs, key, tokenizer), "pieces"), key)
+
+
+def train_on(own: DataFrame, key: str = "doc_id") -> Attention:
+    """The model of all texts whose pieces a settled table has."""
     blocks = F.ceil((F.length("ids") / 2 + F.col("ends").cast("int")) / BLOCK) - F.when(F.col("begins"), 0).otherwise(1)
     number = int(own.agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0])
     model = Attention([], seen=gathered(own))
     dense = [name for name in model.p if name != "e"]
     times, shards = passes(number), max(1, -(-number // (SHARD_WINDOWS * ROUNDS)))
     for turn in range(ROUNDS if number else 0):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = own.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             found = [piece for batch in batches for piece in pieces_in(batch)]
@@ -375,33 +491,64 @@ def train(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None) ->
             inputs, targets, *_ = windows(*zip(*found, strict=True))
             met = mine.learn(inputs, targets, times, np.random.default_rng([turn, shard]), turn / ROUNDS, (turn + 1) / ROUNDS)
             flat = np.concatenate([mine.p[name].ravel() for name in dense])
-            yield parts_of(np.zeros(len(flat), int), np.arange(len(flat)), np.full(len(flat), len(inputs)), flat[:, None], shard)
+            yield rows_of(np.zeros(len(flat), int), np.arange(len(flat)), np.full(len(flat), len(inputs)), flat[:, None], shard)
             rows = np.flatnonzero(met)
-            yield parts_of(1 + rows // CHUNK, rows % CHUNK, met[rows], mine.p["e"][rows], shard)
+            yield parts_of(rows, met[rows], mine.p["e"][rows], shard, first=1)
 
         some = own.filter(F.pmod(F.xxhash64(key, "place", "ids"), F.lit(ROUNDS)) == turn)
         dealt = some.repartition(shards, key, "place", "ids").sortWithinPartitions(key, "place", "ids").select("ids", "begins", "ends")
-        for row in merged(dealt.mapInArrow(run, PARTS)).to_pylist():
-            place, mean = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["means"], "<f4")
+        for row in merged(dealt.mapInArrow(run, PARTS), shards).to_pylist():
+            mean = np.frombuffer(row["means"], "<f4")
             if row["chunk"]:
-                model.p["e"][(row["chunk"] - 1) * CHUNK + place] = mean.reshape(-1, WIDTH)
+                model.p["e"][cells(row, first=1)] = mean.reshape(-1, WIDTH)
             else:
                 sizes = np.cumsum([model.p[name].size for name in dense])
                 for name, values in zip(dense, np.split(mean, sizes[:-1]), strict=True):
                     model.p[name] = values.reshape(model.p[name].shape).copy()
         shared.unpersist()
+    model.follow(group_pairs(own, model))
     return model
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Attention, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score); ``counts`` is a settled table (word, n)."""
-    path = tokenizer or default_tokenizer()
+def text_scores(cut_texts: DataFrame, model: Attention, names: list[str]) -> DataFrame:
+    """The log10 probability of each text, whose pieces share the columns named."""
+    shared = cut_texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECES):
+                part = batch.slice(at, PIECES)
+                ids, begins, ends = zip(*pieces_in(part), strict=True)
+                nats = shared.value.score(ids, begins=begins, ends=ends)
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in (*names, "place")), pa.array(nats / np.log(10))], [*names, "place", "score"])
+
+    kinds = ", ".join(f"`{name}` {cut_texts.schema[name].dataType.simpleString()}" for name in names)
+    scored = cut_texts.select(*names, "place", "ids", "begins", "ends").mapInArrow(run, f"{kinds}, place bigint, score double")
+    once = scored.groupBy(*names, "place").agg(F.max("score").alias("score"))  # of repeated rows, which score alike
+    return once.groupBy(*names).agg(F.sum("score").alias("score"))
+
+
+def digested(docs: DataFrame, key: str) -> DataFrame:
+    """The key, the text, and a number that rows of one key share if their texts are equal."""
+    return docs.select(key, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"))
+
+
+def score(
+    docs: DataFrame, counts: DataFrame, model: Attention, key: str = "doc_id", tokenizer: str | None = None, cut_texts: DataFrame | None = None
+) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score); ``counts`` is a settled table (word, n).
+
+    ``cut_texts`` has the pieces of the documents with ``_digest``, if they have been made already.
+    """
+    docs = digested(docs, key)
+    cut_texts = pieces(docs, key, tokenizer, ("_digest",)) if cut_texts is None else cut_texts
+    nats = text_scores(cut_texts, model, [key, "_digest"])
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counts.orderBy((F.col("word") != END_WORD), F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((model, common.column("word").combine_chunks(), common.column("n").to_numpy()))
+    shared = docs.sparkSession.sparkContext.broadcast((common.column("word").combine_chunks(), common.column("n").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_, names, numbers = shared.value
+        names, numbers = shared.value
         numbers = np.append(numbers, 0)
         logs = np.log10(numbers + 1.0)
         row = TaskContext.get().partitionId() << 40
@@ -417,28 +564,26 @@ def score(docs: DataFrame, counts: DataFrame, model: Attention, key: str = "doc_
                 end_known = int(len(names) > 0 and names[0].as_py() == END_WORD)
                 base = np.bincount(of, logs[at], size) + (logs[0] if end_known else 0.0)
                 known = np.bincount(of, at < len(names), size).astype(np.int64) + end_known
-                ids = part_ids(path).of([text.encode() for text in texts(part)])
-                nats = model_.score([x.astype(np.int64) for x in ids])
                 rows = np.arange(row, row + size)
                 marks = pa.array([f" {r}" for r in rows])
                 nothing = pa.nulls(size, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), part.column(key), marks, nothing, *map(pa.array, (n_words + 1, known, base, nats / np.log(10)))], names_
+                    [pa.array(rows), part.column(key), part.column("_digest"), marks, nothing, *map(pa.array, (n_words + 1, known, base))], names_
                 )
                 rare = at == len(names)
                 pairs, times = np.unique(of[rare] * np.int64(len(coded.dictionary)) + which[rare], return_counts=True)
                 if len(pairs):
                     doc, word = np.divmod(pairs, len(coded.dictionary))
-                    empty = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    empty = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int64(), pa.float64())]
                     text = coded.dictionary.take(pa.array(word))
                     nokey = pa.nulls(len(pairs), part.schema.field(key).type)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), nokey, text, pa.array(times), *empty], names_)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), nokey, pa.nulls(len(pairs), pa.int64()), text, pa.array(times), *empty], names_)
                 row += size
 
     kind = docs.schema[key].dataType.simpleString()
-    names_ = ["row", key, "word", "times", "n_tokens", "n_known", "base", "score"]
-    schema = f"row bigint, {key} {kind}, word string, times bigint, n_tokens bigint, n_known bigint, base double, score double"
-    parts = docs.select(key, "text").mapInArrow(run, schema)
+    names_ = ["row", key, "_digest", "word", "times", "n_tokens", "n_known", "base"]
+    schema = f"row bigint, `{key}` {kind}, _digest bigint, word string, times bigint, n_tokens bigint, n_known bigint, base double"
+    parts = docs.mapInArrow(run, schema)
     # Rows of documents carry a word of their own, which no count has, so they too are spread over the join's partitions.
     joined = parts.join(counts, "word", "left")
     found = F.when(F.col("times").isNotNull(), F.col("n"))
@@ -447,8 +592,10 @@ def score(docs: DataFrame, counts: DataFrame, model: Attention, key: str = "doc_
         F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(found > 0, F.col("times"))), F.lit(0))).alias("n_known"),
         (F.max("base") + F.coalesce(F.sum(F.col("times") * F.log10(found + 1.0)), F.lit(0.0))).alias("base"),
-        F.max("score").alias("score"),
+        F.max("_digest").alias("_digest"),
     )
+    own = nats.select(F.col(key).alias("_key"), F.col("_digest").alias("_of"), "score")
+    whole = whole.join(own, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_of")), "left")
     smallest = F.lit(float(np.log10(tokens + kinds + 1.0)))
     return whole.select(
         key,
@@ -462,8 +609,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Attention, key: str = "doc_
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learn = docs.filter(~remainder_is("doc_id", 7, 2))
-    counts = settled(word_counts(learn), "words")
-    scored = score(docs, counts, train(learn))
-    held = remainder_is("doc_id", 7, 2).alias("held_out")
-    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = remainder_is("doc_id", 7, 2)
+    counts = settled(word_counts(docs.filter(~held)), "words")
+    cut_texts = settled(pieces(digested(docs, "doc_id"), also=("_digest",)), "pieces")
+    scored = score(docs, counts, train_on(cut_texts.filter(~held)), cut_texts=cut_texts)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

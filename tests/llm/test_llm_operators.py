@@ -194,6 +194,51 @@ def test_attention_scores_are_causal_and_sum_to_one():
     assert np.allclose(a[0, :11], b[0, :11], atol=1e-5)
 
 
+def test_shares_that_follow_the_text_sum_to_one():
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(0, 700, n) for n in (50, 400, 900)]
+    model = lm_score.Attention(ids)
+    number = lm_score.CLASSES * lm_score.GROUPS
+    pairs = np.zeros((number, number))
+    for own in ids:
+        of = model.groups[np.r_[lm_score.BEGIN, own, lm_score.END]]
+        np.add.at(pairs, (of[:-1], of[1:]), 1)
+    plain = model.score(ids)
+    model.follow(pairs)
+    assert (model.score(ids) > plain).all()
+    for before in (lm_score.BEGIN, int(ids[0][0]), 699, 40_000):  # whatever the id before, also one not met
+        chance = np.exp(model.share + model.shift[model.groups[before], model.groups].astype(float))
+        by_class = np.bincount(model.classes, chance, lm_score.CLASSES)
+        assert np.allclose(by_class[np.bincount(model.classes, minlength=lm_score.CLASSES) > 0], 1, atol=1e-3)
+    for own, score in zip(ids, model.score(ids), strict=True):  # each place by itself
+        inputs, targets, *_ = lm_score.windows([own])
+        alone = 0.0
+        for w, t in np.argwhere(targets >= 0):
+            to, before = targets[w, t], inputs[w, lm_score.CONTEXT + t]
+            logits = model.forward(inputs[w : w + 1])[-1][0, t]
+            alone += logits[model.classes[to]] + model.share[to] + model.shift[model.groups[before], model.groups[to]]
+        assert score == pytest.approx(alone, rel=1e-4)
+
+
+def test_lm_scores_of_pieces_add_up(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 2 * lm_score.BLOCK)
+    monkeypatch.setattr(lm_score, "FAN", 2)  # sums over several steps
+    texts = ["the cat sat on the mat " * 60 + "zebra crossing " * 40, "one two", "", None, "one two", "the mat " * 33] * 3
+    docs = spark.createDataFrame([(i % 5 or None, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(7)
+    cut_texts = lm_score.settled(lm_score.pieces(docs), "test")
+    seen, own = lm_score.gathered(cut_texts), packing.part_ids(packing.default_tokenizer()).of([(x or "").encode() for x in texts])
+    assert np.array_equal(seen, lm_score.neighbours([(x, True, True) for x in own]))
+    model = lm_score.train_on(cut_texts)
+    pairs = Counter()
+    for x in own:
+        pairs.update(zip(model.groups[np.r_[lm_score.BEGIN, x]].tolist(), model.groups[np.r_[x, lm_score.END]].tolist(), strict=True))
+    found = lm_score.group_pairs(cut_texts, model)
+    assert found.sum() == pairs.total() and all(found[pair] == n for pair, n in pairs.items())
+    counts = lm_score.settled(lm_score.word_counts(docs), "test")
+    want = Counter((i % 5 or None, round(float(nats / np.log(10)), 2)) for i, nats in enumerate(model.score(own)))
+    assert Counter((r.doc_id, round(r.score, 2)) for r in lm_score.score(docs, counts, model).collect()) == want
+
+
 def test_lm_on_odd_tables(spark, odd, empty):
     counts = lm_score.settled(lm_score.word_counts(odd), "test")
     model = lm_score.train(odd)
