@@ -528,6 +528,15 @@ def text_scores(cut_texts: DataFrame, model: Attention, names: list[str]) -> Dat
     return once.groupBy(*names).agg(F.sum("score").alias("score"))
 
 
+def common_words(counts: DataFrame) -> DataFrame:
+    """The end and the commonest words, COMMON_WORDS at most: all whose counts are in the highest eighths of powers of two that fit."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    kinds = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    fit = np.cumsum([row["count"] for row in kinds]) < COMMON_WORDS
+    least = min((row["step"] for row, x in zip(kinds, fit, strict=True) if x), default=1 << 30)
+    return counts.filter((step >= least) | (F.col("word") == END_WORD))
+
+
 def digested(docs: DataFrame, key: str) -> DataFrame:
     """The key, the text, and a number that rows of one key share if their texts are equal."""
     return docs.select(key, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"))
@@ -544,7 +553,9 @@ def score(
     cut_texts = pieces(docs, key, tokenizer, ("_digest",)) if cut_texts is None else cut_texts
     nats = text_scores(cut_texts, model, [key, "_digest"])
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.orderBy((F.col("word") != END_WORD), F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
+    common = common_words(counts).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    is_end = pc.equal(common.column("word"), END_WORD)
+    common = pa.concat_tables([common.filter(is_end), common.filter(pc.invert(is_end))])
     shared = docs.sparkSession.sparkContext.broadcast((common.column("word").combine_chunks(), common.column("n").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
