@@ -3,12 +3,15 @@
 Texts become runs of lower-case letters with single spaces. The models have four orders. Counts of four characters are
 summed by Spark over a bounded, deterministic sample of labelled rows; the lower orders' continuation counts, discounts
 and back-off weights follow from them. A text gets the language with the lowest cross-entropy per character. It is
-rejected where that lies further above what is usual for the language, at the text's length, than ``tolerance`` standard
-deviations; the usual values come from the sample.
+rejected where that lies further above what is usual for the language, at the text's length, than so many standard
+deviations that of the language's own texts at most the share REJECTED is expected to be. The usual values come from the
+sample; the number of deviations from a second sample, which the models have not learnt and which shares no text with the
+first: it is the least bound that the conformal rule gives for that share. Where the second sample is too small for that
+(1 / REJECTED rows are needed), the bound is its largest value, and at least FEW_DEVIATIONS.
 
 Null texts and texts without letters are ``und`` with score 0 and rejected. Whole texts are scored; very long ones in
 pieces of a million characters, whose sums are added. Ties go to the first language by name. Each row is judged alone,
-so repeated rows get equal results. Without labelled rows every text is ``und``; an empty table gives an empty one. Other
+so repeated rows get equal results, and rows that repeat a doc_id are sampled each for itself. Without labelled rows every text is ``und``; an empty table gives an empty one. Other
 columns play no part.
 """
 
@@ -23,13 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_CHARS, remainder_is, steps, table, texts, with_struct
+from .common import STEP_CHARS, remainder_is, settled, steps, table, texts, with_struct
 
 ORDER = 4
 #: Labelled rows of each language that the models are fitted on, about.
 ROWS_PER_LANGUAGE = 1500
+#: More languages than this raise: counts of all languages come together.
 MAX_LANGUAGES = 1000
-TOLERANCE = 12.0
+#: Share of a language's own texts that may be rejected, and the bound where too few rows tell.
+REJECTED, FEW_DEVIATIONS = 0.001, 9.0
+#: One text in so many is kept from the models, for the bound.
+KEPT_APART = 5
 UNKNOWN = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,6 +137,7 @@ class LanguageModels:
         self.names = sorted(models)
         self.models = [models[name] for name in self.names]
         self.usual: list[tuple[float, float, float]] = [(0.0, np.inf, np.inf)] * len(self.names)
+        self.deviations = [FEW_DEVIATIONS] * len(self.names)
 
     def entropies(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Characters of each text, and the sums of nats and squared nats by text and language."""
@@ -147,7 +155,7 @@ class LanguageModels:
                 squares[:, i] = np.bincount(row, (cost**2)[which], batch.num_rows)
         return size, nats, squares
 
-    def identify(self, batch: pa.RecordBatch, tolerance: float) -> list:
+    def identify(self, batch: pa.RecordBatch, tolerance: float | None) -> list:
         size, nats, _ = self.entropies(batch)
         n = np.maximum(size, 1)
         rate = nats / n[:, None]
@@ -158,28 +166,39 @@ class LanguageModels:
         odds = np.exp(-(rate - low[:, None]) * np.minimum(n, 50)[:, None])
         score = np.where(known, 1 / np.maximum(odds.sum(axis=1), 1), 0.0)
         mean, between, within = (np.array(x)[best] for x in zip(*self.usual, strict=True)) if self.names else (low, low, low)
-        rejected = ~known | (low > mean + tolerance * np.sqrt(between + within / n))
+        most = np.array(self.deviations)[best] if tolerance is None and self.names else tolerance or 0.0
+        rejected = ~known | (low > mean + most * np.sqrt(between + within / n))
         names = [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         return [names, score, np.where(known, low, np.nan), size, rejected]
 
 
 def labelled_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of each language: those whose key has the smallest hashes."""
-    some = docs.filter("lang is not null and text is not null")
-    sizes = some.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
+    """About ``rows`` rows of each language for the models and as many with ``apart`` for the bound: those with the smallest hashes.
+
+    Equal texts are on the same side.
+    """
+    some = docs.filter("lang is not null and text is not null").withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(KEPT_APART)) == 0)
+    sizes = some.groupBy("lang", "apart").count().limit(2 * MAX_LANGUAGES + 2).collect()
+    if len({row["lang"] for row in sizes}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return some.limit(0)
     share = F.lit(0.0)
     for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], float(rows) / row["count"]).otherwise(share)
-    return some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+        share = F.when((F.col("lang") == row["lang"]) & (F.col("apart") == row["apart"]), float(rows) / row["count"]).otherwise(share)
+    return some.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def bound(deviations: list[float]) -> float:
+    """Deviations that a further text of the language exceeds with the chance REJECTED at most, after those of the given ones, in order."""
+    at = int(np.ceil((len(deviations) + 1) * (1 - REJECTED) - 1e-9))
+    return deviations[at - 1] if 0 < at <= len(deviations) else max([FEW_DEVIATIONS, *deviations[-1:]])
 
 
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
     """Models of the languages that label the rows (doc_id, text, lang)."""
-    sample = labelled_sample(docs.select("doc_id", "text", "lang"), rows)
+    both = labelled_sample(docs.select("doc_id", "text", "lang"), rows)
+    sample = both.filter("not apart")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,13 +227,16 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
                 own = np.searchsorted(np.array(models.names), np.array(part.column("lang").to_pylist(), object).astype(str))
                 own = np.minimum(own, len(models.names) - 1)
                 rows_ = np.arange(len(own))
-                arrays = [size, nats[rows_, own], squares[rows_, own]]
-                yield pa.RecordBatch.from_arrays([part.column("lang"), *map(pa.array, arrays)], ["lang", "size", "nats", "squares"])
+                known = np.array(models.names)[own] == np.array(part.column("lang").to_pylist(), object).astype(str)
+                arrays = [np.where(known, size, 0), nats[rows_, own], squares[rows_, own]]  # a language may lie apart alone
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("lang", "apart")), *map(pa.array, arrays)], names)
 
+    names = ["lang", "apart", "size", "nats", "squares"]
     if models.names:
-        measured = sample.mapInArrow(measure, "lang string, size bigint, nats double, squares double").filter("size > 0")
+        schema = "lang string, apart boolean, size bigint, nats double, squares double"
+        measured = settled(both.mapInArrow(measure, schema).filter("size > 0"), "entropies")  # three numbers for each row of both samples
         rate = F.col("nats") / F.col("size")
-        usual = measured.groupBy("lang").agg(
+        usual = measured.filter("not apart").groupBy("lang").agg(
             F.avg(rate).alias("mean"),
             F.avg(F.col("squares") / F.col("size") - rate**2).alias("within"),
             # between texts, less what their lengths account for
@@ -222,11 +244,18 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
         )
         by = {row["lang"]: (row["mean"], row["between"], row["within"]) for row in usual.collect()}
         models.usual = [by.get(name, (0.0, np.inf, np.inf)) for name in models.names]
+        above = (rate - F.col("mean")) / F.sqrt(F.col("between") + F.col("within") / F.col("size"))
+        apart = measured.filter("apart").join(usual, "lang").groupBy("lang").agg(F.sort_array(F.collect_list(above)).alias("above"))
+        found = {row["lang"]: bound(row["above"]) for row in apart.collect()}  # ``rows`` numbers for each language, about
+        models.deviations = [found.get(name, FEW_DEVIATIONS) for name in models.names]
     return models
 
 
-def identify(docs: DataFrame, models: LanguageModels, into: str = "language", tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows with a struct of lang, score, cross-entropy in nats, letters, and whether the text is rejected."""
+def identify(docs: DataFrame, models: LanguageModels, into: str = "language", tolerance: float | None = None) -> DataFrame:
+    """The rows with a struct of lang, score, cross-entropy in nats, letters, and whether the text is rejected.
+
+    ``tolerance``: deviations beyond which texts are rejected, instead of the calibrated ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return with_struct(docs, into, FIELDS, lambda batch: shared.value.identify(batch, tolerance))
 

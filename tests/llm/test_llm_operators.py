@@ -144,6 +144,27 @@ def test_language_model_is_a_distribution():
         assert 0.9 < model.chance(rows).sum() <= 1 + 1e-9 and rest > 0
 
 
+def test_language_rejection_is_calibrated(spark):
+    docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = docs.filter("crc32(cast(doc_id as string)) % 3 = 1 and text rlike '[a-zA-Z]'")
+    learn = docs.filter("crc32(cast(doc_id as string)) % 3 != 1")
+    wrong = language_id.identify(held, language_id.fit(learn)).filter("language.rejected").count()
+    assert wrong <= 0.01 * held.count()
+    foreign = held.filter("lang = 'de'")
+    passed = language_id.identify(foreign, language_id.fit(learn.filter("lang != 'de'"))).filter("not language.rejected").count()
+    assert passed <= 0.1 * foreign.count()
+    assert language_id.bound([float(x) for x in range(1999)]) == 1997.0 and language_id.bound([float(x) for x in range(999)]) == 998.0
+    assert language_id.bound([1.0, 2.0]) == language_id.FEW_DEVIATIONS and language_id.bound([1.0, 20.0]) == 20.0
+    assert language_id.bound([]) == language_id.FEW_DEVIATIONS
+
+
+def test_language_samples_share_no_text(spark):
+    rows = [(i // 7, f"text number {i % 150} of a few", "en") for i in range(600)]
+    some = language_id.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1000)
+    sides = {side: {r.text for r in some.filter(f"apart = {side}").collect()} for side in ("true", "false")}
+    assert sides["true"] and sides["false"] and not sides["true"] & sides["false"] and some.count() == 600
+
+
 def test_language_id_on_odd_tables(spark, odd, empty):
     models = language_id.fit(frame(spark, ["le chat est la " * 9, "the cat is here " * 9, None, "123"], ["fr", "en", "en", None]))
     out = rows_of(language_id.identify(odd, models).select("doc_id", "language.lang", "language.score", "language.rejected"))
