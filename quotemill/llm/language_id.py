@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_CHARS, remainder_is, settled, steps, table, texts, with_struct
+from .common import STEP_CHARS, remainder_is, rest, settled, steps, table, texts, with_struct
 
 ORDER = 4
 #: Labelled rows of each language that the models are fitted on, about.
@@ -37,6 +37,8 @@ MAX_LANGUAGES = 1000
 REJECTED, FEW_DEVIATIONS = 0.001, 9.0
 #: One text in so many is kept from the models, for the bound.
 KEPT_APART = 5
+#: Bytes of texts whose grams are looked up together: a worker holds some hundred bytes for each.
+STEP_BYTES = 500_000
 UNKNOWN = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_BYTES):
                 own, langs = list(pieces(part)), part.column("lang").to_pylist()
                 for lang in sorted(set(langs)):
                     columns, _ = grams([text for text, row in own if langs[row] == lang])
@@ -210,6 +212,7 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
                     pairs = kinds.astype(np.int64)
                     arrays = [(pairs[0] << 21) | pairs[1], (pairs[2] << 21) | pairs[3], number]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(number)), *map(pa.array, arrays)], ["lang", "head", "tail", "n"])
+        rest()
 
     counted = sample.mapInArrow(count, "lang string, head bigint, tail bigint, n bigint")
     counts = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).orderBy("lang", "head", "tail").toArrow()
@@ -222,7 +225,7 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_BYTES):
                 size, nats, squares = shared.value.entropies(part)
                 own = np.searchsorted(np.array(models.names), np.array(part.column("lang").to_pylist(), object).astype(str))
                 own = np.minimum(own, len(models.names) - 1)
@@ -230,6 +233,7 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModels:
                 known = np.array(models.names)[own] == np.array(part.column("lang").to_pylist(), object).astype(str)
                 arrays = [np.where(known, size, 0), nats[rows_, own], squares[rows_, own]]  # a language may lie apart alone
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("lang", "apart")), *map(pa.array, arrays)], names)
+        rest()
 
     names = ["lang", "apart", "size", "nats", "squares"]
     if models.names:
@@ -257,7 +261,7 @@ def identify(docs: DataFrame, models: LanguageModels, into: str = "language", to
     ``tolerance``: deviations beyond which texts are rejected, instead of the calibrated ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    return with_struct(docs, into, FIELDS, lambda batch: shared.value.identify(batch, tolerance))
+    return with_struct(docs, into, FIELDS, lambda batch: shared.value.identify(batch, tolerance), size=STEP_BYTES)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, settled, steady, steps, table, texts, words
+from .common import beside, rest, settled, steady, steps, table, texts, words
 
 #: Bits of the sketch's cell numbers. It is broadcast with two bytes a cell.
 SKETCH_BITS = 20
@@ -65,7 +65,7 @@ HASHES = WordHashes()
 def forget() -> None:
     """At the end of a task: the worker lives on, and may wait for long."""
     HASHES.clear()
-    pa.default_memory_pool().release_unused()
+    rest()
 
 
 def shingle_sets(values: list[str], size: int) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, steps, table, texts
+from .common import rest, settled, steps, table, texts
 
 SEQUENCE = 2048
 END_ID = 1
@@ -201,6 +201,7 @@ def cut(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None) ->
                     rows += [(doc, at, min(size, total - at), zlib.crc32(data[4 * at : 4 * (at + size)]), total) for at in range(0, total, size)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        rest()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
