@@ -308,7 +308,8 @@ class Attention:
 
 def flat_words(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts with A-Z in lower case, and the text of each."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(values))
+    # Lower case first: after a cast of a slice, whose offsets do not begin at 0, Arrow would change the wrong bytes.
+    split = pc.ascii_split_whitespace(pc.ascii_lower(values).cast(pa.large_string()))
     own = split.flatten()
     of = np.repeat(np.arange(len(values)), np.diff(split.offsets.to_numpy()))
     solid = pc.greater(pc.binary_length(own), 0)
@@ -316,7 +317,7 @@ def flat_words(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def filled(batch: pa.RecordBatch) -> pa.Array:
-    return pc.fill_null(batch.column("text"), "").cast(pa.large_string())
+    return pc.fill_null(batch.column("text"), "")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -191,6 +191,19 @@ def test_lm_query_equals_counts(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9) and -1e7 < r.score < 0
 
 
+def test_lm_counts_words_in_every_step_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEP_BYTES", 400)
+    docs = frame(spark, [f"The c\u00e4t No{i}  SAT on {i % 7}! " * (1 + i % 5) for i in range(90)]).coalesce(1)  # without nulls
+    own = {r.doc_id: words(r.text) + ["\n"] for r in docs.collect()}
+    seen = Counter(w for tokens in own.values() for w in tokens)
+    counts = lm_score.settled(lm_score.word_counts(docs), "test")
+    assert {r.word: r.n for r in counts.collect()} == seen
+    got = lm_score.score(docs, counts, lm_score.Attention([])).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in got} == {i: (len(tokens), len(tokens)) for i, tokens in own.items()}
+    for r in got:
+        assert r.base_score == pytest.approx(sum(np.log10((seen[w] + 1) / (seen.total() + len(seen) + 1)) for w in own[r.doc_id]), rel=1e-9)
+
+
 def test_attention_scores_are_causal_and_sum_to_one():
     rng = np.random.default_rng(1)
     ids = [rng.integers(0, 300, n) for n in (0, 1, 31, 32, 33, 200)]
