@@ -53,11 +53,17 @@ def with_cells(words: DataFrame) -> DataFrame:
     return words.withColumn("cells", bound(F.col("words"), cells))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """For each cell the log of its share in the trusted documents over that in all, with one added to each count."""
+def cell_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """For each cell its number in all documents and in trusted ones."""
     cells = with_cells(with_words(docs)).select("doc_id", "cells")
     marked = cells.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    counted = marked.select("trusted", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target")).filter("cell is not null").collect()  # CELLS rows at most
+    each = marked.select("trusted", F.explode_outer("cells").alias("cell"))  # explode would make Spark compute the cells once more, for a filter
+    return each.groupBy("cell").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target")).filter("cell is not null")
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
+    """For each cell the log of its share in the trusted documents over that in all, with one added to each count."""
+    counted = cell_counts(docs, trusted).collect()  # CELLS rows at most
     raw, target = [1] * CELLS, [1] * CELLS
     for row in counted:
         raw[row["cell"]] += row["raw"]

@@ -358,6 +358,15 @@ def test_quality_rules_learn_from_all_trusted_ids(spark, tmp_path, monkeypatch):
     assert given == [21_000]
 
 
+def test_quality_rules_compute_cells_once(spark):
+    docs = frame(spark, [None, "", "one", "one two", "b a b a"])
+    counted = quality_rules.cell_counts(docs, docs.select("doc_id").filter("doc_id > 2"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(") == 2  # of words, and of pairs
+    rows = counted.collect()
+    assert (sum(r.raw for r in rows), sum(r.target for r in rows)) == (11, 10)
+
+
 def test_quality_rules_plan_has_no_python(spark):
     plan = registered.op5_quality_rules(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
