@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,9 @@ BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(SHOW
 #: Texts whose parts are found by numpy: printable ASCII, white space, letters of Latin-1.
 PLAIN = re.compile(rb"(?:[\t-\r -~]++|(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)*+")
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: Bytes of such texts in lower case (0x80 to 0x9E end capitals of Latin-1), and their kinds: white space, letter, digit, other.
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+KIND = bytes(0 if b <= 32 else 1 if 97 <= b <= 122 or b >= 0x80 else 2 if 48 <= b <= 57 else 3 for b in range(256))
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -58,12 +62,15 @@ class PartIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokens = self.tokenizer.model.tokenize
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.kept: dict[bytes, bytes] = {}
 
-    def part(self, part: bytes) -> np.ndarray:
+    def part(self, part: bytes) -> bytes:
+        """Its ids, four bytes each, which take a fraction of an array's memory."""
         if len(self.kept) >= CACHED_PARTS:
             self.kept.clear()
-        ids = self.kept[part] = np.array([token.id for token in self.tokens(part.decode("latin-1").translate(BYTE_CHARS))], np.uint32)
+        shown = part.decode("latin-1")  # printable ASCII stands for itself
+        tokens = self.tokens(shown if part.isascii() else shown.translate(BYTE_CHARS))
+        ids = self.kept[part] = array("I", [token.id for token in tokens]).tobytes()
         return ids
 
     def of(self, values: list[bytes]) -> list[np.ndarray]:
@@ -88,44 +95,40 @@ class PartIds:
         coded = parts.dictionary_encode()
         known = self.kept.get
         ids = [found if (found := known(part)) is not None else self.part(part) for part in coded.dictionary.to_pylist()]
-        flat, size = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         which = coded.indices.to_numpy()
         length = size[which]
-        until = np.cumsum(length)
-        source = np.repeat((np.cumsum(size) - size)[which] - (until - length), length)
-        all_ids = flat[source + np.arange(len(source))]
+        until = np.cumsum(length, dtype=np.int32)  # a step's ids are fewer than its bytes, which Arrow's offsets bound
+        source = np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - (until - length), length)
+        source += np.arange(len(source), dtype=np.int32)
+        all_ids = flat[source]
         until = np.r_[0, until]
         return [all_ids[until[i] : until[j]] for i, j in zip(before[:-1], before[1:], strict=True)]
 
 
 def split_parts(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all parts in lower case without white space, where each part starts, and the number of parts before each text."""
-    data = np.frombuffer(b" ".join(values) + b" ", np.uint8).copy()
+    lower = (b" ".join(values) + b" ").translate(LOWER)
+    data, kind = np.frombuffer(lower, np.uint8), np.frombuffer(lower.translate(KIND), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) + 1)
-    pair = data == 0xC3  # leads the two bytes of a letter of Latin-1
-    second = np.zeros_like(pair)
-    second[1:] = pair[:-1]
-    data[(data >= 65) & (data <= 90) | second & (data >= 0x80) & (data <= 0x9E)] += 32
-    space = data <= 32
-    letter = (data >= 97) & (data <= 122) | pair | second
-    digit = (data >= 48) & (data <= 57)
-    kind = np.where(space, 0, np.where(letter, 1, np.where(digit, 2, 3))).astype(np.uint8)
+    space = kind == 0
     start = np.empty(len(data), bool)
     start[0] = True
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
-    start |= digit
+    start |= kind == 2
     for at in np.flatnonzero((data == 39) & start):  # an apostrophe that begins a part may begin a contraction
         for tail in CONTRACTIONS:
-            if data[at + 1 : at + 1 + len(tail)].tobytes() == tail:
+            if lower.startswith(tail, at + 1):
                 start[at + 1] = False
                 if not space[after := at + 1 + len(tail)]:
                     start[after] = True
                 break
     start &= ~space
     solid = ~space
-    place = np.cumsum(solid) - solid  # among the bytes kept
     at = np.flatnonzero(start)
-    return data[solid], place[at], np.r_[0, np.searchsorted(at, ends)]
+    place = np.cumsum(solid, dtype=np.int32)[at] - 1  # among the bytes kept
+    return data[solid], place, np.r_[0, np.searchsorted(at, ends)]
 
 
 @lru_cache(maxsize=2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -644,3 +645,18 @@ def test_pipeline_on_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, SMALL)
     assert out.count() == 0
+
+
+def test_part_ids_take_little_memory():
+    values = [f"Some words, one after another 1{i % 977} caf\u00c9 ".encode() * 200 for i in range(100)]
+    tracemalloc.start()
+    try:
+        packing.split_parts(values)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * sum(map(len, values))
+    ids = packing.PartIds(packing.default_tokenizer())
+    want = [ids.tokenizer.encode(value.decode(), add_special_tokens=False).ids for value in values[:3]]
+    assert [own.tolist() for own in ids.of(values[:3])] == want
+    assert all(isinstance(own, bytes) for own in ids.kept.values())  # some 60 bytes a part, not an array
