@@ -123,21 +123,27 @@ def windows(ids: list[np.ndarray], begins: np.ndarray | None = None, ends: np.nd
     sizes = np.array([len(own) for own in ids], np.int64) + ends
     number = -(-sizes // BLOCK)
     padded = number * BLOCK
-    flat = np.full(padded.sum() + CONTEXT + 1, -1, np.int32)
     first = np.cumsum(padded) - padded
-    place = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-    end = np.array([END], np.int32)
-    flat[CONTEXT + 1 + place] = np.concatenate([x for own, last in zip(ids, ends, strict=True) for x in ((own, end) if last else (own,))])
-    targets = flat[CONTEXT + 1 :].reshape(-1, BLOCK)
+    blank = np.full(SPAN, -1, np.int32)
+    tail = np.r_[np.int32(END), blank]
+    tails = zip(ids, ends.tolist(), (padded - sizes).tolist(), strict=True)
+    rows = (x for own, last, more in tails for x in (own, tail[: 1 + more] if last else blank[:more]))
+    flat = np.concatenate([blank[: CONTEXT + 1], *rows, blank], dtype=np.int32)
+    targets = flat[CONTEXT + 1 :][: padded.sum()].reshape(-1, BLOCK)
     text = np.repeat(np.arange(len(ids)), number)
     start = np.arange(len(text)) * BLOCK  # of the block in the padded texts
     back = start - first[text]  # ids of the text before the block
-    inputs = flat[start[:, None] + np.arange(SPAN)]
+    inputs = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[: padded.sum() : BLOCK].copy()
     inputs[back == 0, :CONTEXT], inputs[back == 0, CONTEXT] = -1, BEGIN
     own = (back > 0) | begins[text]
     return (inputs, targets, text, back) if own.all() else (inputs[own], targets[own], text[own], back[own])
 
 
+def within(x: np.ndarray, most: float) -> np.ndarray:
+    """The array with its values held to -most to most. Few arrays have others, and to see that costs less than to hold them."""
+    return x if x.size and -most <= x.min() and x.max() <= most else np.clip(x, -most, most, out=x)
+
+
 def passes(number: int) -> int:
     """How often ``number`` windows of a whole corpus are gone through."""
     return max(1, -(-STEPS * BATCH // max(1, number)))
@@ -189,35 +195,40 @@ class Attention:
     def attend(self, inputs: np.ndarray) -> tuple:
         """Attention is laid out as (window, key, query) and class logits as (class, place), so that sums run over rows.
 
-        Attention and logits are exponents before they are divided by their sums. ``tables`` has what weights make of each id.
+        Attention and logits are exponents before they are divided by their sums. Values, laid out as (window, value, key), have
+        ones at their end, so that the product that mixes them gives the sums too. ``tables`` has what weights make of each id.
         """
         p, n = self.p, len(inputs)
         at = np.maximum(inputs, 0)
         if self.tables:
             x = last = None
-            kv = self.tables[0].take(at.ravel(), axis=0).reshape(n, SPAN, KEY + WIDTH)
+            kv = self.tables[0].take(at.ravel(), axis=0)
             own = self.tables[1].take(at[:, CONTEXT:].ravel(), axis=0)
             q, h = own[:, :KEY].reshape(n, BLOCK, KEY), own[:, KEY:]
         else:
             x = p["e"].take(at.ravel(), axis=0)
-            kv = (x @ np.hstack([p["k"], p["v"]])).reshape(n, SPAN, KEY + WIDTH)
+            kv = x @ np.hstack([p["k"], p["v"]])
             last = x.reshape(n, SPAN, WIDTH)[:, CONTEXT:].reshape(-1, WIDTH)
             q = (last @ (p["q"] / np.float32(np.sqrt(KEY)))).reshape(n, BLOCK, KEY)
-            h = last @ p["x"] + p["b"]
-        k, v = kv[..., :KEY], kv[..., KEY:]
-        a = k @ q.transpose(0, 2, 1)
-        np.exp(np.clip(a, -30, 30, out=a), out=a)
+            h = last @ p["x"]
+            h += p["b"]
+        kv = kv.reshape(n, SPAN, KEY + WIDTH)
+        k, v = kv[..., :KEY], np.empty((n, WIDTH + 1, SPAN), np.float32)
+        v[:, :WIDTH], v[:, WIDTH] = kv[..., KEY:].transpose(0, 2, 1), 1
+        a = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
+        np.exp(within(a, 30), out=a)
         a *= np.where(self.future, np.float32(0), np.exp(p["r"])[self.distance])
         some = np.flatnonzero((inputs[:, 0] < 0) | (inputs[:, -1] < 0))
         a[some] *= (inputs[some] >= 0)[:, :, None]
-        total = a.sum(axis=1) + np.float32(1e-30)
-        mixed = a.transpose(0, 2, 1) @ v
-        mixed /= total[:, :, None]
-        mixed = mixed.reshape(-1, WIDTH)
-        h = np.tanh(mixed @ p["o"] + h)
+        mixed = v @ a
+        total = mixed[:, WIDTH:] + np.float32(1e-30)
+        mixed[:, :WIDTH] /= total
+        mixed = mixed[:, :WIDTH].transpose(0, 2, 1).reshape(-1, WIDTH)
+        h = np.add(mixed @ p["o"], h)
+        np.tanh(h, out=h)
         chance = p["c"].T @ h.T
         chance += p["d"][:, None]
-        return x, last, q, k, v, a, total, mixed, h, np.clip(chance, -60, 60, out=chance)
+        return x, last, q, k, v, a, total, mixed, h, within(chance, 60)
 
     def forward(self, inputs: np.ndarray) -> tuple:
         """What ``attend`` gives, and last the log probabilities of the classes by window and place."""
@@ -227,63 +238,74 @@ class Attention:
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, times: int, rng: np.random.Generator, since: float = 0.0, until: float = 1.0) -> np.ndarray:
         """Goes through all windows so many times, from one share of the whole training to another; how often each embedding was met."""
-        self.tables, dense = None, {name: value for name, value in self.p.items() if name != "e"}
-        first = {name: np.zeros_like(value) for name, value in dense.items()}
-        second = {name: np.zeros_like(value) for name, value in dense.items()}
+        self.tables, dense = None, [name for name in self.p if name != "e"]
+        until_name = np.cumsum([self.p[name].size for name in dense])
+        first, second = np.zeros((2, until_name[-1]), np.float32)
         met, square = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.float32)
         order = np.concatenate([rng.permutation(len(inputs)) for _ in range(times)])
         for step, at in enumerate(range(0, len(order), BATCH), 1):
             some = order[at : at + BATCH]
             share = min(1.0, 2 * (1 - since - (until - since) * at / len(order)) + 1e-3)
-            rows, grads = self.gradients(inputs[some], targets[some])
+            rows, grads = self.gradients(inputs.take(some, axis=0), targets.take(some, axis=0))
             met[rows] += 1
             own = grads.pop("e")  # one size of steps for all of an id's weights
             square[rows] += np.einsum("ij,ij->i", own, own) / WIDTH
             own *= (ROW_RATE * share / (np.sqrt(square[rows]) + 1e-6)).astype(np.float32)[:, None]
-            self.p["e"][rows] -= own
-            for name, grad in grads.items():
-                first[name] = m = 0.9 * first[name] + 0.1 * grad
-                second[name] = s = 0.99 * second[name] + 0.01 * grad**2
-                self.p[name] -= (RATE * share * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            self.p["e"][rows] = self.p["e"].take(rows, axis=0) - own
+            grad = np.concatenate([grads[name].ravel() for name in dense])
+            first = 0.9 * first + 0.1 * grad
+            second = 0.99 * second + 0.01 * grad**2
+            move = (RATE * share * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            for name, values in zip(dense, np.split(move, until_name[:-1]), strict=True):
+                self.p[name] -= values.reshape(self.p[name].shape)
         return met
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The ids among the inputs, and all gradients; that of the embeddings is for these ids alone."""
         p, n = self.p, len(inputs)
         x, last, q, k, v, a, total, mixed, h, logits = self.attend(inputs)
-        live = np.flatnonzero(targets.ravel() >= 0)
+        targets = targets.ravel()
+        live = np.flatnonzero(targets >= 0)
         g = np.exp(logits, out=logits)
         g /= g.sum(axis=0)
-        g[self.classes[targets.ravel()[live]], live] -= 1
-        g *= (targets.ravel() >= 0) / np.float32(max(1, len(live)))
-        gh = (g.T @ p["c"].T) * (1 - h**2)
+        g.reshape(-1)[self.classes.take(targets.take(live)) * len(targets) + live] -= 1
+        g *= (targets >= 0) / np.float32(max(1, len(live)))
+        gh = g.T @ p["c"].T
+        slope = h * h
+        gh *= np.subtract(1, slope, out=slope)
         gm = gh @ p["o"].T
         gm /= total.reshape(-1, 1)
-        along = np.einsum("ij,ij->i", gm, mixed).reshape(n, 1, BLOCK)
+        back = np.empty((n, WIDTH + 1, BLOCK), np.float32)  # last: what all weights of a place share, against the ones
+        np.negative(np.einsum("ij,ij->i", gm, mixed).reshape(n, BLOCK), out=back[:, WIDTH])
         gm = gm.reshape(n, BLOCK, WIDTH)
-        gs = v @ gm.transpose(0, 2, 1)
-        gs -= along
+        back[:, :WIDTH] = gm.transpose(0, 2, 1)
+        gs = v.transpose(0, 2, 1) @ back
         gs *= a
-        gr = np.bincount(self.distance.ravel(), np.where(self.future, 0, gs.sum(axis=0)).ravel(), SPAN).astype(np.float32)
+        gr = np.bincount(self.distance.ravel(), np.where(self.future, 0, np.einsum("ijk->jk", gs)).ravel(), SPAN).astype(np.float32)
         gq = (gs.transpose(0, 2, 1) @ k).reshape(-1, KEY) / np.float32(np.sqrt(KEY))
-        gkv = np.concatenate([gs @ q, a @ gm], axis=2).reshape(-1, KEY + WIDTH)
+        gkv = np.empty((n, SPAN, KEY + WIDTH), np.float32)
+        np.matmul(gs, q, out=gkv[..., :KEY])
+        np.matmul(a, gm, out=gkv[..., KEY:])
+        gkv = gkv.reshape(-1, KEY + WIDTH)
         gx = gkv @ np.hstack([p["k"], p["v"]]).T
-        gx.reshape(n, SPAN, WIDTH)[:, CONTEXT:] += (gq @ p["q"].T + gh @ p["x"].T).reshape(n, BLOCK, WIDTH)
+        here = gq @ p["q"].T
+        here += gh @ p["x"].T
+        gx.reshape(n, SPAN, WIDTH)[:, CONTEXT:] += here.reshape(n, BLOCK, WIDTH)
         ids = inputs.ravel().astype(np.uint16)  # sorted by digits; -1 becomes the largest
         order = np.argsort(ids, kind="stable")[: np.count_nonzero(inputs >= 0)]
         ids = ids[order]
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        starts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1]
         gk = x.T @ gkv
         return ids[starts], {
-            "e": np.add.reduceat(gx[order], starts, axis=0),
+            "e": np.add.reduceat(gx.take(order, axis=0), starts, axis=0),
             "q": last.T @ gq,
             "k": gk[:, :KEY],
             "v": gk[:, KEY:],
             "r": gr,
             "o": mixed.T @ gh,
             "x": last.T @ gh,
-            "b": gh.sum(axis=0),
-            "c": h.T @ g.T,
+            "b": np.einsum("ij->j", gh),
+            "c": (g @ h).T,
             "d": g.sum(axis=1),
         }
 
@@ -298,10 +320,12 @@ class Attention:
             own = targets[at : at + at_once].ravel()
             logits = self.attend(inputs[at : at + at_once])[-1]
             place = np.flatnonzero(own >= 0)
-            found = own[place]
-            nats = self.share[found] + logits[self.classes[found], place] - np.log(np.exp(logits).sum(axis=0))[place]
+            found = own.take(place)
+            nats = self.share.take(found) + logits.take(self.classes.take(found) * len(own) + place)
+            nats -= np.log(np.exp(logits, out=logits).sum(axis=0)).take(place)
             if self.shift is not None:
-                nats += self.shift[self.groups[inputs[at : at + at_once, CONTEXT:].ravel()[place]], self.groups[found]]
+                before = self.groups.take(inputs[at : at + at_once, CONTEXT:].ravel().take(place))
+                nats += self.shift.take(before * (CLASSES * GROUPS) + self.groups.take(found))
             out += np.bincount(text[at : at + at_once][place // BLOCK], nats, len(ids))
         return out
 
@@ -313,6 +337,8 @@ def flat_words(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     own = split.flatten()
     of = np.repeat(np.arange(len(values)), np.diff(split.offsets.to_numpy()))
     solid = pc.greater(pc.binary_length(own), 0)
+    if pc.all(solid).as_py():
+        return own, of
     return own.filter(solid), of[solid.to_numpy(zero_copy_only=False)]
 
 
@@ -455,7 +481,7 @@ def group_pairs(cut_texts: DataFrame, model: Attention) -> np.ndarray:
             for own, begins, ends in pieces_in(batch):
                 ids = np.concatenate([[BEGIN] if begins else [], own if begins else own[BLOCK - 1 :], [END] if ends else []]).astype(np.int64)
                 of = groups.value[ids]
-                np.add.at(seen, of[:-1] * number + of[1:], 1)
+                np.add.at(seen, of[:-1] * number + of[1:], np.int32(1))  # a one of another type is cast for each place
         at = np.flatnonzero(seen)
         if len(at):
             yield parts_of(at, seen[at], np.empty((len(at), 0)), TaskContext.get().partitionId(), number)
@@ -568,8 +594,9 @@ def score(
             for part in steps(batch, "text", STEP_BYTES):
                 size = part.num_rows
                 own, of = flat_words(filled(part))
-                coded = own.cast(pa.string()).dictionary_encode()
-                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), len(names)).to_numpy(zero_copy_only=False)
+                coded = own.dictionary_encode()
+                words = coded.dictionary.cast(pa.string())
+                place = pc.fill_null(pc.index_in(words, value_set=names), len(names)).to_numpy(zero_copy_only=False)
                 which = coded.indices.to_numpy()
                 at = place[which]
                 n_words = np.bincount(of, minlength=size)
@@ -583,11 +610,11 @@ def score(
                     [pa.array(rows), part.column(key), part.column("_digest"), marks, nothing, *map(pa.array, (n_words + 1, known, base))], names_
                 )
                 rare = at == len(names)
-                pairs, times = np.unique(of[rare] * np.int64(len(coded.dictionary)) + which[rare], return_counts=True)
+                pairs, times = np.unique(of[rare] * np.int64(len(words)) + which[rare], return_counts=True)
                 if len(pairs):
-                    doc, word = np.divmod(pairs, len(coded.dictionary))
+                    doc, word = np.divmod(pairs, len(words))
                     empty = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int64(), pa.float64())]
-                    text = coded.dictionary.take(pa.array(word))
+                    text = words.take(pa.array(word))
                     nokey = pa.nulls(len(pairs), part.schema.field(key).type)
                     yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), nokey, pa.nulls(len(pairs), pa.int64()), text, pa.array(times), *empty], names_)
                 row += size

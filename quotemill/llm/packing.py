@@ -63,14 +63,18 @@ class PartIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokens = self.tokenizer.model.tokenize
         self.kept: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
 
     def part(self, part: bytes) -> bytes:
-        """Its ids, four bytes each, which take a fraction of an array's memory."""
-        if len(self.kept) >= CACHED_PARTS:
-            self.kept.clear()
-        shown = part.decode("latin-1")  # printable ASCII stands for itself
-        tokens = self.tokens(shown if part.isascii() else shown.translate(BYTE_CHARS))
-        ids = self.kept[part] = array("I", [token.id for token in tokens]).tobytes()
+        """Its ids, four bytes each, which take a fraction of an array's memory. Of the parts kept, the half not met lately goes."""
+        if 2 * len(self.kept) >= CACHED_PARTS:
+            self.kept, self.earlier = {}, self.kept
+        ids = self.earlier.get(part)
+        if ids is None:
+            shown = part.decode("latin-1")  # printable ASCII stands for itself
+            tokens = self.tokens(shown if part.isascii() else shown.translate(BYTE_CHARS))
+            ids = array("I", [token.id for token in tokens]).tobytes()
+        self.kept[part] = ids
         return ids
 
     def of(self, values: list[bytes]) -> list[np.ndarray]:
@@ -94,7 +98,7 @@ class PartIds:
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = parts.dictionary_encode()
         known = self.kept.get
-        ids = [found if (found := known(part)) is not None else self.part(part) for part in coded.dictionary.to_pylist()]
+        ids = [found if (found := known(part)) is not None else self.part(part) for part in byte_list(coded.dictionary)]
         flat = np.frombuffer(b"".join(ids), np.uint32)
         size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         which = coded.indices.to_numpy()
@@ -107,6 +111,14 @@ class PartIds:
         return [all_ids[until[i] : until[j]] for i, j in zip(before[:-1], before[1:], strict=True)]
 
 
+def byte_list(values: pa.LargeBinaryArray) -> list[bytes]:
+    """Arrow's own list is made value by value."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def split_parts(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all parts in lower case without white space, where each part starts, and the number of parts before each text."""
     lower = (b" ".join(values) + b" ").translate(LOWER)

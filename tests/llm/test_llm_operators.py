@@ -229,6 +229,44 @@ def test_attention_scores_are_causal_and_sum_to_one():
     assert np.allclose(a[0, :11], b[0, :11], atol=1e-5)
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 200, n) for n in (0, 1, 31, 32, 33, 150)]
+    model = lm_score.Attention(ids)
+    model.p = {name: value.astype(float) for name, value in model.p.items()}
+    inputs, targets, *_ = lm_score.windows(ids)
+    w, t = np.nonzero(targets >= 0)
+
+    def loss():
+        return -model.forward(inputs)[-1][w, t, model.classes[targets[w, t]]].mean(dtype=float)
+
+    rows, grads = model.gradients(inputs, targets)
+    for name, grad in grads.items():
+        at = rows if name == "e" else slice(None)
+        way = rng.normal(size=grad.shape) + 5 * grad / np.abs(grad).max()
+        was = model.p[name].copy()
+        model.p[name][at] = was[at] + 1e-3 * way
+        more = loss()
+        model.p[name][at] = was[at] - 1e-3 * way
+        less = loss()
+        model.p[name] = was
+        assert (more - less) / 2e-3 == pytest.approx(float((grad * way).sum()), rel=0.02, abs=1e-3), name
+
+
+def test_ids_of_parts_met_lately_are_kept(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_PARTS", 40)
+    ids, asked = packing.PartIds(packing.default_tokenizer()), Counter()
+    tokens = ids.tokens
+    ids.tokens = lambda part: asked.update([part]) or tokens(part)
+    common = ["cat", "sat", "mat", "caf\u00e9", "7", "'s"]
+    for turn in range(40):
+        texts = [" ".join([*common, f"rare{chr(97 + turn % 26)}{'x' * (1 + turn // 26)}{name}"]) for name in ("abc", "bcd", "cde")]
+        for text, own in zip(texts, ids.of([text.encode() for text in texts]), strict=True):
+            assert own.tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(ids.kept) + len(ids.earlier) <= 40 + len(common)  # the parts of the step at hand may be in both
+    assert len(asked) > 120 and max(asked.values()) == 1  # not once more when others fill the room
+
+
 def test_shares_that_follow_the_text_sum_to_one():
     rng = np.random.default_rng(4)
     ids = [rng.integers(0, 700, n) for n in (50, 400, 900)]
